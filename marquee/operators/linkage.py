@@ -68,18 +68,14 @@ def _pieces(title: Column, parts: Column) -> Column:
 
 def _substrings(title: Column) -> Column:
     """Every substring as long as a piece can be: array of (piece, position)."""
-    size = F.length(title)
-    per_size = [
-        F.when(
-            size >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-                lambda p, n=n: F.struct(F.substring(title, p, F.lit(n)).alias("piece"), p.alias("position")),
-            ),
-        ).otherwise(F.array().cast("array<struct<piece:string,position:int>>"))
-        for n in _PIECE_SIZES
-    ]
-    return F.concat(*per_size)
+    nothing = F.array().cast("array<struct<piece:string,position:int>>")
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(title) - n + 1, F.lit(1)))
+        found = F.transform(starts, lambda p: F.struct(F.substring(title, p, F.lit(n)).alias("piece"), p.alias("position")))
+        return F.when(F.length(title) >= n, found).otherwise(nothing)
+
+    return F.concat(*map(of_size, _PIECE_SIZES))
 
 
 def similar_titles(rows: DataFrame) -> DataFrame:

@@ -210,6 +210,8 @@ def apply_rescrapes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Events, listings and outcomes (``seq, outcome, event_id``) after re-scrapes of known URLs."""
     known = cut(of_events(rescrapes, event_sources))
+    if known.isEmpty():
+        return events, event_sources, known.select("seq", F.lit("updated").alias("outcome"), "event_id")
     rows = rescrape_update(event_sources, known, now)
     after, incoming = rescrape_reconcile(events, known)
     after = cut(after)
