@@ -45,9 +45,8 @@ def local_datetime(text: Column) -> Column:
     """``DD.MM.YYYY HH:MM`` or ``YYYY-MM-DD HH:MM`` on a Prague clock, as an instant."""
     day_first = r"^(\d{2})\.(\d{2})\.(\d{4})\s+(\d{2}):(\d{2})$"
     year_first = r"^(\d{4})-(\d{2})-(\d{2})\s+(\d{2}):(\d{2})$"
-    iso = F.when(text.rlike(day_first), F.regexp_replace(text, day_first, "$3-$2-$1 $4:$5")).when(
-        text.rlike(year_first), F.regexp_replace(text, year_first, "$1-$2-$3 $4:$5")
-    )
+    iso = F.regexp_replace(F.regexp_replace(text, day_first, "$3-$2-$1 $4:$5"), year_first, "$1-$2-$3 $4:$5")
+    # The pattern itself rejects any other text; a date that does not exist is NULL.
     return F.to_utc_timestamp(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd HH:mm")), TIME_ZONE)
 
 

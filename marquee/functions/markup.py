@@ -1,8 +1,11 @@
 """Text helpers for scraped pages: entities, addresses, price tiers, link parts."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.functions import let
 from marquee.functions.dates import local_datetime
 
 # --- fixed values: the named entities that are decoded, "&amp;" first -----
@@ -14,19 +17,19 @@ def _code_unit(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number % 65536), 4, "0")), "UTF-16BE")
 
 
-def _numeric(text: Column, pattern: str, value) -> Column:
+def _numeric(text: Column, pattern: str, value: Callable[[Column], Column]) -> Column:
     """Replace every numeric reference; pieces between references are kept as they are."""
-    parts = F.split(F.regexp_replace(text, pattern, "\u0000$1\u0001"), "\u0000")
-    decoded = F.transform(
-        parts,
-        lambda part, i: F.when(i == 0, part).otherwise(
-            F.concat(
-                _code_unit(value(F.substring_index(part, "\u0001", 1))),
-                F.substring(part, F.instr(part, "\u0001") + 1, F.length(part)),
-            )
-        ),
-    )
-    return F.when(text.rlike(pattern), F.array_join(decoded, "")).otherwise(text)
+
+    def piece(part: Column, i: Column) -> Column:
+        char = _code_unit(value(F.substring_index(part, "\u0001", 1)))
+        rest = F.substring(part, F.instr(part, "\u0001") + 1, F.length(part))
+        return F.when(i == 0, part).otherwise(F.concat(char, rest))
+
+    def replaced(known: Column) -> Column:
+        marked = F.regexp_replace(known, pattern, "\u0000$1\u0001")
+        return F.when(known.contains("&#"), F.array_join(F.transform(F.split(marked, "\u0000"), piece), "")).otherwise(known)
+
+    return let(text, replaced)
 
 
 def entity_decode(text: Column) -> Column:
@@ -44,10 +47,14 @@ def strip_postal_code(city: Column) -> Column:
 def split_address(address: Column) -> Column:
     """``struct<venue, city>``: the first and the last non-empty comma part."""
     parts = F.filter(F.transform(F.split(address, ","), lambda p: F.trim(p)), lambda p: p != "")
-    return F.struct(
-        F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")).alias("venue"),
-        strip_postal_code(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))).alias("city"),
-    )
+
+    def ends(found: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")).alias("venue"),
+            strip_postal_code(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))).alias("city"),
+        )
+
+    return let(parts, ends)
 
 
 _DATED = r"(?s)^(\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2})"
@@ -55,11 +62,13 @@ _DATED = r"(?s)^(\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2})"
 
 def split_date_address(text: Column, separator: str = r"\s+-\s+") -> Column:
     """``struct<starts_at, address>`` of a text that leads with a date."""
-    trimmed = F.trim(text)
     pattern = _DATED + separator + "(.+)$"
-    return F.struct(
-        local_datetime(F.regexp_extract(trimmed, pattern, 1)).alias("starts_at"),
-        F.trim(F.regexp_extract(trimmed, pattern, 2)).alias("address"),
+    return let(
+        F.trim(text),
+        lambda trimmed: F.struct(
+            local_datetime(F.regexp_extract(trimmed, pattern, 1)).alias("starts_at"),
+            F.trim(F.regexp_extract(trimmed, pattern, 2)).alias("address"),
+        ),
     )
 
 

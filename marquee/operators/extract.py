@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.functions import let
 from marquee.functions.dates import local_datetime
 from marquee.functions.markup import entity_decode, min_price_from_blocks, split_address, split_date_address, tag_text
 from marquee.functions.urls import absolute_url, url_path
@@ -99,24 +100,24 @@ def json_repairer():
 
 
 def _parsed(text: Column) -> Column:
+    """First object of a JSON text, NULL when the text is broken."""
     options = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    return F.get(F.from_json(text, _EMBEDDED, options), 0)
+    first = F.get(F.from_json(text, _EMBEDDED, options), 0)
+    fields = ["name", "startDate", "image", "location"]
+    return let(first, lambda e: F.when(e["_bad"].isNull() & e.isNotNull(), F.struct(*[e[f].alias(f) for f in fields])))
 
 
 def jsonld_extract(pages: DataFrame, raw: str = "embedded_text") -> DataFrame:
     """Add the first embedded JSON block as text and parsed (``embedded``, NULL if broken)."""
     block = F.regexp_extract("html", _JSON_BLOCK, 1)
-    staged = pages.withColumn(raw, F.when(F.trim(block) != "", block))
-    parsed = staged.withColumn("embedded", _parsed(F.col(raw)))
-    return parsed.withColumn("embedded", F.when(F.col("embedded._bad").isNull(), F.col("embedded").dropFields("_bad")))
+    return pages.withColumn(raw, F.nullif(F.trim(block), F.lit(""))).withColumn("embedded", _parsed(F.col(raw)))
 
 
 def jsonld_repair(extracted: DataFrame, raw: str = "embedded_text") -> DataFrame:
     """Parse broken blocks again after repair; parsed ones are left alone."""
     broken = F.col("embedded").isNull() & F.col(raw).isNotNull()
-    again = extracted.withColumn("repaired", json_repairer()(F.when(broken, F.col(raw)))).withColumn("second", _parsed(F.col("repaired")))
-    fixed = F.when(F.col("second._bad").isNull(), F.col("second").dropFields("_bad"))
-    return again.withColumn("embedded", F.coalesce("embedded", fixed)).drop("repaired", "second")
+    again = extracted.withColumn("repaired", json_repairer()(F.when(broken, F.col(raw))))
+    return again.withColumn("embedded", F.coalesce("embedded", _parsed(F.col("repaired")))).drop("repaired")
 
 
 # --- detail pages --------------------------------------------------------------
@@ -130,13 +131,20 @@ def _tour_stops(html: Column, base: Column, prefix: str) -> Column:
     def stop(tag: Column) -> Column:
         body = F.regexp_extract(tag, item, 2)
         span = tag_text(F.regexp_extract(body, r"""(?is)<span[^>]*\btext-readable\b[^>]*>(.*?)</span>""", 1))
-        dated = split_date_address(span)
-        return F.struct(
+        read = F.struct(
             entity_decode(tag_text(F.regexp_extract(body, r"(?is)<strong[^>]*>(.*?)</strong>", 1))).alias("title"),
             span.alias("text"),
-            dated["starts_at"].alias("starts_at"),
-            split_address(dated["address"]).alias("place"),
-            absolute_url(F.regexp_extract(tag, item, 1), base).alias("href"),
+            split_date_address(span).alias("dated"),
+        )
+        return let(
+            read,
+            lambda r: F.struct(
+                r["title"].alias("title"),
+                r["text"].alias("text"),
+                r["dated"]["starts_at"].alias("starts_at"),
+                split_address(r["dated"]["address"]).alias("place"),
+                absolute_url(F.regexp_extract(tag, item, 1), base).alias("href"),
+            ),
         )
 
     stops = F.transform(F.regexp_extract_all(html, F.lit(item), F.lit(0)), stop)
@@ -195,20 +203,29 @@ def page_details(pages: DataFrame, prefix: str = EVENT_PATH) -> DataFrame:
     ).withColumn("kind", F.when(F.col("shape") == "tour", "tour").when(F.col("shape").isNotNull(), "single"))
 
 
+def listed(details: DataFrame) -> DataFrame:
+    """One row per listing of the readable pages: a single date, or each stop of a tour."""
+    url, price = F.col("url"), F.col("price")
+    # A stop has its own address and no price; the image is the tour's.
+    stops = F.transform(
+        "stops",
+        lambda s: F.struct(
+            s["href"].alias("href"),
+            s["title"].alias("title"),
+            s["starts_at"].alias("starts_at"),
+            s["place"].alias("place"),
+            F.lit(None).cast("double").alias("price"),
+        ),
+    )
+    alone = F.array(F.struct(url.alias("href"), "title", "starts_at", "place", price.alias("price")))
+    entries = F.when(F.col("kind") == "tour", stops).otherwise(alone)
+    kept = [c for c in ("page_id", "category", "kind", "image_url") if c in details.columns]
+    return details.filter("reason IS NULL").select(*kept, F.posexplode(entries).alias("stop", "at")).select(*kept, "stop", "at.*")
+
+
 def tour_explode(details: DataFrame) -> DataFrame:
-    """One row per stop of the tour pages, with its own address and no price."""
-    return details.filter("kind = 'tour' AND reason IS NULL").select(
-        *[c for c in ("page_id", "category") if c in details.columns],
-        F.posexplode("stops").alias("stop", "at"),
-        "image_url",
-    ).select(
-        "*",
-        F.col("at.href").alias("href"),
-        F.col("at.title").alias("title"),
-        F.col("at.starts_at").alias("starts_at"),
-        F.col("at.place").alias("place"),
-        F.lit(None).cast("double").alias("price"),
-    ).drop("at")
+    """The stops of the tour pages."""
+    return listed(details.filter("kind = 'tour'"))
 
 
 def page_rejects(details: DataFrame) -> DataFrame:
@@ -221,10 +238,7 @@ def pages_to_listings(pages: DataFrame, source: str, country: str, currency: str
 
     The order of ``seq`` is page order, then stop order inside a tour.
     """
-    details = page_details(pages, prefix)
-    shared = ["page_id", "category", "href", "title", "starts_at", "place", "price", "image_url"]
-    single = details.filter("kind = 'single' AND reason IS NULL").withColumn("href", F.col("url")).withColumn("stop", F.lit(0))
-    rows = single.select(*shared, "stop").unionByName(tour_explode(details).select(*shared, "stop"))
+    rows = listed(page_details(pages, prefix))
     label = F.coalesce(*[F.when(F.col("category") == slug, name) for slug, name in CATEGORY_LABELS.items()])
     return rows.select(
         (F.shiftleft(F.col("page_id"), 20) + F.col("stop")).alias("seq"),

@@ -214,7 +214,8 @@ def saved_search_match(events: DataFrame, searches: DataFrame, now: Column) -> D
 
     ranges = resolve_range(F.col("when"), now)
     filed = (
-        searches.select("search_id", "max_price", "genres", ranges.alias("span"), key("cities").alias("city_key"))
+        searches.withColumn("span", ranges)
+        .select("search_id", "max_price", "genres", "span", key("cities").alias("city_key"))
         .withColumn("genre_key", key("genres"))
         .drop("genres")
     )

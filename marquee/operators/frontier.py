@@ -17,8 +17,8 @@ def refetch_jitter(canonical: Column) -> Column:
 
 def robots_patterns(robots: DataFrame) -> DataFrame:
     """``host, pattern`` of every Disallow line of ``host, body``."""
-    line = F.trim(F.explode(F.split("body", "\n")))
-    lines = robots.select("host", line.alias("line")).filter(F.lower("line").startswith("disallow:"))
+    lines = robots.select("host", F.explode(F.split("body", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    lines = lines.filter(F.lower("line").startswith("disallow:"))
     return lines.select("host", F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("pattern")).filter("pattern <> ''")
 
 

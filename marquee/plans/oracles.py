@@ -51,7 +51,7 @@ aliases AS (SELECT * FROM {ALIASES}),
 numbered AS (SELECT *, CASE WHEN event_id % 100 = 50 THEN event_id - 50 ELSE event_id END AS lid,
   CASE WHEN event_id % 5 = 0 THEN 'Nočný ' ELSE '' END || event_type
    || CASE WHEN event_id % 11 = 0 THEN ' Nights ' ELSE ' Night ' END || (user_id % 10) AS name,
-  date_trunc('millisecond', ts) AS at FROM events),
+  date_trunc('millisecond', ts) AS t0 FROM events),
 raw AS (SELECT event_id AS seq, 'src' || (lid % 28) AS source,
   CASE WHEN event_id % 227 = 226 THEN 'not a url' ELSE 'HTTPS://Tickets' || (lid % 3) || '.Example.com/e/' || lid
    || '/?utm_source=x&b=2&a=1#t' END AS source_url,
@@ -59,8 +59,8 @@ raw AS (SELECT event_id AS seq, 'src' || (lid % 28) AS source,
   'Hall ' || (user_id % 20) AS venue,
   ['BA','bratislava','Prague','Praha 7','Brno-střed','Kosice','Pilsen','ostrava','nové mesto nad váhom','Poprad','Nowhereville',''][user_id % 12 + 1] AS city,
   CASE WHEN user_id % 12 IN (8, 9) THEN 'SK' END AS country,
-  CASE WHEN event_id % 211 <> 210 THEN at END AS starts_at,
-  CASE WHEN event_type = 'view' THEN at + INTERVAL 72 HOUR END AS ends_at,
+  CASE WHEN event_id % 211 <> 210 THEN t0 END AS starts_at,
+  CASE WHEN event_type = 'view' THEN t0 + INTERVAL 72 HOUR END AS ends_at,
   CASE WHEN event_id % 229 = 228 THEN 123456789.0 WHEN event_id % 233 = 232 THEN -5.0 WHEN event_type <> 'error' THEN value END AS price_from,
   CASE WHEN event_id % 7 = 0 THEN 'EUR' END AS currency,
   CASE event_type WHEN 'click' THEN 'Koncert' WHEN 'view' THEN 'Výstavy' WHEN 'purchase' THEN 'Divadlo' WHEN 'error' THEN 'DJ set' END AS raw_genre,
@@ -108,8 +108,8 @@ users AS (SELECT 'u' || c_custkey AS id, c_mktsegment = 'BUILDING' AS digest_opt
 CARDS = f"""
 cards AS (SELECT ['koncert','sport','show','divadlo','festival','pre-deti','ostatne'][page_id % 7 + 1] AS category, page_id AS position,
   page_id, {canonical('url')} AS url FROM pages),
-scraped AS (SELECT url, CASE WHEN page_id % 9 <> 0 THEN {NOW} - to_hours(CAST(page_id % 144 AS INTEGER)) END AS last_fetched_at
-  FROM cards WHERE page_id % 4 <> 3),
+scraped AS (SELECT url, max(CASE WHEN page_id % 9 <> 0 THEN {NOW} - to_hours(CAST(page_id % 144 AS INTEGER)) END) AS last_fetched_at
+  FROM cards WHERE page_id % 4 <> 3 GROUP BY url),
 jitter AS (SELECT page_id, list_reduce(list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT)),
   lambda h, c: (h * 33 + c) % 4294967296, 5381::BIGINT) % 86400000 AS ms FROM cards),
 plan AS (SELECT c.category, c.position, c.url, CASE WHEN s.url IS NULL THEN 'new' WHEN s.last_fetched_at IS NULL THEN 'due'
@@ -156,7 +156,7 @@ GRID = (
     " AND (price_from IS NULL OR (currency = 'EUR' AND price_from <= 60) OR (currency = 'CZK' AND price_from <= 1500))"
 )
 PAGE_FIELDS = """shown AS (SELECT event_id, event_id % 6 AS shape, event_type || ' & Night ' || (user_id % 10) AS name, 'Hall ' || (user_id % 20) AS hall,
- date_trunc('minute', ts) - INTERVAL 1 HOUR AS at, floor(abs(value)) + 0.5 AS low FROM events)"""
+ date_trunc('minute', ts) - INTERVAL 1 HOUR AS t0, floor(abs(value)) + 0.5 AS low FROM events)"""
 WEEKEND_SUNDAY = f"CAST({prague('ts')} AS DATE) + CAST((7 - dayofweek({prague('ts')})) % 7 AS INTEGER)"
 
 ORACLES: dict[str, str] = {
@@ -190,21 +190,21 @@ ORACLES: dict[str, str] = {
     "disallow_anti_join": "SELECT event_id AS page_id, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS href FROM events"
     " WHERE NOT regexp_matches('/sk/listky/' || event_id || '/', '^/.*7/|^/sk/listky/1')",
     "jsonld_extract": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE WHEN shape IN (0, 2, 5) THEN replace(name, '&', '&amp;') END AS name,"
-    " CASE WHEN shape IN (0, 5) THEN strftime(at + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') WHEN shape = 2 THEN '' END AS start_date FROM shown",
+    " CASE WHEN shape IN (0, 5) THEN strftime(t0 + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') WHEN shape = 2 THEN '' END AS start_date FROM shown",
     "jsonld_repair": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE WHEN shape IN (0, 1, 2, 5) THEN replace(name, '&', '&amp;') END AS name,"
-    " CASE WHEN shape IN (0, 1, 5) THEN strftime(at + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') WHEN shape = 2 THEN '' END AS start_date FROM shown",
+    " CASE WHEN shape IN (0, 1, 5) THEN strftime(t0 + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') WHEN shape = 2 THEN '' END AS start_date FROM shown",
     "page_shape": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE shape WHEN 2 THEN 'tour' WHEN 4 THEN NULL ELSE 'single' END AS kind,"
     " CASE shape WHEN 4 THEN 'unrecognized event page shape' END AS reason FROM shown UNION ALL"
     " SELECT page_id, NULL, 'unrecognized event page shape' FROM pages",
-    "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, i AS stop, name || ' ' || (i + 1) AS title, at AS starts_at, hall AS venue, 'Prešov' AS city,"
+    "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, i AS stop, name || ' ' || (i + 1) AS title, t0 AS starts_at, hall AS venue, 'Prešov' AS city,"
     " 'https://tickets.example.com/sk/listky/' || event_id || '-' || (i + 1) AS href FROM shown, range(2) r(i) WHERE shape = 2",
     "min_price_tiers": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE WHEN shape IN (0, 3) THEN low END AS price FROM shown",
     "pages_to_listings": f"""WITH {PAGE_FIELDS}, listed AS (SELECT *, ['Koncert','Šport','Show','Divadlo','Festival','Pre deti','Ostatné'][event_id % 7 + 1] AS raw_genre,
  'https://tickets.example.com/sk/listky/' || event_id AS page FROM shown)
- SELECT event_id * 1048576 AS seq, page || '/' AS source_url, name AS title, hall AS venue, CASE WHEN shape = 3 THEN 'Bratislava' ELSE 'Košice' END AS city, at AS starts_at,
+ SELECT event_id * 1048576 AS seq, page || '/' AS source_url, name AS title, hall AS venue, CASE WHEN shape = 3 THEN 'Bratislava' ELSE 'Košice' END AS city, t0 AS starts_at,
  CASE WHEN shape IN (0, 3) THEN low END AS price_from, raw_genre, CASE WHEN shape = 3 THEN 'https://og/' ELSE 'https://img/' END || event_id AS image_url
  FROM listed WHERE shape IN (0, 1, 3, 5) UNION ALL
- SELECT event_id * 1048576 + i, page || '-' || (i + 1), name || ' ' || (i + 1), hall, 'Prešov', at, NULL, raw_genre, 'https://img/' || event_id FROM listed, range(2) r(i) WHERE shape = 2""",
+ SELECT event_id * 1048576 + i, page || '-' || (i + 1), name || ' ' || (i + 1), hall, 'Prešov', t0, NULL, raw_genre, 'https://img/' || event_id FROM listed, range(2) r(i) WHERE shape = 2""",
     "listing_cards": "SELECT event_id AS page_id, ['koncert','sport','show','divadlo','festival','pre-deti','ostatne'][event_id % 7 + 1] AS category,"
     " event_type || ' & Night' AS title, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS href FROM events",
     "entity_decode": "SELECT page_id, replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''') AS decoded FROM pages",

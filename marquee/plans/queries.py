@@ -12,6 +12,7 @@ from marquee.functions import dates, markup, places, prices, text, urls
 from marquee.operators import cards, digest, extract, feed, frontier, linkage, maintenance, merge, normalize, upserts
 from marquee.operators.resolve import resolve_batch
 from marquee.plans.ingest import ingest, ingest_stats
+from marquee.session import cut
 from marquee.sources import sample
 from marquee.sources.tables import Tables, empty_tables
 
@@ -51,29 +52,49 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.normalized(checked(spark, sf))
 
 
+# Queries about matching, merging and the feed read stored tables, as they would
+# after an ingest run. The tables are written on first use and kept for the session.
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    session = (spark.sparkContext.applicationId, sf)
+    if (session, name) not in _STORED:
+        _STORED[session, name] = cut(build())
+    return _STORED[session, name]
+
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def valid(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "listings", lambda: listings(spark, sf))
+
+
+def first_listings(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.first_of_url(valid(spark, sf))[0]
+
+
+def repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.first_of_url(valid(spark, sf))[1]
+
+
 def listed_at() -> Column:
     """Listings went on sale five days before their start."""
     return F.col("starts_at") - F.expr("INTERVAL '120' HOUR")
 
 
-def unfilled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Founded events, all listings, the first listing of each URL and its target."""
-    first, _ = merge.first_of_url(listings(spark, sf))
-    targets = resolve_batch(first, empty_tables(spark).events, fuzzy=False)
-    return merge.new_events(first, targets, listed_at()), merge.new_event_sources(first, targets, listed_at()), first, targets
+def exact_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve_batch(first_listings(spark, sf), empty_tables(spark).events, fuzzy=False)
 
 
 def catalogue(spark: SparkSession, sf: str) -> Tables:
     """Events and listings after ingesting each URL once, matched by fingerprint."""
-    first, _ = merge.first_of_url(listings(spark, sf))
     empty = empty_tables(spark)
-    targets = resolve_batch(first, empty.events, fuzzy=False)
-    events, rows = merge.attach_new(empty.events, empty.event_sources, first, targets, listed_at())
-    return Tables(events, rows, sample.sources(spark, sf))
 
+    def built() -> tuple[DataFrame, DataFrame]:
+        return merge.attach_new(empty.events, empty.event_sources, first_listings(spark, sf), exact_targets(spark, sf), listed_at())
 
-def repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.first_of_url(listings(spark, sf))[1]
+    events = stored(spark, sf, "events", lambda: built()[0])
+    rows = stored(spark, sf, "event_sources", lambda: built()[1])
+    return Tables(events, rows, sample.sources(spark, sf))
 
 
 def favorites(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,7 +332,7 @@ def prague_day(spark, sf):
 @query
 def is_multi_day(spark, sf):
     starts, ends = F.col("starts_at"), F.col("ends_at")
-    return listings(spark, sf).select(
+    return valid(spark, sf).select(
         "seq", dates.is_multi_day(starts, ends).alias("multi_day"), dates.date_label_kind(starts, ends).alias("label")
     )
 
@@ -324,17 +345,17 @@ def derive_sort_fields(spark, sf):
 # --- matching and merge --------------------------------------------------------------
 @query
 def url_match(spark, sf):
-    return linkage.url_match(listings(spark, sf), catalogue(spark, sf).event_sources).select("seq", "known_event_id")
+    return linkage.url_match(valid(spark, sf), catalogue(spark, sf).event_sources).select("seq", "known_event_id")
 
 
 @query
 def fingerprint_match(spark, sf):
-    return linkage.fingerprint_match(listings(spark, sf), catalogue(spark, sf).events).select("seq", "matched_event_id")
+    return linkage.fingerprint_match(valid(spark, sf), catalogue(spark, sf).events).select("seq", "matched_event_id")
 
 
 @query
 def title_distance(spark, sf):
-    mine = listings(spark, sf).select("fingerprint", F.col("title_key").alias("a")).distinct()
+    mine = valid(spark, sf).select("fingerprint", F.col("title_key").alias("a")).distinct()
     theirs = catalogue(spark, sf).events.select("fingerprint", text.normalize_text(F.col("title")).alias("b"))
     return mine.join(theirs, "fingerprint").select("a", "b", text.title_distance(F.col("a"), F.col("b")).alias("distance"))
 
@@ -342,7 +363,7 @@ def title_distance(spark, sf):
 @query
 def numbers_conflict(spark, sf):
     title = F.col("title_key")
-    return listings(spark, sf).select(
+    return valid(spark, sf).select(
         "seq",
         text.numbers_in(title).alias("numbers"),
         text.numbers_conflict(title, text.normalize_text(F.col("venue"))).alias("conflict"),
@@ -351,17 +372,17 @@ def numbers_conflict(spark, sf):
 
 @query
 def fuzzy_candidates(spark, sf):
-    return linkage.fuzzy_candidates(listings(spark, sf), catalogue(spark, sf).events).drop("created_at")
+    return linkage.fuzzy_candidates(valid(spark, sf), catalogue(spark, sf).events).drop("created_at")
 
 
 @query
 def fuzzy_match(spark, sf):
-    return linkage.fuzzy_match(listings(spark, sf), catalogue(spark, sf).events)
+    return linkage.fuzzy_match(valid(spark, sf), catalogue(spark, sf).events)
 
 
 @query
 def resolve_batch_exact(spark, sf):
-    return unfilled(spark, sf)[3].drop("distance")
+    return exact_targets(spark, sf).drop("distance")
 
 
 QUERIES["resolve_batch"] = QUERIES.pop("resolve_batch_exact")
@@ -369,13 +390,13 @@ QUERIES["resolve_batch"] = QUERIES.pop("resolve_batch_exact")
 
 @query
 def resolve_batch_fuzzy(spark, sf):
-    first, _ = merge.first_of_url(listings(spark, sf))
-    return resolve_batch(first, empty_tables(spark).events)
+    return resolve_batch(first_listings(spark, sf), empty_tables(spark).events)
 
 
 @query
 def new_events(spark, sf):
-    return unfilled(spark, sf)[0].select("id", "title", "city", "currency", "price_from", "genre", "starts_at")
+    founded = merge.new_events(first_listings(spark, sf), exact_targets(spark, sf), listed_at())
+    return founded.select("id", "title", "city", "currency", "price_from", "genre", "starts_at")
 
 
 @query
@@ -402,7 +423,8 @@ def rescrape_collision(spark, sf):
 
 @query
 def blank_fill(spark, sf):
-    events, _, first, targets = unfilled(spark, sf)
+    first, targets = first_listings(spark, sf), exact_targets(spark, sf)
+    events = merge.new_events(first, targets, listed_at())
     attached = first.select("seq", "image_url", "ends_at").join(targets.filter("matched_by <> 'new'"), "seq")
     in_effect = events.select(F.col("id").alias("event_id"), F.col("starts_at").alias("starts_in_effect"))
     return merge.blank_fill(events, attached.join(in_effect, "event_id"))
@@ -410,13 +432,15 @@ def blank_fill(spark, sf):
 
 @query
 def event_price(spark, sf):
-    events, rows, _, _ = unfilled(spark, sf)
-    return merge.event_price(events, rows)
+    tables = catalogue(spark, sf)
+    return merge.event_price(tables.events, tables.event_sources)
 
 
 @query
 def refresh_events(spark, sf):
-    return catalogue(spark, sf).events.select("id", "ends_at", "image_url", "price_from", "start_day", "price_known")
+    first, targets, empty = first_listings(spark, sf), exact_targets(spark, sf), empty_tables(spark)
+    events, _ = merge.attach_new(empty.events, empty.event_sources, first, targets, listed_at())
+    return events.select("id", "ends_at", "image_url", "price_from", "start_day", "price_known")
 
 
 @query

@@ -229,7 +229,7 @@ def scraped_from_pages(pages: DataFrame, url: Column) -> DataFrame:
     number = F.col("page_id")
     fetched = now() - F.make_interval(hours=(number % 144).cast("int"))
     known = pages.withColumn("url", url).filter(number % 4 != 3)
-    return known.select("url", F.when(number % 9 != 0, fetched).alias("last_fetched_at"))
+    return known.groupBy("url").agg(F.max(F.when(number % 9 != 0, fetched)).alias("last_fetched_at"))
 
 
 PRICE_TEXTS = ["30", "12.5", "", "abc", "-5", "0x10", "1e2", "30 ", "0", "120"]
