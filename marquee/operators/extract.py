@@ -218,14 +218,15 @@ def listed(details: DataFrame) -> DataFrame:
         ),
     )
     alone = F.array(F.struct(url.alias("href"), "title", "starts_at", "place", price.alias("price")))
-    entries = F.when(F.col("kind") == "tour", stops).otherwise(alone)
+    # An unreadable page has no entries, so no separate filter evaluates the page again.
+    entries = F.when(F.col("reason").isNotNull(), None).when(F.col("kind") == "tour", stops).otherwise(alone)
     kept = [c for c in ("page_id", "category", "kind", "image_url") if c in details.columns]
-    return details.filter("reason IS NULL").select(*kept, F.posexplode(entries).alias("stop", "at")).select(*kept, "stop", "at.*")
+    return details.select(*kept, F.posexplode(entries).alias("stop", "at")).select(*kept, "stop", "at.*")
 
 
 def tour_explode(details: DataFrame) -> DataFrame:
     """The stops of the tour pages."""
-    return listed(details.filter("kind = 'tour'"))
+    return listed(details).filter("kind = 'tour'")
 
 
 def page_rejects(details: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.dates import to_ms
 from marquee.session import utc
+from marquee.sources.tables import spread
 
 NOW = "2024-01-15 12:00:00"
 CITY_TEXTS = [
@@ -33,7 +34,7 @@ def now() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(utc(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def listings_from_events(events: DataFrame) -> DataFrame:

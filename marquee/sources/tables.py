@@ -22,6 +22,12 @@ class Tables:
         return replace(self, **changes)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core on an input of a few large files; an input with enough splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def empty_tables(spark: SparkSession, sources: DataFrame | None = None) -> Tables:
     return Tables(
         spark.createDataFrame([], schemas.EVENTS),
@@ -33,7 +39,7 @@ def empty_tables(spark: SparkSession, sources: DataFrame | None = None) -> Table
 def read_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Raw listings from parquet, JSON lines, CSV or ORC."""
     reader = utc(spark).read.schema(schemas.RAW_LISTINGS)
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+    return spread((reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path))
 
 
 def stream_listings(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -48,7 +54,7 @@ def stream_listings(spark: SparkSession, path: str, fmt: str = "parquet", files_
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return utc(spark).read.schema(schemas.PAGES).parquet(path)
+    return spread(utc(spark).read.schema(schemas.PAGES).parquet(path))
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
