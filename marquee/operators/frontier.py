@@ -69,11 +69,15 @@ def touched(plan: DataFrame) -> DataFrame:
 
 def refetch_counts(plan: DataFrame, fetched: DataFrame) -> DataFrame:
     """Run counters: category pages, new and due pages fetched, fresh ones skipped."""
-    listed = plan.agg(
-        F.countDistinct("category").alias("listing_pages"),
-        F.coalesce(F.sum((F.col("decision") == "fresh").cast("long")), F.lit(0)).alias("fresh_skips"),
-    )
-    got = fetched.agg(
-        *[F.coalesce(F.sum((F.col("decision") == d).cast("long")), F.lit(0)).alias(f"{d}_pages") for d in ("new", "due")]
+    columns = ["category", "decision"]
+    rows = plan.select(*columns, F.lit(False).alias("got")).unionByName(fetched.select(*columns, F.lit(True).alias("got")))
+
+    def number(condition: Column) -> Column:
+        return F.count(F.when(condition, F.lit(1)))
+
+    return rows.agg(
+        F.countDistinct(F.when(~F.col("got"), F.col("category"))).alias("listing_pages"),
+        number(~F.col("got") & (F.col("decision") == "fresh")).alias("fresh_skips"),
+        number(F.col("got") & (F.col("decision") == "new")).alias("new_pages"),
+        number(F.col("got") & (F.col("decision") == "due")).alias("due_pages"),
     )
-    return listed.join(got)

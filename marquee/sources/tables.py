@@ -102,5 +102,8 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     version = committed_version(utc(spark), root) if version is None else version
     if version is None:
         return None
-    read = {f.name: spark.read.schema(getattr(schemas, f.name.upper())).parquet(f"{root}/{f.name}/{version}") for f in fields(Tables)}
+    read = {}
+    for field in fields(Tables):
+        schema = getattr(schemas, field.name.upper())
+        read[field.name] = spark.read.schema(schema).parquet(f"{root}/{field.name}/{version}").select(schema.names)
     return Tables(**read)

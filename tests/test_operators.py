@@ -98,7 +98,7 @@ def test_fuzzy_match_boundaries(spark):
         {"id": "n2", "title": "Jazz Night 2"},
         {"id": "two", "title": "qwerty"},
     )
-    probes = [(0, "abcdefghij"), (1, "abcdefghiz"), (2, "zzzzzzzzzz"), (3, "jazz night"), (4, "jazz night 1"), (5, "qwerxx"), (6, "abcdefghxy")]
+    probes = [(0, "abcdefghij"), (1, "abcdefghiz"), (2, "zzzzzzzzzz"), (3, "jazz night"), (4, "jazz night 1"), (5, "qwerxx"), (6, "abcdefghkk")]
     rows = spark.createDataFrame([(s, "Praha", t, AT) for s, t in probes], "seq long, city string, title_key string, starts_at timestamp")
     got = {r.seq: (r.event_id, r.distance) for r in linkage.fuzzy_match(rows, stored).collect()}
     assert got == {0: ("c", 0.0), 1: ("a", 0.1), 3: ("n2", 2 / 12)}
