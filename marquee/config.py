@@ -24,5 +24,3 @@ CURRENCY_BY_COUNTRY = {"SK": "EUR", "CZ": "CZK"}
 # Titles are compared only inside one coarse period (plus its edges), so the
 # candidate set of a city does not grow with the length of its history.
 TITLE_PERIOD_MS = 7 * DAY_MS
-# A filter or pattern table is broadcast only when it is at most this big.
-BROADCAST_ROW_LIMIT = 100_000

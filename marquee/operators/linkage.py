@@ -89,16 +89,22 @@ def similar_titles(rows: DataFrame) -> DataFrame:
     edges = F.array_distinct(F.array(_period(F.col("starts_ms") - FUZZY_WINDOW_MS), _period(F.col("starts_ms") + FUZZY_WINDOW_MS)))
     widened = usable.select("city", "title_key", F.explode(edges).alias("period")).distinct()
 
-    def measured(titles: DataFrame, name: str) -> DataFrame:
-        title = F.col("title_key")
-        return titles.select(
-            "city", "period", title.alias(name), F.length(title).alias(f"{name}_size"), text.numbers_in(title).alias(f"{name}_numbers")
+    def measured(titles: DataFrame, name: str, *filed: list[Column]) -> DataFrame:
+        """Size of each title and the number keys it is filed under, with and without numbers."""
+        numbered = titles.withColumn("numbers", text.numbers_in(F.col("title_key")))
+        keys = F.when(F.col("numbers") != "", F.array(*filed[0])).otherwise(F.array(*filed[1]))
+        return numbered.select(
+            "city", "period", F.col("title_key").alias(name), F.length("title_key").alias(f"{name}_size"), F.explode(keys).alias("numbers")
         )
 
+    # Equal numbers meet under the numbers, a title without any meets all others: each pair
+    # that may match has exactly one key in common, one with different numbers has none.
+    numbers, nothing, anything = F.col("numbers"), F.lit(""), F.lit("*")
+
     # One piece of up to five characters allows no edit: only an equal title would match.
     edits_allowed = text.allowed_edits(F.col("long_size"))
     longer = (
-        measured(widened, "long")
+        measured(widened, "long", [numbers, anything], [nothing])
         .filter(F.col("long_size") > FUZZY_DIVISOR)
         .withColumn("edits_allowed", edits_allowed)
         .withColumn("cut", F.explode(_pieces(F.col("long"), F.col("edits_allowed") + 1)))
@@ -106,19 +112,18 @@ def similar_titles(rows: DataFrame) -> DataFrame:
         .drop("cut")
     )
     shorter = (
-        measured(plain, "short")
+        measured(plain, "short", [numbers, nothing], [nothing, anything])
         .withColumn("cut", F.explode(_substrings(F.col("short"))))
         .select("*", F.col("cut.piece").alias("piece"), F.col("cut.position").alias("short_at"))
         .drop("cut")
     )
     edits = F.call_function("levenshtein", F.col("short"), F.col("long"), F.col("edits_allowed"))
     pairs = (
-        longer.join(shorter, ["city", "period", "piece"])
+        longer.join(shorter, ["city", "period", "numbers", "piece"])
         .filter(
             ((F.col("short_size") < F.col("long_size")) | ((F.col("short_size") == F.col("long_size")) & (F.col("short") < F.col("long"))))
             & (F.col("long_size") - F.col("short_size") <= F.col("edits_allowed"))
             & (F.abs(F.col("long_at") - F.col("short_at")) <= F.col("edits_allowed"))
-            & ((F.col("short_numbers") == "") | (F.col("long_numbers") == "") | (F.col("short_numbers") == F.col("long_numbers")))
             & (edits >= 0)
         )
         .select("city", "short", "long", edits.alias("edits"), F.col("long_size").alias("size"))

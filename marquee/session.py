@@ -36,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     driver and executors share one disk, may fall back to a temporary folder.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named
     if not context.master.startswith("local"):
