@@ -161,7 +161,7 @@ WEEKEND_SUNDAY = f"CAST({prague('ts')} AS DATE) + CAST((7 - dayofweek({prague('t
 
 ORACLES: dict[str, str] = {
     "raw_listings": with_base("SELECT * FROM raw"),
-    "page_scan": "SELECT page_id, url, length(html) AS chars FROM pages",
+    "page_scan": "SELECT page_id, url, CAST(length(html) AS INTEGER) AS chars FROM pages",
     "scan_project": "SELECT user_id, value FROM events",
     "url_match": with_base("SELECT l.seq, e.event_id AS known_event_id FROM ok l LEFT JOIN es e ON e.url = l.url"),
     "fingerprint_match": with_base("SELECT l.seq, e.id AS matched_event_id FROM ok l LEFT JOIN ev e ON e.fingerprint = l.fingerprint"),
@@ -181,7 +181,7 @@ ORACLES: dict[str, str] = {
         "SELECT seq * 3 + i AS seq, 'https://' || ['alpha','beta','gamma'][i + 1] || '.example.com/demo/' || seq AS source_url,"
         " CASE WHEN i > 0 THEN upper(title) ELSE title END AS title, floor(price_from * (1 + i * 0.05::DOUBLE) + 0.5) AS price_from FROM raw, range(3) r(i)"
     ),
-    "page_links": r"""SELECT page_id, i - 1 AS position, regexp_extract(tags[i], 'href="([^"]*)"', 1) AS href,
+    "page_links": r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS position, regexp_extract(tags[i], 'href="([^"]*)"', 1) AS href,
  regexp_extract(url, '^[A-Za-z]+://[^/?#]+') || regexp_extract(tags[i], 'href="([^"]*)"', 1) AS url,
  regexp_replace(regexp_extract(tags[i], '>(.*)</a>', 1), '&amp;', '&', 'g') AS text
  FROM (SELECT *, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS tags FROM pages), range(1, 100) r(i) WHERE i <= len(tags)""",
@@ -196,7 +196,7 @@ ORACLES: dict[str, str] = {
     "page_shape": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE shape WHEN 2 THEN 'tour' WHEN 4 THEN NULL ELSE 'single' END AS kind,"
     " CASE shape WHEN 4 THEN 'unrecognized event page shape' END AS reason FROM shown UNION ALL"
     " SELECT page_id, NULL, 'unrecognized event page shape' FROM pages",
-    "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, i AS stop, name || ' ' || (i + 1) AS title, t0 AS starts_at, hall AS venue, 'Prešov' AS city,"
+    "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CAST(i AS INTEGER) AS stop, name || ' ' || (i + 1) AS title, t0 AS starts_at, hall AS venue, 'Prešov' AS city,"
     " 'https://tickets.example.com/sk/listky/' || event_id || '-' || (i + 1) AS href FROM shown, range(2) r(i) WHERE shape = 2",
     "min_price_tiers": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE WHEN shape IN (0, 3) THEN low END AS price FROM shown",
     "pages_to_listings": f"""WITH {PAGE_FIELDS}, listed AS (SELECT *, ['Koncert','Šport','Show','Divadlo','Festival','Pre deti','Ostatné'][event_id % 7 + 1] AS raw_genre,
@@ -347,6 +347,7 @@ mine AS (SELECT f.user_id, ev.* FROM favorites f JOIN users u ON u.id = f.user_i
 part_a AS (SELECT user_id, id AS event_id FROM mine WHERE starts_at <= {NOW} + INTERVAL 168 HOUR AND {END} >= {NOW}),
 part_b AS (SELECT c.user_id, e.id AS event_id FROM (SELECT DISTINCT user_id, city FROM mine) c JOIN (SELECT DISTINCT user_id, genre FROM mine) g USING (user_id)
   JOIN ev e ON e.city = c.city AND e.genre = g.genre WHERE e.created_at BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW} AND e.starts_at >= {NOW})"""
+ORACLES["stream_ingest"] = f"SELECT url, price_from, currency FROM ({ORACLES['rescrape_update']})"
 ORACLES["digest_suggestions"] = with_base("SELECT user_id, event_id FROM part_b", DIGEST)
 ORACLES["digest"] = with_base(
     "SELECT user_id, event_id, min(part) AS part FROM (SELECT *, 'a' AS part FROM part_a UNION ALL SELECT *, 'b' FROM part_b) GROUP BY ALL", DIGEST

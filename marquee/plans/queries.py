@@ -1,5 +1,6 @@
 """Every operator as a query over the provided tables."""
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -12,9 +13,10 @@ from marquee.functions import dates, markup, places, prices, text, urls
 from marquee.operators import cards, digest, extract, feed, frontier, linkage, maintenance, merge, normalize, upserts
 from marquee.operators.resolve import resolve_batch
 from marquee.plans.ingest import ingest, ingest_stats
-from marquee.session import cut
+from marquee.session import checkpoint_dir, cut
 from marquee.sources import sample
-from marquee.sources.tables import Tables, empty_tables
+from marquee.sources.tables import Tables, empty_tables, read_snapshot
+from marquee.streaming.ingest import stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -616,3 +618,17 @@ def digest_merge(spark, sf):
 
 
 QUERIES["digest"] = QUERIES.pop("digest_merge")
+
+
+# --- streaming -------------------------------------------------------------------------
+@query
+def stream_ingest_run(spark, sf):
+    """Listings that landed as files, taken in by one triggered run; the seller listings it leaves."""
+    base = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    sample.raw_listings(spark, sf).write.parquet(f"{base}/landing")
+    run = stream_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/progress", sample.sources(spark, sf), fuzzy=False)
+    run.awaitTermination()
+    return read_snapshot(spark, f"{base}/tables").event_sources.select("url", "price_from", "currency")
+
+
+QUERIES["stream_ingest"] = QUERIES.pop("stream_ingest_run")
