@@ -8,8 +8,10 @@ of the sentence, of the cubed normalised word kernel. Landmarks are words of the
 training sample: those that speak most for toxic documents, unlike each other, and
 common ones. Kernel values against them, whitened by the landmarks' own kernel, are
 the features of a linear support vector machine trained on sentences, which carry
-the label of their document. A document counts as its worst sentence; a logistic
-curve fitted on documents turns that into a score.
+the label of their document. Both classes weigh as in the labels, toxic sentences
+twice that. The machine's value of a sentence is a sum over its words; a document
+counts as its worst word, so that length alone makes no document worse, and a
+logistic curve fitted on documents turns that into a score.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or after ``WORDS``
 words. Four or more single letters in a row are read as one word.
@@ -17,7 +19,7 @@ words. Four or more single letters in a row are read as one word.
 The machine is fitted on a bounded sample: about ``DOCUMENTS`` of either class, and
 at most ``SENTENCES`` of their sentences in all. All documents are scored whole.
 
-Edge cases: null and empty texts score as a sentence without words; documents
+Edge cases: null and empty texts score as a word unlike all landmarks; documents
 labelled twice count as toxic if either label says so; without labels, or with one
 class only, every score is the share of toxic labels (0 without any); repeated rows
 get a row each; an empty table gives no rows.
@@ -37,7 +39,9 @@ from marquee.llm.common import documents, id_bucket, in_slices, only, sums, text
 
 #: Bounds of the training sample.
 DOCUMENTS, SENTENCES = 2000, 24_000
-LANDMARKS, COMMON, WORDS = 64, 16, 32
+LANDMARKS, COMMON, WORDS = 128, 16, 32
+#: Weight of a toxic sentence against its share in the labels.
+WEIGHT = 2.0
 THRESHOLD = 0.3
 DECAY, POWER = 0.5, 3
 #: Word scores that a task remembers; when there are more it starts over.
@@ -61,51 +65,76 @@ def normal(word: str) -> str:
     return word.lower().strip(string.punctuation)
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and weights of all subsequences, word by word, with the words' offsets and norms."""
+def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of five symbols (rows; 32 beyond a word's end), the run at every
+    character of the words one after the other, and where each word starts."""
     line = "".join([f"\0{w}\0" for w in words])
     point = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = np.where(point < 128, TABLE[np.minimum(point, 127)], 27 + point % 4)
+    sym = np.where(point < 128, TABLE[np.minimum(point, 127)], 27 + point % 4).astype(np.int64)
     lengths = np.array([len(w) + 2 for w in words], np.int64)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    at = np.arange(len(sym))
-    codes, weights, owner = [], [], []
-    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(sym))
+    padded = np.append(sym, [0] * 4)
+    code = sum(np.where(left > k, padded[k : k + len(sym)], 32) << 6 * k for k in range(5))
+    runs, at = np.unique(code, return_inverse=True)
+    return np.column_stack([runs >> 6 * k & 63 for k in range(5)]), at, np.cumsum(lengths) - lengths
+
+
+def subsequences(runs: np.ndarray):
+    """For each pair of steps: the runs that are long enough, the codes of their subsequences, and the weight."""
     for a, b, weight in STEPS:
-        p = at[: max(len(sym) - b, 0)]
-        p = p[p + b < ends[p]]
-        codes.append(sym[p] << 10 | sym[p + a] << 5 | sym[p + b])
-        weights.append(np.full(len(p), weight, np.float32))
-        owner.append(word[p])
-    owner = np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    codes, weights = np.concatenate(codes)[order], np.concatenate(weights)[order]
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int64)
-    return codes, weights, offsets, np.sqrt(sums(weights.astype(float) ** 2, offsets)) + 1e-9
+        rows = np.flatnonzero(runs[:, b] != 32)
+        yield rows, runs[rows, 0] << 10 | runs[rows, a] << 5 | runs[rows, b], weight
+
+
+def norms(runs: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    squares = np.zeros(len(runs))
+    for rows, _, weight in subsequences(runs):
+        squares[rows] += weight**2
+    return np.sqrt(np.add.reduceat(squares[at], starts)) + 1e-9
+
+
+def word_sums(of_run: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``of_run[at]`` by word: all first rows, all second rows, and so on."""
+    matter = of_run.any(axis=1)[at]
+    kept = np.concatenate([[0], np.cumsum(matter)])
+    begin, sizes = kept[starts], np.diff(kept[np.append(starts, len(at))])
+    at, order = at[matter], np.argsort(-sizes, kind="stable")
+    begin, sizes = begin[order], sizes[order]
+    total = np.zeros((len(starts), of_run.shape[1]), np.float32)
+    for k in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -k, side="left"))
+        total[:n] += of_run[at[begin[:n] + k]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
 
 
 def against(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Cubed kernel values of words (rows) with the landmarks (columns of ``table``)."""
-    codes, weights, offsets, norms = subsequences(words)
+    """Cubed kernel values of words (rows) with the landmarks (columns of ``table``).
+
+    A word's value is a sum over its runs, and words share most of their runs.
+    """
     out = np.zeros((len(words), table.shape[1]), np.float32)
-    used = np.any(table != 0, axis=1)[codes]
-    kept = np.concatenate([[0], np.cumsum(used)])
-    codes, weights, offsets = codes[used], weights[used], kept[offsets]
-    for first in range(0, len(words), 4096):
-        cut = offsets[first : first + 4097]
-        part = slice(cut[0], cut[-1])
-        if cut[-1] > cut[0]:
-            full = np.flatnonzero(np.diff(cut))
-            product = table[codes[part]] * weights[part, None]
-            out[first + full] = np.add.reduceat(product, cut[full] - cut[0], axis=0)
-    return (out / norms[:, None].astype(np.float32)) ** POWER
+    for first in range(0, len(words), 32768):
+        runs, at, starts = windows(words[first : first + 32768])
+        of_run = np.zeros((len(runs), table.shape[1]), np.float32)
+        for rows, codes, weight in subsequences(runs):
+            of_run[rows] += table[codes] * np.float32(weight)
+        out[first : first + len(starts)] = (word_sums(of_run, at, starts) / norms(runs, at, starts)[:, None].astype(np.float32)) ** POWER
+    return out
 
 
 def landmark_table(words: list[str]) -> np.ndarray:
-    codes, weights, offsets, norms = subsequences(words)
+    """Weights of all subsequences (rows) in each landmark (columns), over the landmark's norm."""
     table = np.zeros((1 << 15, len(words)), np.float32)
-    owner = np.repeat(np.arange(len(words)), np.diff(offsets))
-    np.add.at(table, (codes, owner), weights / norms[owner])
+    if words:
+        runs, at, starts = windows(words)
+        size = norms(runs, at, starts)
+        for rows, codes, weight in subsequences(runs):
+            code = np.full(len(runs), -1)
+            code[rows] = codes
+            here, owner = code[at], np.searchsorted(starts, np.arange(len(at)), side="right") - 1
+            np.add.at(table, (here[here >= 0], owner[here >= 0]), weight / size[owner[here >= 0]])
     return table
 
 
@@ -166,7 +195,7 @@ class Model:
     memory: dict[str, float] = field(default_factory=dict)
 
     def worst(self, texts: pa.Array) -> np.ndarray:
-        """The value of each text's worst sentence."""
+        """The value of each text's worst word."""
         text_first, first, token, words = sentences(texts)
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
@@ -174,8 +203,11 @@ class Model:
         if new:
             self.memory.update(zip(new, (against(new, self.table) @ self.beta).tolist(), strict=True))
         value = np.array([self.memory[w] for w in words])
-        totals = sums(value[token] if len(token) else np.zeros(0), first)
-        return np.maximum.reduceat(totals, text_first) + self.bias if len(texts) else np.zeros(0)
+        starts = np.append(first[text_first], len(token))
+        worst, full = np.zeros(len(texts)), np.flatnonzero(np.diff(starts))
+        if len(full):
+            worst[full] = np.maximum.reduceat(value[token], starts[full])
+        return worst + self.bias
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.share is not None:
@@ -217,7 +249,10 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = DOCUMENTS, most: int =
     kernel = against(words, table) @ whiten
     offsets = np.concatenate([[0], np.cumsum([len(s) for _, _, s in found])])
     rows = sums(kernel[[place[w] for _, _, s in found for w in s]], offsets)
-    w = svm.train(np.column_stack([rows, np.ones(len(rows))]), np.where(toxic == 1, 1.0, -1.0), np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())), rounds=25)
+    # Sampled documents of a label stand for all of it.
+    drawn = [len({d for d, t, _ in found if t == label}) for label in (0, 1)]
+    scarce = counts[0] / drawn[0] / (counts[1] / drawn[1])
+    w = svm.train(np.column_stack([rows, np.ones(len(rows))]), np.where(toxic == 1, 1.0, -1.0), np.where(toxic == 1, WEIGHT, scarce), rounds=25)
     model = Model(table, whiten @ w[:-1], float(w[-1]))
     calibrate(model, sample, counts)
     return model
