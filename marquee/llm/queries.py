@@ -9,8 +9,9 @@ from marquee.llm.language import op3_hierarchical_svm
 from marquee.llm.packing import op7_best_two_fit
 from marquee.llm.pages import op4_composite_density
 from marquee.llm.phrases import op9_phrase_fingerprint
+from marquee.llm.scoring import op6_backoff_automaton
 from marquee.llm.secrets import op8_blob_ledger
 from marquee.llm.toxicity import op10_string_kernel
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_positional_index, op3_hierarchical_svm, op4_composite_density, op7_best_two_fit, op8_blob_ledger, op9_phrase_fingerprint, op10_string_kernel)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_positional_index, op3_hierarchical_svm, op4_composite_density, op6_backoff_automaton, op7_best_two_fit, op8_blob_ledger, op9_phrase_fingerprint, op10_string_kernel)}
 ORACLES: dict[str, str] = {"op1_positional_index": OP1_SQL}
