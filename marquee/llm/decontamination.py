@@ -52,10 +52,10 @@ def padded(words: Column, edge: str, reach: int) -> Column:
     return F.concat(pad, words, pad)
 
 
-def few(terms: DataFrame) -> tuple[DataFrame, bool]:
-    """The terms, with the hint to broadcast them if their number allows it."""
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return (F.broadcast(terms) if small else terms), small
+def few(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows, with the hint to broadcast them if their number allows it."""
+    small = rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return (F.broadcast(rows) if small else rows), small
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     """``docs`` without those that hold a window of a benchmark item; columns stay as they are."""
     names = docs.columns
     _, matches = search(only(docs, "doc_id", "text"), only(items, "item_id", "text"), window)
-    bad = matches.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    bad = few(cut(matches.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()))[0]
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
 

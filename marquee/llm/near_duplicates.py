@@ -265,9 +265,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest id; columns stay as they are."""
-    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each component: that with the smallest id; columns stay as they are.
+
+    Rows with equal ids stay together, but equal ids with equal texts are one row.
+    """
+    found = near_duplicates(docs).filter("doc_id IS NOT NULL").withColumn("stays", F.col("doc_id") == F.col("component_id"))
+    gone = cut(found.groupBy("doc_id").agg(F.max("stays").alias("stays")).filter("NOT stays").select("doc_id"))
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    rows = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rows

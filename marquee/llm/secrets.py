@@ -16,7 +16,6 @@ per task.
 import re
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,10 +127,10 @@ def redact(docs: DataFrame, mask: str = MASK, rules: tuple[Rule, ...] = RULES) -
         import pandas as pd
 
         out = []
-        for t, found in zip(text, spans, strict=True):
-            if found is not None and len(found):
+        for t, marks in zip(text, spans, strict=True):
+            if t is not None and marks is not None:
                 parts, at = [], 0
-                for span in found:
+                for span in marks:
                     if span["end"] > at:
                         if span["start"] >= at:
                             parts += [t[at : span["start"]], mask]
@@ -140,11 +139,12 @@ def redact(docs: DataFrame, mask: str = MASK, rules: tuple[Rule, ...] = RULES) -
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    changed = marked.filter(F.col("__spans").isNotNull()).withColumn("text", masked("text", "__spans"))
+    # Only texts with findings are sent to Python.
+    found = F.col("__spans").isNotNull()
+    rows = marked.withColumn("__new", masked(F.when(found, F.col("text")), "__spans"))
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    same = marked.filter(F.col("__spans").isNull())
-    return same.select(*columns).unionByName(changed.select(*columns))
+        rows = rows.withColumn("n_chars", F.when(found, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", F.coalesce("__new", "text")).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

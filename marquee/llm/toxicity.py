@@ -246,9 +246,12 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = DOCUMENTS, most: int =
     whiten = vectors[:, kept] / np.sqrt(values[kept])
     words = list(dict.fromkeys(w for _, _, s in found for w in s))
     place = {w: k for k, w in enumerate(words)}
-    kernel = against(words, table) @ whiten
-    offsets = np.concatenate([[0], np.cumsum([len(s) for _, _, s in found])])
-    rows = sums(kernel[[place[w] for _, _, s in found for w in s]], offsets)
+    kernel = against(words, table)
+    rows = np.zeros((len(found), whiten.shape[1]))
+    for first in range(0, len(found), 500):
+        part = [s for _, _, s in found[first : first + 500]]
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in part])])
+        rows[first : first + len(part)] = sums(kernel[[place[w] for s in part for w in s]], offsets) @ whiten
     # Sampled documents of a label stand for all of it.
     drawn = [len({d for d, t, _ in found if t == label}) for label in (0, 1)]
     scarce = counts[0] / drawn[0] / (counts[1] / drawn[1])
@@ -288,7 +291,7 @@ def choose_landmarks(found: list[tuple[int, int, list[str]]]) -> list[str]:
     hits = {w: len(d) for w, d in seen[1].items()}
     misses = {w: len(d) for w, d in seen[0].items()}
     gain = {w: k * np.log((k + 0.5) / n[1] / ((misses.get(w, 0) + 0.5) / n[0])) for w, k in hits.items() if k >= 2}
-    ranked = sorted(gain, key=lambda w: (-gain[w], w))[:600]
+    ranked = sorted(gain, key=lambda w: (-gain[w], w))[: 3 * LANDMARKS]
     common = sorted(set(hits) | set(misses), key=lambda w: (-hits.get(w, 0) - misses.get(w, 0), w))[: 4 * COMMON]
     table = landmark_table(ranked + common) if ranked + common else np.zeros((1 << 15, 0))
     alike = table.T @ table
