@@ -1,31 +1,53 @@
-"""A corpus pipeline: stages over the table of documents, each applying one text operator."""
+"""A corpus pipeline: stages over the table of documents, each applying one text operator.
+
+Each stage works on all documents that the one before kept. Run as a whole, every
+stage is written to the shared checkpoint folder and read back, so a lost executor
+costs at most one stage.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.llm import decontamination, language, near_duplicates, packing, secrets
 from marquee.llm.common import documents
-from marquee.llm.packing import best_fit_packing
-from marquee.llm.secrets import redact
 from marquee.session import cut
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be recognised go; the others stay as they are."""
+    return language.accepted(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that are linked by shared shingles, the one with the smallest id stays."""
+    return near_duplicates.deduplicated(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets masked."""
-    return redact(docs)
+    return secrets.redact(docs)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents left, packed into sequences."""
-    return best_fit_packing(docs)
+    return packing.best_fit_packing(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_scans),
-    ("packing", packing),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-#: Tokenization and learned models are not expressible in SQL.
+#: Learned models and tokenization are not expressible in SQL.
 ORACLE_SQL = None
 
 
