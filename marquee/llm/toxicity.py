@@ -59,10 +59,12 @@ def symbols() -> np.ndarray:
 
 
 TABLE = symbols()
+MARKS = dict.fromkeys(map(ord, string.punctuation))
 
 
 def normal(word: str) -> str:
-    return word.lower().strip(string.punctuation)
+    """A word in lower case without punctuation, also between its letters."""
+    return word.lower().translate(MARKS)
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
