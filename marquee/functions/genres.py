@@ -9,18 +9,23 @@ from marquee.functions.text import normalize_text
 # --- fixed values: ordered rules, the first genre with a hit wins ---------
 # A keyword matches at a word start; "=" asks for the whole word.
 GENRE_RULES = [
-    ("theatre", "divadl theatre theater muzikal musical opera balet ballet cinohra tanec loutk".split()),
+    ("theatre", ["divadl", "theatre", "theater", "muzikal", "musical", "opera", "balet", "ballet", "cinohra", "tanec", "loutk"]),
     ("standup", ["stand up", "standup", "komedi", "comedy"]),
-    ("exhibition", "vystav exhibition galeri muzeum museum expozic".split()),
-    ("sport", "sport futbal fotbal football hokej hockey basket tenis tennis zapas maraton marathon".split()),
+    ("exhibition", ["vystav", "exhibition", "galeri", "muzeum", "museum", "expozic"]),
+    (
+        "sport",
+        ["sport", "futbal", "fotbal", "football", "hokej", "hockey", "basket", "tenis", "tennis", "zapas", "maraton", "marathon"],
+    ),
     (
         "electronic",
         ["electro", "elektron", "techno", "house", "trance", "drum and bass", "rave", "klub", "club", "=dj", "=dnb", "=edm"],
     ),
     (
         "concert",
-        "koncert concert festival hudba hudob music rock jazz".split()
-        + ["hip hop", "metal", "folk", "klasick", "classical", "orchestr", "live", "=pop", "=rap"],
+        [
+            "koncert", "concert", "festival", "hudba", "hudob", "music", "rock", "jazz", "hip hop", "metal", "folk",
+            "klasick", "classical", "orchestr", "live", "=pop", "=rap",
+        ],
     ),
 ]
 FALLBACK = "other"

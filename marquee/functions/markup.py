@@ -1,6 +1,8 @@
 """Text helpers for scraped pages: entities, addresses, price tiers, link parts."""
 
+import re
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,34 +14,69 @@ from marquee.functions.dates import local_datetime
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")]
 
 
+# A reference as a browser reads it: decimal, hexadecimal or by name.
+_REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+_SPACES = " \t\n\r\f\u000b\u00a0"
+
+
 def _code_unit(number: Column) -> Column:
     """Character of a 16-bit code, through its UTF-16 bytes."""
     return F.decode(F.unhex(F.lpad(F.hex(number % 65536), 4, "0")), "UTF-16BE")
 
 
-def _numeric(text: Column, pattern: str, value: Callable[[Column], Column]) -> Column:
-    """Replace every numeric reference; pieces between references are kept as they are."""
+def _woven(text: Column, pattern: str, char: Callable[[Column], Column]) -> Column:
+    """Replace every match of the pattern by a function of its group; the text between stays as it is."""
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_join(F.zip_with(pieces, F.transform(found, char), lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
 
-    def piece(part: Column, i: Column) -> Column:
-        char = _code_unit(value(F.substring_index(part, "\u0001", 1)))
-        rest = F.substring(part, F.instr(part, "\u0001") + 1, F.length(part))
-        return F.when(i == 0, part).otherwise(F.concat(char, rest))
 
-    def replaced(known: Column) -> Column:
-        marked = F.regexp_replace(known, pattern, "\u0000$1\u0001")
-        return F.when(known.contains("&#"), F.array_join(F.transform(F.split(marked, "\u0000"), piece), "")).otherwise(known)
+def _numeric(text: Column, pattern: str, value: Callable[[Column], Column]) -> Column:
+    """Replace every numeric reference by the character of its 16-bit code."""
+    return let(text, lambda known: F.when(known.contains("&#"), _woven(known, pattern, lambda d: _code_unit(value(d)))).otherwise(known))
 
-    return let(text, replaced)
+
+def _low_bits(digits: Column) -> Column:
+    """The lowest 16 bits of a decimal number of any length, read as floating point."""
+    rest = digits.try_cast("double") % 65536
+    return F.when(F.isnan(rest), 0).otherwise(rest.try_cast("long"))
 
 
 def entity_decode(text: Column) -> Column:
     """Named references in order, then decimal, then hexadecimal ones."""
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    text = _numeric(text, "&#([0-9]+);", lambda digits: (digits.cast("decimal(38,0)") % 65536).cast("long"))
+    text = _numeric(text, "&#([0-9]+);", _low_bits)
     return _numeric(text, "&#x([0-9a-fA-F]+);", lambda digits: F.conv(F.right(digits, F.lit(4)), 16, 10).cast("long"))
 
 
+def _code_point(digits: Column, base: int) -> Column:
+    """Character of a code point; U+FFFD for what is none."""
+    short = F.length(digits).between(1, 7)
+    number = F.when(short, F.conv(F.when(short, digits).otherwise("0"), base, 10).cast("long")).otherwise(0)
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def reference_decode(html: Column) -> Column:
+    """Character references of text or attributes, each decoded once, as a browser does."""
+    names = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))], F.lit("apos"), F.lit("'"))
+
+    def char(reference: Column) -> Column:
+        named = F.coalesce(F.try_element_at(names, reference), F.concat(F.lit("&"), reference, F.lit(";")))
+        return (
+            F.when(reference.rlike("^#[xX]"), _code_point(F.regexp_replace(reference, "^#[xX]0*", ""), 16))
+            .when(reference.startswith("#"), _code_point(F.regexp_replace(reference, "^#0*", ""), 10))
+            .otherwise(named)
+        )
+
+    return let(html, lambda text: F.when(text.contains("&"), _woven(text, _REFERENCE, char)).otherwise(text))
+
+
+def has_class(token: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> str:
+    """Pattern of an opening tag, up to its class attribute, that has the whole token among its classes."""
+    return rf"""<{tag}(?=\s)[^>]*?\sclass\s*=\s*["'](?:[^"'>]*\s)?{re.escape(token)}(?:\s[^"'>]*)?["']"""
+
+
 def strip_postal_code(city: Column) -> Column:
     return F.trim(F.regexp_replace(city, r"^\d{3}\s?\d{2}\s+", ""))
 
@@ -79,8 +116,8 @@ def min_price_from_blocks(blocks: Column) -> Column:
 
 
 def tag_text(html: Column) -> Column:
-    """Visible text of a markup fragment."""
-    return F.trim(F.regexp_replace(html, r"<[^>]*>", ""))
+    """Visible text of a markup fragment, references decoded."""
+    return F.btrim(reference_decode(F.regexp_replace(html, r"<[^>]*>", "")), F.lit(_SPACES))
 
 
 def url_hash(text: Column) -> Column:

@@ -40,4 +40,7 @@ def event_cards(events: DataFrame, event_sources: DataFrame, sources: DataFrame)
         F.col("id").alias("event_id"), "title", "venue", "city", "country", "starts_at", "ends_at",
         F.col("price_from").cast("double").alias("price_from"), "currency", "genre", "image_url",
     )
-    return card.join(placed, "event_id", "left")
+    # Inner, so that Spark may split the rows of a hot event; bare events are added apart.
+    bare = card.join(event_sources.select("event_id"), "event_id", "left_anti")
+    empty = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in placed.columns if c != "event_id"]
+    return card.join(placed, "event_id").unionByName(bare.select("*", *empty))

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from marquee.functions import let
 from marquee.functions.dates import local_datetime
-from marquee.functions.markup import entity_decode, min_price_from_blocks, split_address, split_date_address, tag_text
+from marquee.functions.markup import entity_decode, has_class, min_price_from_blocks, reference_decode, split_address, split_date_address, tag_text
 from marquee.functions.urls import absolute_url, url_path
+from marquee.operators.ranking import ranked
 
 # --- fixed values: listing category to genre label, path of an event page ---
 CATEGORY_LABELS = {
@@ -41,8 +42,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("url").alias("base"), F.posexplode(found).alias("position", "tag")).select(
         "page_id",
         "position",
-        F.regexp_extract("tag", _LINK, 1).alias("href"),
-        absolute_url(F.regexp_extract("tag", _LINK, 1), F.col("base")).alias("url"),
+        "base",
+        "tag",
+        reference_decode(F.regexp_extract("tag", _LINK, 1)).alias("href"),
+    ).select(
+        "page_id",
+        "position",
+        "href",
+        absolute_url(F.col("href"), F.col("base")).alias("url"),
         entity_decode(tag_text(F.regexp_extract("tag", _LINK, 2))).alias("text"),
     )
 
@@ -54,17 +61,17 @@ def with_path_prefix(links: DataFrame, prefix: str = EVENT_PATH) -> DataFrame:
 
 def listing_cards(pages: DataFrame, prefix: str = EVENT_PATH) -> DataFrame:
     """Event cards of category pages: ``category, position, title, href``."""
-    boxes = F.split("html", r"""(?i)<div[^>]*class=["'][^"']*\bbox-content\b""")
-    button = r"""(?is)<a\s[^>]*\bbox-item-btn\b[^>]*>"""
+    boxes = F.split("html", "(?i)" + has_class("box-content"))
+    button = "(?is)" + has_class("box-item-btn", "a") + "[^>]*>"
     cards = (
         pages.select("page_id", "category", F.col("url").alias("base"), F.posexplode(boxes).alias("box_at", "box"))
         .filter("box_at > 0")
         .withColumn("tag", F.explode(F.regexp_extract_all("box", F.lit(button), F.lit(0))))
-        .withColumn("href", F.regexp_extract("tag", r"""(?i)\shref=["']([^"']+)["']""", 1))
+        .withColumn("href", reference_decode(F.regexp_extract("tag", r"""(?i)\shref=["']([^"']+)["']""", 1)))
         .filter("href <> ''")
         .withColumn("url", absolute_url(F.col("href"), F.col("base")))
     )
-    title = F.regexp_extract("box", r"""(?is)box-item-title[^>]*>.*?<span[^>]*>(.*?)</span>""", 1)
+    title = F.regexp_extract("box", "(?is)" + has_class("box-item-title") + r"[^>]*>.*?<span[^>]*>(.*?)</span>", 1)
     return with_path_prefix(cards, prefix).select(
         "page_id", "category", F.col("box_at").alias("position"), entity_decode(tag_text(title)).alias("title"), F.col("url").alias("href")
     )
@@ -123,14 +130,16 @@ def jsonld_repair(extracted: DataFrame, raw: str = "embedded_text") -> DataFrame
 # --- detail pages --------------------------------------------------------------
 def _tour_stops(html: Column, base: Column, prefix: str) -> Column:
     item = (
-        r"""(?is)<li[^>]*class=["'][^"']*\blist-group-item\b[^>]*>\s*<a[^>]*href=["']("""
+        "(?is)"
+        + has_class("list-group-item", "li")
+        + r"""[^>]*>\s*<a[^>]*href=["']("""
         + re.escape(prefix)
         + r"""[^"']*)["'][^>]*>(.*?)</a>"""
     )
 
     def stop(tag: Column) -> Column:
         body = F.regexp_extract(tag, item, 2)
-        span = tag_text(F.regexp_extract(body, r"""(?is)<span[^>]*\btext-readable\b[^>]*>(.*?)</span>""", 1))
+        span = tag_text(F.regexp_extract(body, "(?is)" + has_class("text-readable", "span") + r"[^>]*>(.*?)</span>", 1))
         read = F.struct(
             entity_decode(tag_text(F.regexp_extract(body, r"(?is)<strong[^>]*>(.*?)</strong>", 1))).alias("title"),
             span.alias("text"),
@@ -143,7 +152,7 @@ def _tour_stops(html: Column, base: Column, prefix: str) -> Column:
                 r["text"].alias("text"),
                 r["dated"]["starts_at"].alias("starts_at"),
                 split_address(r["dated"]["address"]).alias("place"),
-                absolute_url(F.regexp_extract(tag, item, 1), base).alias("href"),
+                absolute_url(reference_decode(F.regexp_extract(tag, item, 1)), base).alias("href"),
             ),
         )
 
@@ -153,20 +162,20 @@ def _tour_stops(html: Column, base: Column, prefix: str) -> Column:
 
 def min_price_tiers(html: Column) -> Column:
     """Lowest price among the blocks labelled as price."""
-    label = r"""<small[^>]*\bcolor-blue\b[^>]*>\s*""" + PRICE_WORD + r"""\s*</small>"""
+    label = has_class("color-blue", "small") + r"""[^>]*>\s*""" + PRICE_WORD + r"""\s*</small>"""
     block = r"(?is)<(\w+)[^>]*>\s*" + label + r"(.*?)</\1>"
     return min_price_from_blocks(F.transform(F.regexp_extract_all(html, F.lit(block), F.lit(2)), tag_text))
 
 
 def _image_tag(html: Column) -> Column:
     tag = F.regexp_extract(html, r"""(?is)<meta[^>]*property=["']og:image["'][^>]*>""", 0)
-    return F.nullif(F.regexp_extract(tag, r"""(?is)\bcontent=["']([^"']*)["']""", 1), F.lit(""))
+    return F.nullif(reference_decode(F.regexp_extract(tag, r"""(?is)\bcontent=["']([^"']*)["']""", 1)), F.lit(""))
 
 
 def page_details(pages: DataFrame, prefix: str = EVENT_PATH) -> DataFrame:
     """One row per page: ``kind`` is single, tour or NULL, with what was read from it."""
     html = F.col("html")
-    visible = F.trim(tag_text(F.regexp_extract(html, r"""(?is)<p[^>]*class=["'][^"']*\bmb-4\b[^>]*>(.*?)</p>""", 1)))
+    visible = tag_text(F.regexp_extract(html, "(?is)" + has_class("mb-4", "p") + r"[^>]*>(.*?)</p>", 1))
     read = jsonld_extract(pages).withColumns(
         {
             "stops": _tour_stops(html, F.col("url"), prefix),
@@ -237,12 +246,13 @@ def page_rejects(details: DataFrame) -> DataFrame:
 def pages_to_listings(pages: DataFrame, source: str, country: str, currency: str, prefix: str = EVENT_PATH) -> DataFrame:
     """Raw listings of detail pages with ``page_id, category, url, html``.
 
-    The order of ``seq`` is page order, then stop order inside a tour.
+    ``seq`` counts the listings from 0, in page order, then stop order inside a tour,
+    so page ids may be any numbers.
     """
-    rows = listed(page_details(pages, prefix))
+    rows = ranked(listed(page_details(pages, prefix)), [], ["page_id", "stop"])
     label = F.coalesce(*[F.when(F.col("category") == slug, name) for slug, name in CATEGORY_LABELS.items()])
     return rows.select(
-        (F.shiftleft(F.col("page_id"), 20) + F.col("stop")).alias("seq"),
+        (F.col("position") - 1).alias("seq"),
         F.lit(source).alias("source"),
         F.col("href").alias("source_url"),
         "title",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.config import (
@@ -196,6 +197,31 @@ def city_options(events: DataFrame, now: datetime, selected: list[str] | None =
     return cities.distinct().orderBy(F.collate(F.col("city"), locale))
 
 
+def home_feed(events: DataFrame, filters: Filters, now: datetime) -> DataFrame:
+    """The front page at one instant: ``section`` is happening, grid or city, in order of ``place``.
+
+    All three are bounded by the page size, the row's length and the number of cities.
+    """
+    order = {
+        "happening": [F.col("effective_end"), F.col("starts_at"), F.col("id")],
+        "grid": [F.col("start_day"), F.desc("price_known"), F.col("starts_at"), F.col("id")],
+        "city": [F.collate(F.col("city"), "sk")],
+    }
+    parts = {
+        "happening": happening_now(events, filters, now),
+        "grid": feed_page(events, filters, now).limit(filters.page * PAGE_SIZE),
+        "city": city_options(events, now, list(filters.cities)),
+    }
+    columns = {"id": "string", "title": "string", "city": "string", "starts_at": "timestamp"}
+    shown = [
+        rows.withColumn("place", F.row_number().over(W.partitionBy(F.lit(name)).orderBy(*order[name]))).select(
+            F.lit(name).alias("section"), "place", *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        )
+        for name, rows in parts.items()
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 # --- many requests -----------------------------------------------------------
 ANY = "*"
 

@@ -37,14 +37,16 @@ def disallow_anti_join(cards: DataFrame, patterns: DataFrame, url: str = "url")
 
 
 def refetch_plan(cards: DataFrame, scraped_pages: DataFrame, now: Column) -> DataFrame:
-    """Add canonical ``url`` and ``decision``: new, due or fresh.
+    """Add canonical ``url`` and ``decision``: new, due, fresh or invalid.
 
-    A page known without a time is due, one never known is new.
+    A page known without a time is due, one never known is new. A link that is no
+    valid URL has no canonical one and is never fetched.
     """
     known = scraped_pages.select("url", "last_fetched_at", F.lit(True).alias("known"))
     age = epoch_ms(now) - epoch_ms(F.col("last_fetched_at"))
     decision = (
-        F.when(F.col("known").isNull(), "new")
+        F.when(F.col("url").isNull(), "invalid")
+        .when(F.col("known").isNull(), "new")
         .when(F.col("last_fetched_at").isNull(), "due")
         .when(age >= REFETCH_INTERVAL_MS + refetch_jitter(F.col("url")), "due")
         .otherwise("fresh")
@@ -55,7 +57,7 @@ def refetch_plan(cards: DataFrame, scraped_pages: DataFrame, now: Column) -> Dat
 
 def refetch_cap(plan: DataFrame, limit: int | None) -> DataFrame:
     """The pages to fetch: the first ``limit`` per category, fresh ones not counted."""
-    wanted = plan.filter("decision <> 'fresh'")
+    wanted = plan.filter("decision IN ('new', 'due')")
     if limit is None:
         return wanted
     place = F.row_number().over(W.partitionBy("category").orderBy("position"))

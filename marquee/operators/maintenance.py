@@ -30,13 +30,20 @@ def listing_counts(event_sources: DataFrame) -> DataFrame:
 
 
 def source_report(events: DataFrame, event_sources: DataFrame, sources: DataFrame, slug: str) -> DataFrame:
-    """Events one seller lists, with how many listings each has."""
+    """Events one seller lists, newest first, with how many listings each has and who else sells them."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name"))
+    sellers = (
+        event_sources.select(F.col("event_id").alias("id"), "source_id").join(names, "source_id").groupBy("id")
+        .agg(F.array_sort(F.collect_set("name")).alias("sellers"))
+    )
     seller = sources.filter(F.col("slug") == slug).select(F.col("id").alias("source_id"))
     listed = event_sources.join(seller, "source_id", "left_semi").select(F.col("event_id").alias("id"))
     return (
         events.join(listed, "id", "left_semi")
         .join(listing_counts(event_sources), "id")
-        .select("id", "title", "venue", "city", "starts_at", "price_from", "currency", "genre", "created_at", "listings")
+        .join(sellers, "id")
+        .select("id", "title", "venue", "city", "starts_at", "price_from", "currency", "genre", "created_at", "listings", "sellers")
+        .orderBy(F.desc("created_at"), "id")
     )
 
 

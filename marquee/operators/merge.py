@@ -117,7 +117,8 @@ def rescrape_update(event_sources: DataFrame, rescrapes: DataFrame, now: Column)
 
 def of_events(rescrapes: DataFrame, event_sources: DataFrame) -> DataFrame:
     """Re-scrapes with their event and whether other listings back it."""
-    backing = event_sources.groupBy("event_id").agg(F.count(F.lit(1)).alias("listings"))
+    # Written first: a join on the partitioning of an aggregate is not split at a hot event.
+    backing = cut(event_sources.groupBy("event_id").agg(F.count(F.lit(1)).alias("listings")))
     return (
         rescrapes.join(event_sources.select("url", "event_id"), "url")
         .join(backing, "event_id")

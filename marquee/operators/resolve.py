@@ -110,7 +110,8 @@ def _resolve_exact(nodes: DataFrame, events: DataFrame) -> DataFrame:
     """Without fuzzy matching the earliest listing of a fingerprint founds its event."""
     first = nodes.groupBy("fingerprint").agg(F.min(F.struct("seq", "id")).alias("first"))
     stored = events.select("fingerprint", F.col("id").alias("stored_id"))
-    target = first.join(stored, "fingerprint", "left")
+    # Written first: a join on the partitioning of an aggregate is not split at a hot fingerprint.
+    target = cut(first.join(stored, "fingerprint", "left"))
     founder = F.col("stored_id").isNull() & (F.col("first.seq") == F.col("seq"))
     return nodes.select("seq", "fingerprint").join(target, "fingerprint").select(
         "seq",

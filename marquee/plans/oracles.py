@@ -196,15 +196,16 @@ ORACLES: dict[str, str] = {
     "page_shape": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE shape WHEN 2 THEN 'tour' WHEN 4 THEN NULL ELSE 'single' END AS kind,"
     " CASE shape WHEN 4 THEN 'unrecognized event page shape' END AS reason FROM shown UNION ALL"
     " SELECT page_id, NULL, 'unrecognized event page shape' FROM pages",
-    "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CAST(i AS INTEGER) AS stop, name || ' ' || (i + 1) AS title, t0 AS starts_at, hall AS venue, 'Prešov' AS city,"
-    " 'https://tickets.example.com/sk/listky/' || event_id || '-' || (i + 1) AS href FROM shown, range(2) r(i) WHERE shape = 2",
+    "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CAST(i AS INTEGER) AS stop, name || ' ' || (i + 1) AS title, t0 AS starts_at, replace(hall, ' ', chr(160)) AS venue, 'Prešov' AS city,"
+    " 'https://tickets.example.com/sk/listky/' || event_id || '-' || (i + 1) || '?x=1&y=2' AS href FROM shown, range(2) r(i) WHERE shape = 2",
     "min_price_tiers": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE WHEN shape IN (0, 3) THEN low END AS price FROM shown",
     "pages_to_listings": f"""WITH {PAGE_FIELDS}, listed AS (SELECT *, ['Koncert','Šport','Show','Divadlo','Festival','Pre deti','Ostatné'][event_id % 7 + 1] AS raw_genre,
  'https://tickets.example.com/sk/listky/' || event_id AS page FROM shown)
- SELECT event_id * 1048576 AS seq, page || '/' AS source_url, name AS title, hall AS venue, CASE WHEN shape = 3 THEN 'Bratislava' ELSE 'Košice' END AS city, t0 AS starts_at,
- CASE WHEN shape IN (0, 3) THEN low END AS price_from, raw_genre, CASE WHEN shape = 3 THEN 'https://og/' ELSE 'https://img/' END || event_id AS image_url
+ SELECT row_number() OVER (ORDER BY event_id, i) - 1 AS seq, * EXCLUDE (event_id, i) FROM (
+ SELECT event_id, 0 AS i, page || '/' AS source_url, name AS title, CASE WHEN shape = 3 THEN replace(hall, ' ', chr(160)) ELSE hall END AS venue, CASE WHEN shape = 3 THEN 'Bratislava' ELSE 'Košice' END AS city, t0 AS starts_at,
+ CASE WHEN shape IN (0, 3) THEN low END AS price_from, raw_genre, CASE WHEN shape = 3 THEN 'https://og/' || event_id || '?a=1&b=2' ELSE 'https://img/' || event_id END AS image_url
  FROM listed WHERE shape IN (0, 1, 3, 5) UNION ALL
- SELECT event_id * 1048576 + i, page || '-' || (i + 1), name || ' ' || (i + 1), hall, 'Prešov', t0, NULL, raw_genre, 'https://img/' || event_id FROM listed, range(2) r(i) WHERE shape = 2""",
+ SELECT event_id, i, page || '-' || (i + 1) || '?x=1&y=2', name || ' ' || (i + 1), replace(hall, ' ', chr(160)), 'Prešov', t0, NULL, raw_genre, 'https://img/' || event_id FROM listed, range(2) r(i) WHERE shape = 2)""",
     "listing_cards": "SELECT event_id AS page_id, ['koncert','sport','show','divadlo','festival','pre-deti','ostatne'][event_id % 7 + 1] AS category,"
     " event_type || ' & Night' AS title, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS href FROM events",
     "entity_decode": "SELECT page_id, replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''') AS decoded FROM pages",
@@ -235,8 +236,8 @@ ORACLES: dict[str, str] = {
     ),
     "derive_sort_fields": with_base("SELECT id, start_day, price_known FROM ev"),
     "title_distance": with_base(
-        "SELECT t.title_key AS a, u.title_key AS b, levenshtein(t.title_key, u.title_key) / greatest(length(t.title_key), length(u.title_key)) AS distance"
-        " FROM (SELECT DISTINCT fingerprint, title_key FROM ok) t JOIN founded u USING (fingerprint)"
+        "SELECT city, a, b, levenshtein(a, b) / greatest(length(a), length(b)) AS distance"
+        " FROM (SELECT city, title_key AS a, lead(title_key) OVER (PARTITION BY city ORDER BY title_key) AS b FROM (SELECT DISTINCT city, title_key FROM ok)) WHERE b IS NOT NULL"
     ),
     "numbers_conflict": with_base(
         r"SELECT seq, array_to_string(regexp_extract_all(title_key, '\d+'), ',') AS numbers,"
@@ -309,6 +310,13 @@ ORACLES: dict[str, str] = {
     "visible_events": with_base(f"SELECT id, city FROM ev WHERE {VISIBLE}"),
     "city_options": with_base(f"SELECT DISTINCT city FROM ev WHERE {VISIBLE}"),
     "city_options_union": with_base(f"SELECT city FROM ev WHERE {VISIBLE} UNION SELECT unnest(['Žilina', 'Praha'])"),
+    "home_feed": with_base(
+        f"SELECT * FROM (SELECT 'happening' AS section, CAST(row_number() OVER (ORDER BY {END}, starts_at, id) AS INTEGER) AS place, id, title, city, starts_at FROM ev"
+        f" WHERE starts_at < {NOW} AND {END} >= {NOW} QUALIFY place <= 12 UNION ALL"
+        " SELECT 'grid', CAST(row_number() OVER (ORDER BY start_day, price_known DESC, starts_at, id) AS INTEGER) AS place, id, title, city, starts_at FROM ev"
+        f" WHERE {upcoming()} QUALIFY place <= 24 UNION ALL"
+        f" SELECT 'city', CAST(row_number() OVER (ORDER BY city COLLATE sk) AS INTEGER), NULL, NULL, city, NULL FROM (SELECT DISTINCT city FROM ev WHERE {VISIBLE}))"
+    ),
     "event_cards": with_base(
         "SELECT v.id AS event_id, v.title, v.price_from::DOUBLE AS price_from, v.currency, e.url, s.name AS source_name, e.price_from::DOUBLE AS listing_price,"
         " e.currency AS listing_currency, row_number() OVER (PARTITION BY v.id ORDER BY e.currency <> v.currency, e.price_from IS NULL, coalesce(e.price_from, 0),"
@@ -326,7 +334,8 @@ ORACLES: dict[str, str] = {
     "drop_source": with_base("SELECT url, event_id FROM es WHERE source_id <> 's3'"),
     "orphan_events": with_base("SELECT id, title FROM ev WHERE id NOT IN (SELECT event_id FROM es WHERE source_id <> 's3')"),
     "source_report": with_base(
-        "SELECT v.id, v.title, v.city, count(*) AS listings FROM ev v JOIN es e ON e.event_id = v.id GROUP BY ALL HAVING bool_or(e.source_id = 's3')"
+        "SELECT v.id, v.title, v.city, v.created_at, count(*) AS listings, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS sellers"
+        " FROM ev v JOIN es e ON e.event_id = v.id JOIN sources s ON s.id = e.source_id GROUP BY v.id, v.title, v.city, v.created_at HAVING bool_or(e.source_id = 's3')"
     ),
     "multi_source_events": with_base("SELECT event_id AS id, count(*) AS listings FROM es GROUP BY event_id HAVING count(*) > 1"),
     "title_contains": with_base(

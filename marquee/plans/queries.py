@@ -5,6 +5,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -357,9 +358,10 @@ def fingerprint_match(spark, sf):
 
 @query
 def title_distance(spark, sf):
-    mine = valid(spark, sf).select("fingerprint", F.col("title_key").alias("a")).distinct()
-    theirs = catalogue(spark, sf).events.select("fingerprint", text.normalize_text(F.col("title")).alias("b"))
-    return mine.join(theirs, "fingerprint").select("a", "b", text.title_distance(F.col("a"), F.col("b")).alias("distance"))
+    """Each title of a city with the next one in the alphabet: near variants, and different titles."""
+    titles = valid(spark, sf).select("city", F.col("title_key").alias("a")).distinct()
+    pairs = titles.withColumn("b", F.lead("a").over(W.partitionBy("city").orderBy("a"))).filter("b IS NOT NULL")
+    return pairs.select("city", "a", "b", text.title_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 @query
@@ -537,6 +539,11 @@ def city_options_union(spark, sf):
     return feed.city_options(catalogue(spark, sf).events, NOW, ["Žilina", "Praha"])
 
 
+@query
+def home_feed(spark, sf):
+    return feed.home_feed(catalogue(spark, sf).events, feed.Filters(), NOW)
+
+
 @query
 def event_cards(spark, sf):
     tables = catalogue(spark, sf)
@@ -576,7 +583,7 @@ def orphan_events(spark, sf):
 def source_report(spark, sf):
     tables = catalogue(spark, sf)
     report = maintenance.source_report(tables.events, tables.event_sources, tables.sources, SELLER)
-    return report.select("id", "title", "city", "listings")
+    return report.select("id", "title", "city", "created_at", "listings", "sellers")
 
 
 @query

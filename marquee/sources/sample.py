@@ -106,6 +106,9 @@ def detail_pages_from_events(events: DataFrame) -> DataFrame:
     number, shape = F.col("event_id").cast("string"), F.col("event_id") % 6
     name = F.concat("event_type", F.lit(" &amp; Night "), (F.col("user_id") % 10).cast("string"))
     hall = F.concat(F.lit("Hall "), (F.col("user_id") % 20).cast("string"))
+    # The same, as pages write it: references to references, and spaces that do not break.
+    twice, spaced = F.replace(name, F.lit("&amp;"), F.lit("&amp;amp;")), F.replace(hall, F.lit(" "), F.lit("&nbsp;"))
+    long = F.replace(name, F.lit("&amp;"), F.lit("&#" + "38".zfill(40) + ";"))
     iso, local = F.date_format("ts", "yyyy-MM-dd HH:mm"), F.date_format("ts", "dd.MM.yyyy HH:mm")
     euros = F.floor(F.abs("value"))
 
@@ -120,8 +123,8 @@ def detail_pages_from_events(events: DataFrame) -> DataFrame:
 
     def stop(at: int) -> Column:
         return F.concat(
-            F.lit(f'<li class="list-group-item"><a href="/sk/listky/'), number, F.lit(f'-{at}"><strong>'), name,
-            F.lit(f' {at}</strong><span class="text-readable">'), local, F.lit(" - "), hall,
+            F.lit(f'<li class="wide list-group-item"><a href="/sk/listky/'), number, F.lit(f'-{at}?x=1&amp;y=2"><strong>'), twice,
+            F.lit(f' {at}</strong><span class="text-readable-xs">!</span><span class="text-readable">'), local, F.lit(" - "), spaced,
             F.lit(", Main 2, 080 01  Prešov</span></a></li>"),
         )
 
@@ -135,12 +138,12 @@ def detail_pages_from_events(events: DataFrame) -> DataFrame:
         F.when(shape == 0, F.concat(script(embedded(iso, "two\nlines")), tiers))
         .when(shape == 1, script(embedded(iso, 'a "quoted" phrase')))
         .when(shape == 2, F.concat(script(embedded(F.lit(""), "tour")), F.lit("<ul>"), stop(1), stop(2), F.lit("</ul>")))
-        .when(shape == 3, F.concat(F.lit("<h1>"), name, F.lit('</h1><p class="mb-4">'), local, F.lit(" "), hall, F.lit(", 811 01 Bratislava</p>"), tiers))
+        .when(shape == 3, F.concat(F.lit("<h1>"), long, F.lit('</h1><p class="mb-4-lg">\u0000 &#1;</p><p class="lead mb-4">'), local, F.lit(" "), spaced, F.lit(", 811 01 Bratislava</p>"), tiers))
         .when(shape == 4, F.lit("<p>Nothing here</p>"))
         .otherwise(script(F.concat(F.lit("["), embedded(iso, "list"), F.lit("]"))))
     )
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("event_id") % 7 + 1).cast("int"))
-    head = F.concat(F.lit('<html><head><meta property="og:image" content="https://og/'), number, F.lit('"></head><body>'))
+    head = F.concat(F.lit('<html><head><meta property="og:image" content="https://og/'), number, F.lit('?a=1&amp;b=2"></head><body>'))
     return events.select(
         F.col("event_id").alias("page_id"),
         F.concat(F.lit(f"{SITE}/sk/listky/"), number, F.lit("/")).alias("url"),
@@ -155,11 +158,11 @@ def category_pages_from_events(events: DataFrame) -> DataFrame:
 
     def box(href: Column, title: Column) -> Column:
         return F.concat(
-            F.lit('<div class="box-content"><div class="box-item-title"><span> '), title,
-            F.lit(' </span></div><a class="btn box-item-btn" href="'), href, F.lit('">Buy</a></div>'),
+            F.lit('<div class="box-content-old"></div><section class="wide box-content"><div class="box-item-title"><span> '), title,
+            F.lit(' </span></div><a class="btn box-item-btn" href="'), href, F.lit('">Buy</a></section>'),
         )
 
-    title = F.concat("event_type", F.lit(" &amp; Night"))
+    title = F.concat("event_type", F.lit(" &amp;amp; Night&nbsp;"))
     card, promotion = box(F.concat(F.lit("/sk/listky/"), number, F.lit("/")), title), box(F.lit("https://promo.example.org/x"), F.lit("Gift"))
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("event_id") % 7 + 1).cast("int"))
     return events.select(

@@ -66,17 +66,33 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def committed_version(spark: SparkSession, root: str) -> int | None:
-    """Latest version whose marker was written, or None."""
+def commits(spark: SparkSession, root: str) -> DataFrame | None:
+    """The markers of all versions: ``version, at, run, batch``; None if there are none yet."""
     try:
-        return spark.read.parquet(f"{root}/commits").agg(F.max("version")).first()[0]
-    except AnalysisException:
+        return spark.read.schema("at timestamp, run string, batch long, version int").parquet(f"{root}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def write_snapshot(tables: Tables, root: str, version: int) -> None:
+def committed_version(spark: SparkSession, root: str) -> int | None:
+    """Latest version whose marker was written, or None."""
+    marks = commits(spark, root)
+    return None if marks is None else marks.agg(F.max("version")).first()[0]
+
+
+def is_committed(spark: SparkSession, root: str, run: str, batch: int) -> bool:
+    """Whether a batch of a streaming run is part of some version already."""
+    marks = commits(spark, root)
+    return marks is not None and not marks.filter((F.col("run") == run) & (F.col("batch") == batch)).isEmpty()
+
+
+def write_snapshot(tables: Tables, root: str, version: int, run: str | None = None, batch: int | None = None) -> None:
     """Write all tables of a version, then its marker; readers only see marked versions.
 
+    ``run`` and ``batch`` name the streaming batch that made the version, if one did.
+
     A rerun of the same version replaces a half-written one. Events are laid out
     by month of their day and sorted by city and time, so feed filters prune.
     """
@@ -92,7 +108,8 @@ def write_snapshot(tables: Tables, root: str, version: int) -> None:
     )
     tables.event_sources.write.mode("overwrite").parquet(f"{root}/event_sources/{version}")
     tables.sources.write.mode("overwrite").parquet(f"{root}/sources/{version}")
-    spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(
+    mark = [F.current_timestamp().alias("at"), F.lit(run).cast("string").alias("run"), F.lit(batch).cast("long").alias("batch")]
+    spark.range(1).select(*mark).coalesce(1).write.mode("overwrite").parquet(
         f"{root}/commits/version={version}"
     )
 

@@ -1,21 +1,25 @@
 """Listings that land in a folder, ingested in micro-batches."""
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.plans.ingest import ingest
-from marquee.sources.tables import committed_version, empty_tables, read_snapshot, stream_listings, write_snapshot
+from marquee.sources.tables import committed_version, empty_tables, is_committed, read_snapshot, stream_listings, write_snapshot
 
 
-def ingest_batch(spark: SparkSession, batch: DataFrame, root: str, version: int, sources: DataFrame, fuzzy: bool = True) -> None:
-    """Bring the snapshot under ``root`` to ``version``; a repeated batch changes nothing."""
-    committed = committed_version(spark, root)
-    if committed is not None and committed >= version:
+def ingest_batch(
+    spark: SparkSession, batch: DataFrame, root: str, run: str, number: int, sources: DataFrame, fuzzy: bool = True
+) -> None:
+    """Add batch ``number`` of a run to the snapshot under ``root``; a repeated batch changes nothing."""
+    if is_committed(spark, root, run, number):
         return
+    committed = committed_version(spark, root)
     tables = read_snapshot(spark, root, committed) if committed is not None else empty_tables(spark, sources)
     result = ingest(tables, batch, F.current_timestamp(), fuzzy)
-    write_snapshot(result.tables, root, version)
+    write_snapshot(result.tables, root, 0 if committed is None else committed + 1, run, number)
 
 
 def stream_ingest(
@@ -23,20 +27,26 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Start a run that takes all listings there are now, then stops.
 
-    One trigger equals one scheduled run; the snapshot version is the batch number,
-    so a batch replayed after a failure is applied once.
+    One trigger equals one scheduled run. A batch is known by its number and the id
+    of its query, which lives in the progress folder: replayed after a failure it is
+    applied once, and a run with a new progress folder is a new run.
     """
+    named, query = threading.Event(), []
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch.sparkSession, batch, root, batch_id, sources, fuzzy)
+    def apply(batch: DataFrame, number: int) -> None:
+        named.wait()
+        ingest_batch(batch.sparkSession, batch, root, str(query[0].id), number, sources, fuzzy)
 
-    return (
+    started = (
         stream_listings(spark, landing, fmt)
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    query.append(started)
+    named.set()
+    return started
 
 
 def without_redeliveries(stream: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
