@@ -5,6 +5,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -120,9 +121,16 @@ def common_filter(filters: Filters) -> Column:
 
 
 def feed_grid(events: DataFrame, filters: Filters, now: datetime) -> DataFrame:
-    """Events that have not started yet, inside the chosen range."""
+    """Events that have not started yet, inside the chosen range.
+
+    Events that carry the ``month`` of their layout are pruned to the months of the range.
+    """
     start, end = range_of(filters.when, now)
     rows = events.filter(F.col("starts_at") >= _instant(start))
+    if "month" in events.columns:
+        months = [None if at is None else _aware(at).astimezone(ZoneInfo("Europe/Prague")).strftime("%Y-%m") for at in (start, end)]
+        rows = rows.filter(F.col("month") >= months[0])
+        rows = rows if end is None else rows.filter(F.col("month") <= months[1])
     return (rows if end is None else rows.filter(F.col("starts_at") <= _instant(end))).filter(common_filter(filters))
 
 
@@ -253,3 +261,17 @@ def saved_search_match(events: DataFrame, searches: DataFrame, now: Column) -> D
     in_range = (F.col("starts_at") >= F.col("span.start")) & (F.col("span.end").isNull() | (F.col("starts_at") <= F.col("span.end")))
     affordable = F.col("max_price").isNull() | within_max_price(F.col("price_from"), F.col("currency"), F.col("max_price"))
     return found.join(filed, ["city_key", "genre_key"]).filter(in_range & affordable).select("search_id", "id", "starts_at")
+
+
+def saved_search_counts(events: DataFrame, searches: DataFrame, now: Column) -> DataFrame:
+    """``search_id, matches, first_start`` of every stored search that finds something.
+
+    Equal searches are matched once, however many users stored them.
+    """
+    terms = ["cities", "genres", "when", "max_price"]
+    sets = [F.array_sort(F.array_distinct(c)).alias(c) for c in terms[:2]]
+    named = searches.select("search_id", *sets, *terms[2:]).withColumn("same", F.sha2(F.to_json(F.struct(*terms)), 256))
+    distinct = named.groupBy("same").agg(*[F.first(c).alias(c) for c in terms]).withColumnRenamed("same", "search_id")
+    found = saved_search_match(events, distinct, now).groupBy(F.col("search_id").alias("same"))
+    counts = found.agg(F.count(F.lit(1)).alias("matches"), F.min("starts_at").alias("first_start"))
+    return named.select("search_id", "same").join(counts, "same").drop("same")

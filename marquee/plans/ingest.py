@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import merge
 from marquee.operators.linkage import keyed_events, with_block
+from marquee.operators.maintenance import cascade
 from marquee.operators.normalize import check_listings, normalized, rejects
 from marquee.operators.resolve import resolve_batch
 from marquee.session import cut
@@ -19,6 +20,10 @@ class IngestResult:
     outcomes: DataFrame
     rejects: DataFrame
 
+    def surviving(self, children: DataFrame) -> DataFrame:
+        """Favourites and other rows with an ``event_id``, without those whose event was merged away."""
+        return cascade(children, self.tables.events)
+
     def stats(self) -> DataFrame:
         """Listings per outcome, rejected ones as ``skipped``."""
         return ingest_stats(self.outcomes, self.rejects)

@@ -105,9 +105,11 @@ favorites AS (SELECT 'u' || o_custkey AS user_id, o_orderdate AS created_at,
   sha256('https://tickets' || (o_orderkey % 3) || '.example.com/e/' || o_orderkey || '?a=1&b=2') AS event_id FROM orders),
 users AS (SELECT 'u' || c_custkey AS id, c_mktsegment = 'BUILDING' AS digest_opt_out FROM customer)"""
 
-CARDS = f"""
+def cards_of(pages: str) -> str:
+    """Cards that link the given pages, what is known of them, and the plan."""
+    return f"""
 cards AS (SELECT ['koncert','sport','show','divadlo','festival','pre-deti','ostatne'][page_id % 7 + 1] AS category, page_id AS position,
-  page_id, {canonical('url')} AS url FROM pages),
+  page_id, {canonical('url')} AS url FROM {pages}),
 scraped AS (SELECT url, max(CASE WHEN page_id % 9 <> 0 THEN {NOW} - to_hours(CAST(page_id % 144 AS INTEGER)) END) AS last_fetched_at
   FROM cards WHERE page_id % 4 <> 3 GROUP BY url),
 jitter AS (SELECT page_id, list_reduce(list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT)),
@@ -116,6 +118,9 @@ plan AS (SELECT c.category, c.position, c.url, CASE WHEN s.url IS NULL THEN 'new
   WHEN epoch_ms({NOW}) - epoch_ms(s.last_fetched_at) >= 259200000 + j.ms THEN 'due' ELSE 'fresh' END AS decision
   FROM cards c JOIN jitter j USING (page_id) LEFT JOIN scraped s ON s.url = c.url)"""
 
+
+CARDS = cards_of("pages")
+
 SEARCHES = """
 picked AS (SELECT c_custkey AS k, ['Praha','Brno','Bratislava','Poprad','Plzeň'] AS cs, ['concert','theatre','exhibition','bogus','other'] AS gs,
   ['today','weekend','week','month','never'] AS ws, ['30','12.5','','abc','-5','0x10','1e2','30 ','0','120'] AS ps, ['0','-3','abc','2.7','999','3',''] AS qs FROM customer),
@@ -219,6 +224,12 @@ ORACLES: dict[str, str] = {
     "touch_last_seen": with_base(
         f"SELECT e.url, CASE WHEN e.price_from IS NULL THEN {NOW} ELSE e.last_seen_at END AS last_seen_at FROM es e"
     ),
+    "scheduled_run": "WITH "
+    + cards_of("(SELECT event_id AS page_id, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS url FROM events)")
+    + """, fetched AS (SELECT * FROM plan WHERE decision <> 'fresh' QUALIFY row_number() OVER (PARTITION BY category ORDER BY position) <= 20)
+ SELECT count(DISTINCT category) AS listing_pages, count(*) FILTER (decision = 'fresh') AS fresh_skips,
+ (SELECT count(*) FROM fetched WHERE decision = 'new') AS new_pages, (SELECT count(*) FROM fetched WHERE decision = 'due') AS due_pages FROM plan""",
+    "stamp_source": with_base(f"SELECT slug, CASE WHEN slug = 'src3' THEN {NOW} END AS last_scraped_at FROM sources"),
     "refetch_counts": "WITH " + CARDS + """ SELECT count(DISTINCT category) AS listing_pages, count(*) FILTER (decision = 'fresh') AS fresh_skips,
  (SELECT count(*) FROM plan WHERE decision = 'new') AS new_pages, (SELECT count(*) FROM plan WHERE decision = 'due') AS due_pages FROM plan""",
     "normalize_text": f"SELECT doc_id, {key('text')} AS normalized FROM documents",
@@ -293,6 +304,7 @@ ORACLES: dict[str, str] = {
  FROM (SELECT event_id, ts, unnest(['today','weekend','week','month','none']) AS w FROM events)""",
     "parse_filters": "WITH " + SEARCHES + """ SELECT search_id, array_to_string(cities, ',') AS cities, array_to_string(genres, ',') AS genres, "when", max_price, page FROM searches""",
     "feed_grid": with_base(f"SELECT id, title, city, starts_at, price_from::DOUBLE AS price_from FROM ev WHERE {GRID}"),
+    "feed_grid_stored": with_base(f"SELECT id, title, city, starts_at, price_from::DOUBLE AS price_from FROM ev WHERE {GRID}"),
     "max_price": with_base(
         "SELECT id, price_from IS NULL OR (currency = 'EUR' AND price_from <= 30) OR (currency = 'CZK' AND price_from <= 750) AS affordable FROM ev"
     ),

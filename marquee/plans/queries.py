@@ -13,10 +13,11 @@ from marquee.config import WHEN_VALUES
 from marquee.functions import dates, markup, places, prices, text, urls
 from marquee.operators import cards, digest, extract, feed, frontier, linkage, maintenance, merge, normalize, upserts
 from marquee.operators.resolve import resolve_batch
+from marquee.plans import scrape
 from marquee.plans.ingest import ingest, ingest_stats
 from marquee.session import checkpoint_dir, cut
 from marquee.sources import sample
-from marquee.sources.tables import Tables, empty_tables, read_snapshot
+from marquee.sources.tables import Tables, empty_tables, read_events, read_snapshot, write_snapshot
 from marquee.streaming.ingest import stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,6 +281,23 @@ def touch_last_seen(spark, sf):
     return upserts.touch_last_seen(rows, rows.filter("price_from IS NULL").select("url"), sample.now()).select("url", "last_seen_at")
 
 
+@query
+def scheduled_run(spark, sf):
+    """Counters of a run that may fetch twenty pages per category of a site with a page per event row."""
+    pages = detail_pages(spark, sf)
+    linked = pages.select("category", F.col("page_id").alias("position"), F.col("url").alias("href"))
+    known = sample.scraped_from_pages(pages, urls.canonical_url(F.col("url")))
+    run = scrape.scheduled_run(
+        empty_tables(spark, sample.sources(spark, sf)), known, linked, pages, SELLER, "SK", "EUR", sample.now(), limit=20, fuzzy=False
+    )
+    return run.counts
+
+
+@query
+def stamp_source(spark, sf):
+    return upserts.stamp_source(sample.sources(spark, sf), SELLER, sample.now()).select("slug", "last_scraped_at")
+
+
 @query
 def refetch_counts(spark, sf):
     decided = plan(spark, sf)
@@ -490,6 +508,14 @@ def feed_grid(spark, sf):
     return feed.feed_grid(catalogue(spark, sf).events, FILTERS, NOW).select("id", "title", "city", "starts_at", "price_from")
 
 
+@query
+def feed_grid_stored(spark, sf):
+    """The grid over a written snapshot, of which it opens only the months in range."""
+    root = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex}"
+    write_snapshot(catalogue(spark, sf), root, 0)
+    return feed.feed_grid(read_events(spark, root), FILTERS, NOW).select("id", "title", "city", "starts_at", "price_from")
+
+
 @query
 def max_price(spark, sf):
     affordable = prices.within_max_price(F.col("price_from"), F.col("currency"), F.lit(30))
@@ -561,8 +587,7 @@ def price_label_kind(spark, sf):
 @query
 def saved_search_match(spark, sf):
     searches = feed.parse_filter_rows(sample.requests_from_customer(sample.table(spark, sf, "customer")))
-    found = feed.saved_search_match(catalogue(spark, sf).events, searches, sample.now())
-    return found.groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"), F.min("starts_at").alias("first_start"))
+    return feed.saved_search_counts(catalogue(spark, sf).events, searches, sample.now())
 
 
 # --- maintenance -----------------------------------------------------------------------

@@ -114,6 +114,14 @@ def write_snapshot(tables: Tables, root: str, version: int, run: str | None = No
     )
 
 
+def read_events(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The events of a version with their ``month``, by which the files are laid out; the feed prunes by it."""
+    version = committed_version(utc(spark), root) if version is None else version
+    if version is None:
+        return None
+    return spark.read.schema(f"{schemas.EVENTS.toDDL()}, month string").parquet(f"{root}/events/{version}")
+
+
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Tables | None:
     """Tables of a version, the latest marked one by default."""
     version = committed_version(utc(spark), root) if version is None else version

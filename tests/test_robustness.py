@@ -10,9 +10,10 @@ from marquee import schemas
 from marquee.functions import markup, text
 from marquee.operators import cards, extract, feed, frontier, merge
 from marquee.plans.ingest import ingest
+from marquee.plans.scrape import scheduled_run
 from marquee.session import cut
 from marquee.sources import sample
-from marquee.sources.tables import committed_version, empty_tables, read_page_files, read_snapshot, write_snapshot
+from marquee.sources.tables import committed_version, empty_tables, read_events, read_page_files, read_snapshot, write_snapshot
 from marquee.streaming.ingest import stream_ingest, without_redeliveries
 
 
@@ -188,3 +189,42 @@ def test_a_hot_event_spreads_over_tasks(spark, split_early):
     sellers = spark.createDataFrame([("s1", "s1", "Seller", "u", None)], schemas.SOURCES)
     most, total = largest_task(spark, cards.event_cards(events, offers, sellers))
     assert total == n and most < n / 6
+
+
+def test_the_feed_opens_only_the_months_in_range(spark, tmp_path):
+    sellers = spark.createDataFrame([("s1", "s1", "Seller", "u", None)], schemas.SOURCES)
+    rows = [spark_row(k, f"https://t.example.com/e/{k}", f"Title {k}")[:7] + (dt.datetime(2024, 1 + k % 12, 5, 20),) + spark_row(k, "", "")[8:] for k in range(24)]
+    tables = ingest(empty_tables(spark, sellers), spark.createDataFrame(rows, schemas.RAW_LISTINGS), sample.now(), fuzzy=False).tables
+    write_snapshot(tables, f"{tmp_path}/t", 1)
+    now = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
+    grid = feed.feed_grid(read_events(spark, f"{tmp_path}/t"), feed.Filters(when="month"), now)
+    assert {r["month"] for r in grid.collect()} == {"2024-03"}
+    assert len({f.split("month=")[1][:7] for f in grid.inputFiles()}) == 12
+    plan = grid._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan.replace("\n", " ")
+
+
+def test_a_scheduled_run(spark):
+    sellers = spark.createDataFrame([("s1", "s1", "Seller", "u", None)], schemas.SOURCES)
+    body = '<h1>Title {0}</h1><p class="mb-4">0{0}.02.2024 20:00 Hall, Brno</p>'
+    pages = spark.createDataFrame([page(body.format(k), k) for k in range(1, 6)] + [page("<p>odd</p>", 6)], PAGE)
+    linked = pages.select("category", F.col("page_id").cast("int").alias("position"), F.col("url").alias("href"))
+    none = spark.createDataFrame([], "url string, last_fetched_at timestamp")
+    first = scheduled_run(empty_tables(spark, sellers), none, linked, pages, "s1", "CZ", "CZK", sample.now(), fuzzy=False)
+    assert first.counts.first()["new_pages"] == 6 and first.unreadable.count() == 1
+    assert first.tables.events.count() == 5 and first.scraped_pages.count() == 6
+    assert first.tables.sources.first()["last_scraped_at"] is not None
+    later = sample.now() + F.expr("INTERVAL '1' HOUR")
+    again = scheduled_run(first.tables, first.scraped_pages, linked, pages, "s1", "CZ", "CZK", later, fuzzy=False)
+    assert (again.counts.first()["fresh_skips"], again.counts.first()["new_pages"]) == (6, 0)
+    assert again.tables.event_sources.filter(F.col("last_seen_at") == later).count() == 5
+    favorites = spark.createDataFrame([("u", "gone"), ("u", first.tables.events.first()["id"])], "user_id string, event_id string")
+    assert first.ingested.surviving(favorites).count() == 1
+
+
+def test_equal_searches_are_matched_once(spark):
+    sellers = spark.createDataFrame([("s1", "s1", "Seller", "u", None)], schemas.SOURCES)
+    events = ingest(empty_tables(spark, sellers), spark.createDataFrame([listing(k) for k in range(5)], schemas.RAW_LISTINGS), sample.now(), fuzzy=False).tables.events
+    rows = [(k, ["Praha", "Brno"] if k % 2 else ["Brno", "Praha"], [], None, None) for k in range(6)] + [(9, ["Brno"], [], None, None)]
+    searches = spark.createDataFrame(rows, "search_id long, cities array<string>, genres array<string>, when string, max_price double")
+    assert {r["search_id"]: r["matches"] for r in feed.saved_search_counts(events, searches, sample.now()).collect()} == {k: 5 for k in range(6)}
