@@ -7,10 +7,11 @@ that at most (a + b) / 19 shingles are in only one of the two.
 *Sketch.* Every shingle flips one bit of a wide bit sketch, so the Hamming distance
 of two sketches is at most the number of shingles in only one set. The sketch is cut
 into more blocks than that bound allows differences, so two linked classes agree on
-at least one block (pigeonhole). The number of blocks follows from the size; it is
+all blocks but so many (pigeonhole). The number of blocks follows from the size; it is
 taken from a coarse scale, and a class near a step of the scale is sketched for both
 sides, so all sizes that can link meet in one size band. A block is compared by the
-XOR of a 64-bit code of each set bit.
+XOR of a 64-bit code of each set bit. Classes that share too few blocks with others to
+link are left out at once.
 
 *Join without pairing a group with itself.* The classes that agree on a block form a
 group. Its most popular member leads, and only (leader, member) is verified, exactly,
@@ -44,18 +45,38 @@ from marquee.session import cut
 SHINGLE = 3
 #: Jaccard of at least 0.9 is a difference of at most 1/19 of both sizes together.
 PER_DIFFERENCE = 19
+#: Lowest bits of a key, for the step of the scale of block counts.
+STEP_BITS = 6
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+def blocks_for(size: np.ndarray | int):
+    """Blocks that sets of this size need at least: more than they may differ in, by two and an eighth."""
+    most = 2 * size // PER_DIFFERENCE
+    return np.where(most > 0, most + 2 + most // 8, 1)
+
+
 def scale(most: int) -> np.ndarray:
     """The block counts in use, up to the first that is at least ``most``."""
     steps = [1]
     while steps[-1] < most:
-        steps.append(max(steps[-1] + 1, steps[-1] * 3 // 2))
+        steps.append(max(steps[-1] + 2, steps[-1] * 3 // 2))
     return np.array(steps, np.int64)
 
 
+def largest_sizes(steps: np.ndarray) -> list[int]:
+    """For each block count the largest size that uses it."""
+    out, size = [], 0
+    for blocks in steps.tolist():
+        low, high = size, PER_DIFFERENCE * (blocks + 1)
+        while low < high:  # blocks_for never falls
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if blocks_for(middle) <= blocks else (low, middle - 1)
+        out.append(size := low)
+    return out
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's different shingles, sorted, all texts in a row; and the texts' offsets."""
     offsets, words = word_lists(pc.ascii_lower(texts))
@@ -79,9 +100,12 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketch blocks of each set, in the order of the sets; and the sets' offsets into them."""
+    """Keys of the sketch blocks of each set, in the order of the sets; and the sets' offsets into them.
+
+    The lowest bits of a key tell the step of the scale.
+    """
     n = np.diff(offsets)
-    lowest, highest = 2 * n // PER_DIFFERENCE + 1, 2 * (10 * n // 9) // PER_DIFFERENCE + 1
+    lowest, highest = blocks_for(n), blocks_for(10 * n // 9)
     steps = scale(int(highest.max()) if len(n) else 1)
     first, last = np.searchsorted(steps, lowest), np.searchsorted(steps, highest)
     code, spread = mix(h ^ np.uint64(0xA5A5A5A5)), h >> np.uint64(32)
@@ -99,7 +123,7 @@ def block_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         pattern = np.zeros(len(rows) * blocks, np.uint64)
         pattern[place[begin]] = np.bitwise_xor.reduceat(value, begin)
         number = np.tile(np.arange(blocks, dtype=np.uint64), len(rows))
-        keys.append(mix(pattern + mix(number + np.uint64(blocks << 32))))
+        keys.append(mix(pattern + mix(number + np.uint64(blocks << 32))) >> np.uint64(STEP_BITS) << np.uint64(STEP_BITS) | np.uint64(s))
         owners.append(np.repeat(rows, blocks))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64)
@@ -143,10 +167,22 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def groups(sketches: DataFrame) -> DataFrame:
-    """``key, class, n`` for the blocks on which at least two classes agree."""
+    """``key, class, n`` for the blocks on which at least two classes agree.
+
+    Two linked classes agree on all blocks but those they differ in, so a class that
+    shares fewer blocks of a step of the scale than that links with nothing there.
+    """
     keys = sketches.select(F.explode("keys").alias("key"), "class", "n")
     shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    return keys.join(shared.select("key"), "key", "left_semi").distinct()
+    members = cut(keys.join(shared.select("key"), "key", "left_semi").distinct())
+    largest = members.agg(F.max("n")).first()[0] or 1
+    steps = scale(int(blocks_for(10 * largest // 9)))
+    blocks, sizes = (F.array(*[F.lit(int(x)) for x in values])[F.col("step")] for values in (steps, largest_sizes(steps)))
+    members = members.withColumn("step", F.col("key").bitwiseAND((1 << STEP_BITS) - 1).cast("int"))
+    partner = F.least(F.floor(10 * F.col("n") / 9), sizes)
+    need = blocks - F.floor((F.col("n") + partner) / PER_DIFFERENCE)
+    enough = members.groupBy("class", "n", "step").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= need).select("class", "step")
+    return members.join(enough, ["class", "step"], "left_semi").select("key", "class", "n")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -190,8 +226,16 @@ def is_link(n: Column, m: Column, both: Column) -> Column:
 
 def compared(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs with ``n, a`` (size and set of the left class) and ``m, b`` (of the right)."""
-    one = sets.select(F.col("class").alias(left), "n", F.col("shingles").alias("a"))
-    two = sets.select(F.col("class").alias(right), F.col("n").alias("m"), F.col("shingles").alias("b"))
+
+    def side(name: str) -> DataFrame:
+        """The sets that are asked for on one side; no other is moved."""
+        ids = pairs.select(F.col(name).alias("class")).distinct()
+        if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return sets.join(ids, "class", "left_semi")
+
+    one = side(left).select(F.col("class").alias(left), "n", F.col("shingles").alias("a"))
+    two = side(right).select(F.col("class").alias(right), F.col("n").alias("m"), F.col("shingles").alias("b"))
     return pairs.join(one, left).join(two, right)
 
 
@@ -242,9 +286,10 @@ def jaccard_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Linked pairs of classes (``one, two``), enough of them to connect every linked pair."""
     members = cut(groups(sketches))
     pairs = cut(led(members))
-    sets = shingles_of(docs, sketches, members.select("class").distinct())
+    wanted = pairs.select("leader").unionByName(pairs.select(F.col("class").alias("leader"))).select(F.col("leader").alias("class"))
+    sets = shingles_of(docs, sketches, wanted.distinct())
     diffs = cut(differences(pairs, sets))
-    more = compared(members_apart(diffs), sets, "one", "two")
+    more = compared(cut(members_apart(diffs)), sets, "one", "two")
     more = more.filter(is_link(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))))
     return diffs.filter("linked").select(F.col("leader").alias("one"), F.col("class").alias("two")).unionByName(more.select("one", "two"))
 

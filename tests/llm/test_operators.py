@@ -179,7 +179,11 @@ def test_sketch_bounds_the_difference():
         both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 100 * both >= 90 * union:
             keys = [set(near_duplicates.block_keys(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b)]
-            assert keys[0] & keys[1]
+            blocks = int(near_duplicates.scale(int(near_duplicates.blocks_for(max(len(a), len(b)))))[-1])
+            assert len(keys[0] & keys[1]) >= blocks - (union - both)
+    steps = near_duplicates.scale(5000)
+    for blocks, size in zip(steps.tolist(), near_duplicates.largest_sizes(steps), strict=True):
+        assert near_duplicates.blocks_for(size) <= blocks < near_duplicates.blocks_for(size + 1)
 
 
 # --- 6 scoring -----------------------------------------------------------------
