@@ -27,7 +27,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm.common import in_slices, only, texts_of
+from marquee.llm.common import in_slices, only, shipped, texts_of
 
 # Elements and words of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,4 +251,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op4_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(shipped(spark).read.parquet(f"{sf_dir}/pages.parquet"))
