@@ -10,17 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm import decontamination, language, near_duplicates, packing, secrets
-from marquee.llm.common import documents
+from marquee.llm.common import documents, shipped
 from marquee.session import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be recognised go; the others stay as they are."""
+    shipped(spark)
     return language.accepted(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that are linked by shared shingles, the one with the smallest id stays."""
+    shipped(spark)
     return near_duplicates.deduplicated(docs)
 
 
@@ -31,11 +33,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets masked."""
+    shipped(spark)
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents left, packed into sequences."""
+    shipped(spark)
     return packing.best_fit_packing(docs)
 
 
