@@ -9,9 +9,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from marquee.llm import decontamination, language, near_duplicates, packing, pages, phrases, scoring, secrets, toxicity
+from marquee.llm import decontamination, language, near_duplicates, packing, pages, phrases, scoring, secrets, sharding, toxicity
 from marquee.llm.common import word_lists
 from tests.llm.helpers import LONG, ODD, SF, lettered, linked_components, remainder, sets_of, spaced, stored, table
 
@@ -77,6 +78,49 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in decontamination.proximity_matches(index, pairs, 3).collect()} == {1, 2}
 
 
+# --- 2 sharding ----------------------------------------------------------------
+def plain_fill(names, slots):
+    """Each shard's whole order of preference written out, then claimed in turns."""
+    orders = [[(start + k * step) % slots for k in range(slots)] for start, step in (sharding.preference(n, slots) for n in names)]
+    owner = {}
+    while len(owner) < slots:
+        for shard, order in enumerate(orders):
+            free = [slot for slot in order if slot not in owner]
+            if free:
+                owner[free[0]] = shard
+    return [owner[slot] for slot in range(slots)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 30])
+def test_table_of_shards(n):
+    names = [f"s{k}" for k in range(n)]
+    assert sharding.fill(names, 101).tolist() == plain_fill(names, 101)
+    shares = np.bincount(sharding.fill(names, 10_007), minlength=n)
+    assert shares.max() - shares.min() <= 1
+    for bad in (([], 101), (["a", "a"], 101), (names, 100), ([str(k) for k in range(11)], 11)):
+        with pytest.raises(ValueError):
+            sharding.fill(*bad)
+    assert np.bincount(sharding.fill(["a", "b"], 10_007, [3, 1])).tolist() == pytest.approx([7505, 2502], abs=3)
+
+
+def test_few_slots_move_when_a_shard_leaves():
+    names = sharding.shard_names(20)
+    before, after = sharding.fill(names, 10_007), sharding.fill(names[:-1], 10_007)
+    stayed = before != 19
+    assert (before[stayed] == after[stayed]).mean() > 0.85
+
+
+def test_placement(spark):
+    rows = sharding.placed(table(spark).withColumn("slot", F.lit("x")), "doc_id", {"shard": ["a", "b", "c"]}, 101).collect()
+    owner = plain_fill(["a", "b", "c"], 101)
+    assert len(rows) == len(ODD)
+    for r in rows:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        slot = int(np.uint64(xxhash.xxh64_intdigest(key.encode(), seed=42)).view(np.int64)) % 101
+        assert (r["slot"], r["shard"]) == (slot, "abc"[owner[slot]])
+    assert sharding.placed(table(spark, []), "doc_id", {"shard": ["a"]}, 101).count() == 0
+
+
 # --- 3 language ----------------------------------------------------------------
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
