@@ -17,6 +17,7 @@ from marquee.functions.dates import local_datetime
 from marquee.functions.markup import entity_decode, has_class, min_price_from_blocks, reference_decode, split_address, split_date_address, tag_text
 from marquee.functions.urls import absolute_url, url_path
 from marquee.operators.ranking import ranked
+from marquee.session import cut
 
 # --- fixed values: listing category to genre label, path of an event page ---
 CATEGORY_LABELS = {
@@ -157,14 +158,17 @@ def _tour_stops(html: Column, base: Column, prefix: str) -> Column:
         )
 
     stops = F.transform(F.regexp_extract_all(html, F.lit(item), F.lit(0)), stop)
-    return F.filter(stops, lambda s: (s["title"] != "") & (s["text"] != ""))
+    # Most pages have no stops; NULL spares them the patterns.
+    return F.when(html.contains("list-group-item"), F.filter(stops, lambda s: (s["title"] != "") & (s["text"] != "")))
 
 
 def min_price_tiers(html: Column) -> Column:
     """Lowest price among the blocks labelled as price."""
     label = has_class("color-blue", "small") + r"""[^>]*>\s*""" + PRICE_WORD + r"""\s*</small>"""
     block = r"(?is)<(\w+)[^>]*>\s*" + label + r"(.*?)</\1>"
-    return min_price_from_blocks(F.transform(F.regexp_extract_all(html, F.lit(block), F.lit(2)), tag_text))
+    # A price has digits, a comma and a word; nothing of that is ever written as a reference.
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(block), F.lit(2)), lambda b: F.regexp_replace(b, r"<[^>]*>", ""))
+    return F.when(html.contains("color-blue"), min_price_from_blocks(blocks))
 
 
 def _image_tag(html: Column) -> Column:
@@ -249,7 +253,8 @@ def pages_to_listings(pages: DataFrame, source: str, country: str, currency: str
     ``seq`` counts the listings from 0, in page order, then stop order inside a tour,
     so page ids may be any numbers.
     """
-    rows = ranked(listed(page_details(pages, prefix)), [], ["page_id", "stop"])
+    # Written first, as dealing rows out by range reads them twice.
+    rows = ranked(cut(listed(page_details(pages, prefix))), [], ["page_id", "stop"])
     label = F.coalesce(*[F.when(F.col("category") == slug, name) for slug, name in CATEGORY_LABELS.items()])
     return rows.select(
         (F.col("position") - 1).alias("seq"),
