@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set are its different shingles of three words. Sets that are equal are
-one class. For a pair of classes of sizes a and b, a Jaccard of 0.9 or more means
-that at most (a + b) / 19 shingles are in only one of the two.
+A document's set are its different shingles of some words. Sets that are equal are one
+class. For a pair of classes of sizes a and b, a Jaccard of 0.9 or more means that at
+most (a + b) / 19 shingles are in only one of the two; for 0.8 it is (a + b) / 9.
 
 *Sketch.* Every shingle flips one bit of a wide bit sketch, so the Hamming distance
 of two sketches is at most the number of shingles in only one set. The sketch is cut
@@ -18,43 +18,74 @@ group. Its most popular member leads, and only (leader, member) is verified, exa
 on the shingle sets. Members linked to their leader are in one component already. For
 two members of which one is not linked to the leader, the triangle inequality says
 that they link only if their differences to the leader overlap, and then one of the
-first ``n / 9 + 1`` differences of one (in a fixed order: added shingles, then missing
-ones) is among those of the other. These prefixes are joined, with bounds from the
-positions, and what remains is verified exactly. So no link is lost, and groups of
+first differences of one (in a fixed order: added shingles, then missing ones; one more
+than the pair may not share) is among those of the other. These prefixes are joined,
+with bounds from the positions, and what remains is verified exactly. So no link is lost, and groups of
 near copies cost in proportion to their size and their differences.
 
 *Components* come from rounds of minimum labels with pointer jumping.
 
-Edge cases: a text with fewer than three words has its whole sequence as the one
+Edge cases: a text with fewer words than a shingle has its whole sequence as the one
 shingle; null, empty and blank texts have the empty set and stay alone; rows with
 equal ids are one document each and count as linked only by their texts; rows without
 an id get their class's component; an empty table gives no rows.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import documents, only, ranges, slices, texts_of, word_lists
+from marquee.llm.common import LOWER, UPPER, documents, only, ranges, slices, texts_of, word_lists
 from marquee.llm.phrases import mix
 from marquee.llm.scoring import word_keys
 from marquee.session import cut
 
-SHINGLE = 3
-#: Jaccard of at least 0.9 is a difference of at most 1/19 of both sizes together.
-PER_DIFFERENCE = 19
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """When two documents link: words of a shingle, and the Jaccard of their sets in percent."""
+
+    words: int = 3
+    percent: int = 90
+
+    def apart(self, sizes):
+        """The most shingles that two linked sets of these sizes together may not share."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
+
+    def partner(self, size):
+        """The largest size that a set of this size can link with."""
+        return 100 * size // self.percent
+
+    def links(self, n: Column, m: Column, both: Column) -> Column:
+        return 100 * both >= self.percent * (n + m - both)
+
+    def most_apart(self, sizes: Column) -> Column:
+        """``apart`` as a column expression."""
+        return F.floor(sizes * (100 - self.percent) / (100 + self.percent))
+
+    def prefix(self, n: Column) -> Column:
+        """Differences of which a linked partner must share one: one more than they may not share."""
+        return (self.most_apart(n + F.floor(100 * n / self.percent)) + 1).cast("int")
+
+
+EXACT, NEAR = Likeness(), Likeness(words=5, percent=80)
 #: Lowest bits of a key, for the step of the scale of block counts.
 STEP_BITS = 6
+#: Size of the bitmap of shared keys, as a power of two of bits; it bounds what is sent to the driver and to each task.
+MAP_BITS = 26
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def blocks_for(size: np.ndarray | int):
-    """Blocks that sets of this size need at least: more than they may differ in, by two and an eighth."""
-    most = 2 * size // PER_DIFFERENCE
-    return np.where(most > 0, most + 2 + most // 8, 1)
+def blocks_for(size: np.ndarray | int, like: Likeness):
+    """Blocks that sets of this size need at least: two and a sixteenth more than they may differ in."""
+    most = like.apart(2 * size)
+    return np.where(most > 0, most + 2 + most // 16, 1)
 
 
 def scale(most: int) -> np.ndarray:
@@ -65,30 +96,30 @@ def scale(most: int) -> np.ndarray:
     return np.array(steps, np.int64)
 
 
-def largest_sizes(steps: np.ndarray) -> list[int]:
+def largest_sizes(steps: np.ndarray, like: Likeness) -> list[int]:
     """For each block count the largest size that uses it."""
     out, size = [], 0
     for blocks in steps.tolist():
-        low, high = size, PER_DIFFERENCE * (blocks + 1)
+        low, high = size, 20 * (blocks + 1)
         while low < high:  # blocks_for never falls
             middle = (low + high + 1) // 2
-            low, high = (middle, high) if blocks_for(middle) <= blocks else (low, middle - 1)
+            low, high = (middle, high) if blocks_for(middle, like) <= blocks else (low, middle - 1)
         out.append(size := low)
     return out
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's different shingles, sorted, all texts in a row; and the texts' offsets."""
     offsets, words = word_lists(pc.ascii_lower(texts))
     coded = words.dictionary_encode()
     key = mix(word_keys(coded.dictionary).view(np.uint64))[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
     sizes = np.diff(offsets)
-    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    counts = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
     starts = ranges(offsets[:-1], counts)
     owner = np.repeat(np.arange(len(texts)), counts)
-    have = np.minimum(sizes, SHINGLE)[owner]
+    have = np.minimum(sizes, width)[owner]
     h = np.zeros(len(starts), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(width):
         at = np.minimum(starts + k, max(len(key) - 1, 0))
         h = np.where(have > k, mix(h * np.uint64(0x9E3779B97F4A7C15) + key[at] + np.uint64(k + 1)) if len(key) else h, h)
     order = np.lexsort((h, owner))
@@ -99,13 +130,13 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
 
 
-def block_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(h: np.ndarray, offsets: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sketch blocks of each set, in the order of the sets; and the sets' offsets into them.
 
     The lowest bits of a key tell the step of the scale.
     """
     n = np.diff(offsets)
-    lowest, highest = blocks_for(n), blocks_for(10 * n // 9)
+    lowest, highest = blocks_for(n, like), blocks_for(like.partner(n), like)
     steps = scale(int(highest.max()) if len(n) else 1)
     first, last = np.searchsorted(steps, lowest), np.searchsorted(steps, highest)
     code, spread = mix(h ^ np.uint64(0xA5A5A5A5)), h >> np.uint64(32)
@@ -140,52 +171,86 @@ def classes_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, class`` (null for the empty set) ``, keys``; a class has its keys on one row of each task."""
+def sketched(docs: DataFrame, like: Likeness) -> DataFrame:
+    """``doc_id, n, class`` of every document; the empty set has no class."""
+
+    def run(batches):
+        for batch in slices(batches):
+            h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
+            n = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(classes_of(h, offsets), mask=n == 0)], ["doc_id", "n", "class"])
+
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, class long")
+
+
+def sketch_blocks(docs: DataFrame, like: Likeness, marked: np.ndarray | None = None) -> DataFrame:
+    """``key, class, n`` of every block of a class's sketch, once in each task that meets the class.
+
+    With a bitmap of keys, only those that it marks.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches):
-            h, offsets = shingle_sets(texts_of(batch.column("text")))
+            h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
             name, n = classes_of(h, offsets), np.diff(offsets)
-            fresh = np.zeros(len(n), bool)
+            rows = []
             for i in np.flatnonzero(n).tolist():
                 if (c := int(name[i])) not in seen:
                     seen.add(c)
-                    fresh[i] = True
-            rows = np.flatnonzero(fresh)
-            sub = np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int64)
-            keys, ends = block_keys(h[ranges(offsets[rows], n[rows])], sub)
-            counts = np.zeros(len(n), np.int64)
-            counts[rows] = np.diff(ends)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(name, mask=n == 0), lists], ["doc_id", "n", "class", "keys"]
-            )
+                    rows.append(i)
+            rows = np.array(rows, np.int64)
+            keys, ends = block_keys(h[ranges(offsets[rows], n[rows])], np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int64), like)
+            owner = np.repeat(rows, np.diff(ends))
+            if bitmap.value is not None:
+                bit = keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+                kept = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                keys, owner = keys[kept], owner[kept]
+            for k in range(0, len(keys), 100_000):
+                part = owner[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(name[part]), pa.array(n[part])], ["key", "class", "n"])
+
+    return only(docs, "doc_id", "text").mapInArrow(run, "key long, class long, n long")
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """One bit for each value of the keys' upper bits that occurs; the size does not depend on their number."""
+    bit = keys.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    words = bit.groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, keys array<long>")
 
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, with the hint to broadcast them if their number allows it."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
-def groups(sketches: DataFrame) -> DataFrame:
+
+def groups(docs: DataFrame, like: Likeness) -> DataFrame:
     """``key, class, n`` for the blocks on which at least two classes agree.
 
     Two linked classes agree on all blocks but those they differ in, so a class that
     shares fewer blocks of a step of the scale than that links with nothing there.
+    The blocks are derived twice instead of being stored, as most agree with no other; the
+    second time a bitmap of the shared keys leaves out almost all of the rest.
     """
-    keys = sketches.select(F.explode("keys").alias("key"), "class", "n")
-    shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    members = cut(keys.join(shared.select("key"), "key", "left_semi").distinct())
+    keys = sketch_blocks(docs, like)
+    shared = cut(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"))
+    members = cut(sketch_blocks(docs, like, bitmap_of(shared)).join(few(shared), "key", "left_semi").distinct())
     largest = members.agg(F.max("n")).first()[0] or 1
-    steps = scale(int(blocks_for(10 * largest // 9)))
-    blocks, sizes = (F.array(*[F.lit(int(x)) for x in values])[F.col("step")] for values in (steps, largest_sizes(steps)))
+    steps = scale(int(blocks_for(like.partner(largest), like)))
+    blocks, sizes = (F.array(*[F.lit(int(x)) for x in values])[F.col("step")] for values in (steps, largest_sizes(steps, like)))
     members = members.withColumn("step", F.col("key").bitwiseAND((1 << STEP_BITS) - 1).cast("int"))
-    partner = F.least(F.floor(10 * F.col("n") / 9), sizes)
-    need = blocks - F.floor((F.col("n") + partner) / PER_DIFFERENCE)
+    partner = F.least(F.floor(100 * F.col("n") / like.percent), sizes)
+    need = blocks - like.most_apart(F.col("n") + partner)
     enough = members.groupBy("class", "n", "step").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= need).select("class", "step")
     return members.join(enough, ["class", "step"], "left_semi").select("key", "class", "n")
 
 
-def led(members: DataFrame) -> DataFrame:
+def led(members: DataFrame, like: Likeness) -> DataFrame:
     """``leader, class``: each member of a group with the group's leader, once."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     popular = members.join(sizes, "key").groupBy("class").agg(F.sum("size").alias("popular"))
@@ -194,20 +259,18 @@ def led(members: DataFrame) -> DataFrame:
     pairs = members.join(leaders, "key").filter(F.col("class") != F.col("top.class"))
     # In a group of two only sizes that can link matter.
     low, high = F.least("n", "top.n"), F.greatest("n", "top.n")
-    pairs = pairs.filter((F.col("size") > 2) | (10 * low >= 9 * high))
+    pairs = pairs.filter((F.col("size") > 2) | (100 * low >= like.percent * high))
     return pairs.select(F.col("top.class").alias("leader"), "class").distinct()
 
 
-def shingles_of(docs: DataFrame, sketches: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingles_of(docs: DataFrame, sketches: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
     """``class, n, shingles`` of the classes in ``wanted`` (column ``class``)."""
     rows = sketches.filter("doc_id IS NOT NULL").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ids = cut(rows.select("doc_id").distinct())
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = few(cut(rows.select("doc_id").distinct()))
 
     def run(batches):
         for batch in slices(batches):
-            h, offsets = shingle_sets(texts_of(batch.column("text")))
+            h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([pa.array(classes_of(h, offsets), mask=n == 0), pa.array(n), lists], ["class", "n", "shingles"])
@@ -220,43 +283,36 @@ def shingles_of(docs: DataFrame, sketches: DataFrame, wanted: DataFrame) -> Data
     return cut(sets.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
 
 
-def is_link(n: Column, m: Column, both: Column) -> Column:
-    return 100 * both >= 90 * (n + m - both)
-
-
 def compared(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs with ``n, a`` (size and set of the left class) and ``m, b`` (of the right)."""
 
     def side(name: str) -> DataFrame:
         """The sets that are asked for on one side; no other is moved."""
-        ids = pairs.select(F.col(name).alias("class")).distinct()
-        if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        return sets.join(ids, "class", "left_semi")
+        return sets.join(few(pairs.select(F.col(name).alias("class")).distinct()), "class", "left_semi")
 
     one = side(left).select(F.col("class").alias(left), "n", F.col("shingles").alias("a"))
     two = side(right).select(F.col("class").alias(right), F.col("n").alias("m"), F.col("shingles").alias("b"))
     return pairs.join(one, left).join(two, right)
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(leader, class) with ``n`` (size), ``linked``, and the differences ``extra`` and ``missing``."""
+def differences(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(leader, class) with ``n`` (size), ``linked``, the ``first`` differences and how many there are (``apart``)."""
     rows = compared(pairs, sets, "leader", "class")
     rows = rows.withColumn("extra", F.array_except("b", "a")).withColumn("missing", F.array_except("a", "b"))
-    linked = is_link(F.col("n"), F.col("m"), F.col("m") - F.size("extra"))
-    return rows.select("leader", "class", F.col("m").alias("n"), linked.alias("linked"), F.slice("extra", 1, (F.col("m") / 9).cast("int") + 1).alias("extra"),
-                       F.slice("missing", 1, (F.col("m") / 9).cast("int") + 1).alias("missing"), (F.size("extra") + F.size("missing")).alias("apart"))
+    linked = like.links(F.col("n"), F.col("m"), F.col("m") - F.size("extra"))
+    # Of the differences only a prefix is needed: what is added first, then what is missing.
+    first = F.slice(F.concat("extra", "missing"), 1, like.prefix(F.col("m")))
+    return rows.select("leader", "class", F.col("m").alias("n"), linked.alias("linked"), first.alias("first"), (F.size("extra") + F.size("missing")).alias("apart"))
 
 
-def members_apart(diffs: DataFrame) -> DataFrame:
+def members_apart(diffs: DataFrame, like: Likeness) -> DataFrame:
     """Candidate pairs of members that share a leader, one of them not linked to it."""
     # Leaders with a member that is not linked and at least one more.
     open_ = diffs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("all")).filter("members > 1 AND NOT all")
     rows = diffs.join(open_.select("leader"), "leader", "left_semi")
-    prefix = F.slice(F.concat("extra", "missing"), 1, (F.col("n") / 9).cast("int") + 1)
-    rows = rows.select("leader", "class", "n", "linked", "apart", F.posexplode(prefix).alias("at", "element"))
+    rows = rows.select("leader", "class", "n", "linked", "apart", F.posexplode("first").alias("at", "element"))
     a, b = rows.filter("NOT linked").alias("a"), rows.alias("b")
-    both = F.floor((F.col("a.n") + F.col("b.n")) / PER_DIFFERENCE)
+    both = like.most_apart(F.col("a.n") + F.col("b.n"))
     rest = F.least(F.col("a.apart") - F.col("a.at"), F.col("b.apart") - F.col("b.at"))
     near = (
         (F.col("a.leader") == F.col("b.leader")) & (F.col("a.element") == F.col("b.element"))
@@ -282,22 +338,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("one", F.col("next").alias("label"))
 
 
-def jaccard_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+def jaccard_links(docs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
     """Linked pairs of classes (``one, two``), enough of them to connect every linked pair."""
-    members = cut(groups(sketches))
-    pairs = cut(led(members))
+    members = cut(groups(docs, like))
+    pairs = cut(led(members, like))
     wanted = pairs.select("leader").unionByName(pairs.select(F.col("class").alias("leader"))).select(F.col("leader").alias("class"))
-    sets = shingles_of(docs, sketches, wanted.distinct())
-    diffs = cut(differences(pairs, sets))
-    more = compared(cut(members_apart(diffs)), sets, "one", "two")
-    more = more.filter(is_link(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))))
+    sets = shingles_of(docs, sketches, wanted.distinct(), like)
+    diffs = cut(differences(pairs, sets, like))
+    more = compared(cut(members_apart(diffs, like)), sets, "one", "two")
+    more = more.filter(like.links(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))))
     return diffs.filter("linked").select(F.col("leader").alias("one"), F.col("class").alias("two")).unionByName(more.select("one", "two"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, like: Likeness = EXACT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    sketches = cut(sketched(docs))
-    joined = components(jaccard_links(docs, sketches))
+    sketches = cut(sketched(docs, like))
+    joined = components(jaccard_links(docs, sketches, like))
     names = sketches.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = names.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.filter("component <> class").unionByName(named.join(joined.select("component").distinct(), "component", "left_semi").filter("component = class"))
@@ -309,16 +365,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, like: Likeness = EXACT) -> DataFrame:
     """One document of each component: that with the smallest id; columns stay as they are.
 
     Rows with equal ids stay together, but equal ids with equal texts are one row.
     """
-    found = near_duplicates(docs).filter("doc_id IS NOT NULL").withColumn("stays", F.col("doc_id") == F.col("component_id"))
+    found = near_duplicates(docs, like).filter("doc_id IS NOT NULL").withColumn("stays", F.col("doc_id") == F.col("component_id"))
     gone = cut(found.groupBy("doc_id").agg(F.max("stays").alias("stays")).filter("NOT stays").select("doc_id"))
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    rows = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(few(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rows
@@ -329,3 +383,25 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op5_parity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 90 * (nx.n + ny.n - i)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""

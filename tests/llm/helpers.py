@@ -42,14 +42,14 @@ def lettered(text: str | None) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
 
 
-def sets_of(text: str | None) -> frozenset:
+def sets_of(text: str | None, width: int = 3) -> frozenset:
     w = spaced(text)
-    return frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def linked_components(texts: dict[int, str | None]) -> dict[int, int]:
-    """The smallest id reachable by links of Jaccard 0.9 and more, by comparing all pairs."""
-    sets = {i: sets_of(t) for i, t in texts.items()}
+def linked_components(texts: dict[int, str | None], width: int = 3, percent: int = 90) -> dict[int, int]:
+    """The smallest id reachable by links of that Jaccard and more, by comparing all pairs."""
+    sets = {i: sets_of(t, width) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -59,7 +59,7 @@ def linked_components(texts: dict[int, str | None]) -> dict[int, int]:
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in texts}

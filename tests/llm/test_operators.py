@@ -187,8 +187,10 @@ def edited(rng, words, n):
     return words
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize(("like", "limit"), [(near_duplicates.EXACT, 2_000_000), (near_duplicates.NEAR, 2_000_000), (near_duplicates.NEAR, 0)])
+def test_near_duplicates(spark, monkeypatch, like, limit):
     """Families of texts around a base, many of them not linked to it but to each other."""
+    monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", limit)
     rng, rows = random.Random(3), [(i, t) for i, t in ODD if i is not None]
     for family in range(4):
         base = [f"w{family}x{rng.randrange(400)}" for _ in range(rng.choice([12, 40, 150, 600]))]
@@ -198,13 +200,13 @@ def test_near_duplicates(spark):
         rows += [(100 * (family + 1) + k, " ".join(t)) for k, t in enumerate(texts)]
     rows += [(900, "a b c d e f g h i j k"), (901, "a b c d e f g h i j k l"), (902, "A B C D E F G H I J K")]
     rng.shuffle(rows)
-    want = linked_components(dict(rows))
-    got = near_duplicates.near_duplicates(table(spark, rows)).collect()
+    want = linked_components(dict(rows), like.words, like.percent)
+    got = near_duplicates.near_duplicates(table(spark, rows), like).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
-    assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(sets_of(t)) for i, t in rows}
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(sets_of(t, like.words)) for i, t in rows}
     assert len(set(want.values())) < len(want) - 40
-    kept = near_duplicates.deduplicated(table(spark, rows))
+    kept = near_duplicates.deduplicated(table(spark, rows), like)
     assert kept.columns == table(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
@@ -214,20 +216,21 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert sorted(str((r["doc_id"], r["component_id"])) for r in got) == ["(5, 5)", "(6, 6)", "(None, 5)", "(None, None)"]
 
 
-def test_sketch_bounds_the_difference():
+@pytest.mark.parametrize("like", [near_duplicates.EXACT, near_duplicates.NEAR])
+def test_sketch_bounds_the_difference(like):
     """Sets that differ in d shingles differ in at most d blocks, and linked sizes share a scale."""
     rng = np.random.default_rng(1)
     for n in (10, 19, 37, 200, 1500):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.sort(np.append(a[: len(a) - len(a) // 20], rng.integers(0, 2**63, len(a) // 21, dtype=np.uint64)))
         both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if 100 * both >= 90 * union:
-            keys = [set(near_duplicates.block_keys(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b)]
-            blocks = int(near_duplicates.scale(int(near_duplicates.blocks_for(max(len(a), len(b)))))[-1])
+        if 100 * both >= like.percent * union:
+            keys = [set(near_duplicates.block_keys(x, np.array([0, len(x)]), like)[0].tolist()) for x in (a, b)]
+            blocks = int(near_duplicates.scale(int(near_duplicates.blocks_for(max(len(a), len(b)), like)))[-1])
             assert len(keys[0] & keys[1]) >= blocks - (union - both)
     steps = near_duplicates.scale(5000)
-    for blocks, size in zip(steps.tolist(), near_duplicates.largest_sizes(steps), strict=True):
-        assert near_duplicates.blocks_for(size) <= blocks < near_duplicates.blocks_for(size + 1)
+    for blocks, size in zip(steps.tolist(), near_duplicates.largest_sizes(steps, like), strict=True):
+        assert near_duplicates.blocks_for(size, like) <= blocks < near_duplicates.blocks_for(size + 1, like)
 
 
 # --- 6 scoring -----------------------------------------------------------------
