@@ -15,7 +15,7 @@ import marquee
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at once inside a task, in bytes; a longer text is handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shipped(spark: SparkSession) -> SparkSession:

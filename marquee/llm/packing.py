@@ -32,7 +32,7 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Text handled at once, in bytes.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Words, and units of words, whose ids a task remembers; when there are more it starts over.
 REMEMBERED = 300_000
 
