@@ -46,7 +46,7 @@ CONTEXT = 1e-4
 #: Occurrences that a bigram needs to be an arc, and what is taken off its count.
 LEAST, DISCOUNT = 2, 0.75
 #: Input file bytes whose documents are scored together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Different keys that a task counts before it passes them on.
 HELD = 4_000_000
 END = np.int64(0)
