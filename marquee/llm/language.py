@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import svm
-from marquee.llm.common import documents, id_bucket, in_slices, only, sums, texts_of
+from marquee.llm.common import documents, id_bucket, in_slices, only, slices, sums, texts_of
 
 UNKNOWN = "und"
 #: Bounds of the training sample, in documents.
 PER_LANGUAGE, SAMPLE = 600, 4000
 BITS = 13
+#: Text handled at once inside a task, in bytes; its trigrams take some twenty times that.
+SLICE = 2 << 20
 
 # Families of related languages. Any other language is a family of its own.
 FAMILIES = {
@@ -168,10 +170,10 @@ def sample_features(rows: DataFrame, label: str, per_label: int, in_all: int) ->
     picked = rows.filter(chance < share[F.col(label)]).select(F.col(label).alias("label"), "text")
     taken: dict[str, int] = {}
     out = []
-    for label_, gram, n in picked.mapInArrow(in_slices(features), "label string, gram array<int>, n array<int>").toLocalIterator():
+    for label_, gram, n in picked.mapInArrow(in_slices(features, size=SLICE), "label string, gram array<int>, n array<int>").toLocalIterator():
         if len(gram) and taken.get(label_, 0) < quota:
             taken[label_] = taken.get(label_, 0) + 1
-            out.append((label_, np.array(gram), np.array(n, float)))
+            out.append((label_, np.array(gram, np.int32), np.array(n, np.float32)))
     return out
 
 
@@ -180,23 +182,27 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = SAMPL
     sample = sample_features(only(rows, "doc_id", "text", "lang").filter("lang IS NOT NULL"), "lang", per_language, in_all)
     languages = sorted({x[0] for x in sample})
     families = sorted({family_of(x) for x in languages})
-    x = np.zeros((len(sample), 1 << BITS), np.float32)
-    for i, (_, gram, n) in enumerate(sample):
-        x[i, gram] = n / n.sum()
     lang = np.array([s[0] for s in sample], object)
     kin = np.array([family_of(s) for s in lang], object)
-    scale = 1 / (x.std(axis=0) + 1e-4) / np.sqrt(1 << BITS) if len(sample) else np.ones(1 << BITS)
+    # One matrix with a constant column; nothing below copies it.
+    x = np.zeros((len(sample), (1 << BITS) + 1), np.float32)
+    x[:, -1] = 1
+    for i, (_, gram, n) in enumerate(sample):
+        x[i, gram] = n / n.sum()
+    mean = x.mean(axis=0, dtype=float) if len(sample) else np.zeros(x.shape[1])
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=float) / max(len(sample), 1) - mean**2, 0))
+    scale = (1 / (spread + 1e-4) / np.sqrt(1 << BITS)).astype(np.float32)
+    scale[-1] = 1
     x *= scale
-    tasks = [((f,), np.full(len(sample), True), kin == f) for f in families if len(families) > 1]
+    everyone = np.arange(len(sample))
+    tasks = [((f,), everyone, kin == f) for f in families if len(families) > 1]
     for f in families:
         for a, b in combinations([v for v in languages if family_of(v) == f], 2):
-            tasks.append(((a, b), (lang == a) | (lang == b), lang == a))
+            tasks.append(((a, b), np.flatnonzero((lang == a) | (lang == b)), lang == a))
     weights, bias = np.zeros((1 << BITS, len(tasks))), np.zeros(len(tasks))
     for c, (_, rows_, positive) in enumerate(tasks):
-        signs = np.where(positive[rows_], 1.0, -1.0)
-        with_one = np.column_stack([x[rows_], np.ones(rows_.sum(), np.float32)])
-        w = svm.train(with_one, signs)
-        weights[:, c], bias[c] = w[:-1] * scale, w[-1]
+        w = svm.train(x, np.where(positive, 1.0, -1.0), only=rows_) * scale
+        weights[:, c], bias[c] = w[:-1], w[-1]
     return Model(languages, families, [t[0] for t in tasks], weights, bias)
 
 
@@ -209,13 +215,8 @@ def identify(docs: DataFrame, model: Model, keep: list[Column] | None = None) ->
     def predict(text):
         import pandas as pd
 
-        texts, parts, start = texts_of(pa.Array.from_pandas(text, type=pa.string())), [], 0
-        batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        from marquee.llm.common import slices
-
-        for part in slices(iter([batch])):
-            parts.append(shared.value.predict(part.column("text")))
-            start += part.num_rows
+        batch = pa.RecordBatch.from_arrays([texts_of(pa.Array.from_pandas(text, type=pa.string()))], ["text"])
+        parts = [shared.value.predict(part.column("text")) for part in slices(iter([batch]), size=SLICE)]
         return pd.DataFrame({"lang_pred": np.concatenate([p[0] for p in parts]), "score": np.concatenate([p[1] for p in parts])})
 
     names = [c for c in rows.columns]

@@ -3,20 +3,24 @@
 import numpy as np
 
 
-def train(rows: np.ndarray, signs: np.ndarray, cost: np.ndarray | float = 1.0, rounds: int = 40, tolerance: float = 1e-3) -> np.ndarray:
+def train(
+    rows: np.ndarray, signs: np.ndarray, cost: np.ndarray | float = 1.0, rounds: int = 40, tolerance: float = 1e-3, only: np.ndarray | None = None
+) -> np.ndarray:
     """Weights w minimising |w|^2 / 2 + sum(cost * hinge loss), by dual coordinate descent.
 
     ``rows`` carries its own constant column if a bias is wanted; ``signs`` are 1 and
-    -1; ``cost`` may differ from row to row. Rows are visited in a fixed random order.
+    -1; ``cost`` may differ from row to row. Rows are visited in a fixed random order;
+    with ``only``, just these rows, without a copy of them.
     """
     n, width = rows.shape
+    used = np.arange(n) if only is None else only
     cost = np.broadcast_to(np.asarray(cost, float), n)
     alpha, w = np.zeros(n), np.zeros(width)
     norms = np.maximum(np.einsum("ij,ij->i", rows, rows), 1e-12)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
-        for i in order.permutation(n):
+        for i in order.permutation(used):
             gradient = signs[i] * float(rows[i] @ w) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
             if new != alpha[i]:
