@@ -1,10 +1,9 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a smoothed bigram model over words and the end of the text. Its root
-state has an arc for every word; every word that makes up at least ``CONTEXT`` of
-the training tokens has a state of its own, with an arc for each follower seen at
-least ``LEAST`` times and a failure arc to the root that carries the weight left
-over (absolute discounting, interpolated with the root). Reading a text left to
+state has an arc for every word; every word of the training texts has a state of its
+own, with an arc for each follower seen and a failure arc to the root that carries the
+weight left over (absolute discounting, interpolated with the root). Reading a text left to
 right, the state after a word is that word's, or the root; the log10 weights of the
 arcs taken add up to the score. The arcs of a state and its failure arc share out
 one, so a text's score is the log10 of its probability.
@@ -13,12 +12,12 @@ The vocabulary and the arcs grow with the corpus, so the model is never in one
 place. Documents are dealt into chunks of bounded size, by the part of the input
 file they lie in. Each chunk counts what it holds, once per different word and
 bigram; the counts are summed by key over all chunks, and each chunk gets back
-those sums that differ from its own count. With them a chunk has the part of the
-automaton that its documents can reach. No key has more than a few rows per chunk,
-so frequent words make no hot task. Only the words that have a state, of which
-there are at most ``1 / CONTEXT``, are sent to all tasks.
+those sums that differ from its own count, for a word with the number of its
+different followers. With them a chunk has the part of the automaton that its
+documents can reach. No key has more than a few rows per chunk, so frequent words
+make no hot task. Nothing but two totals is sent to all tasks.
 
-Words are told apart by 64-bit hashes.
+Words and bigrams are told apart by 64-bit hashes.
 
 Edge cases: a null text is empty; an empty text is the end token alone; documents
 with a null id are not learned from; repeated rows are learned from and scored each;
@@ -41,17 +40,15 @@ from marquee.llm.common import documents, id_bucket, only, slices, texts_of, wor
 from marquee.llm.phrases import BASE, INVERSE, mix, powers
 from marquee.session import cut
 
-#: Share of the training tokens from which on a word has a state.
-CONTEXT = 1e-4
+#: Share of the training tokens beyond which a word has a state: all words that occur have one.
+CONTEXT = 0
 #: Occurrences that a bigram needs to be an arc, and what is taken off its count.
-LEAST, DISCOUNT = 2, 0.75
+LEAST, DISCOUNT = 1, 0.75
 #: Input file bytes whose documents are scored together.
 CHUNK_BYTES = 8 << 20
 #: Different keys that a task counts before it passes them on.
 HELD = 4_000_000
 END = np.int64(0)
-#: A bigram's key has the number of its state in the upper bits, the follower's hash in the lower ones.
-STATE_SHIFT = 49
 
 
 def word_keys(words: pa.Array) -> np.ndarray:
@@ -90,49 +87,45 @@ class Tokens:
     def per_token(self, per_text: np.ndarray) -> np.ndarray:
         return np.repeat(per_text, np.diff(self.offsets))
 
-    def followers(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of tokens whose predecessor in the text has a state, and their bigram keys."""
-        state = np.searchsorted(states, self.keys)
-        state = np.where(np.append(states, [0])[state] == self.keys, state, -1)
-        state[(self.keys < states[0]) if len(states) else slice(None)] = -1
-        state[len(self.keys) - 1] = -1
-        before = state[self.token[:-1]]
-        at = np.flatnonzero(before >= 0) + 1
-        follower = self.keys.view(np.uint64) >> np.uint64(64 - STATE_SHIFT)
-        return at, before[at - 1] << STATE_SHIFT | follower[self.token[at]].view(np.int64)
+    def followers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of tokens that follow a word of their text, the word's position in ``keys``, and the bigrams' keys."""
+        before = self.token[:-1]
+        at = np.flatnonzero(before != len(self.keys) - 1) + 1
+        word, keys = self.token[at - 1], self.keys.view(np.uint64)
+        return at, word, mix(keys[word] * np.uint64(0x9E3779B97F4A7C15) + keys[self.token[at]]).view(np.int64)
 
 
 class Tally:
-    """Counts by chunk and key, merged from time to time."""
+    """Counts by chunk and key, merged from time to time; ``states`` are the words that bigrams start with."""
 
     def __init__(self) -> None:
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         self.size = 0
 
-    def add(self, chunk: int, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.setdefault(chunk, []).append((keys, counts))
+    def add(self, chunk: int, keys: np.ndarray, states: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.setdefault(chunk, []).append((keys, states, counts.astype(np.int32)))
         self.size += len(keys)
 
     def merge(self) -> None:
         self.size = 0
         for chunk, parts in self.parts.items():
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            self.parts[chunk] = [(keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64))]
+            keys, one, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_index=True, return_inverse=True)
+            states = np.concatenate([s for _, s, _ in parts])[one]
+            self.parts[chunk] = [(keys, states, np.bincount(at, np.concatenate([n for _, _, n in parts]), len(keys)).astype(np.int32))]
             self.size += len(keys)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.merge()
-        for chunk, [(keys, counts)] in self.parts.items():
+        for chunk, [(keys, states, counts)] in self.parts.items():
             for k in range(0, len(keys), 100_000):
                 part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(keys[part]), chunk)), pa.array(counts[part].astype(np.int32))], ["key", "chunk", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(states[part]), pa.array(np.full(len(keys[part]), chunk)), pa.array(counts[part])], ["key", "state", "chunk", "n"])
         self.parts, self.size = {}, 0
 
 
-def tallied(chunked: DataFrame, states: np.ndarray | None) -> DataFrame:
-    """``key, chunk, n``: how often a chunk's training documents have each token (or bigram, if states are given)
-    that any of its documents has."""
-    shared = chunked.sparkSession.sparkContext.broadcast(states)
+def tallied(chunked: DataFrame, bigrams: bool) -> DataFrame:
+    """``key, state, chunk, n``: how often a chunk's training documents have each token (or bigram, with its first
+    word as ``state``) that any of its documents has."""
 
     def run(batches):
         tally = Tally()
@@ -140,26 +133,24 @@ def tallied(chunked: DataFrame, states: np.ndarray | None) -> DataFrame:
             tokens = Tokens.of(texts_of(batch.column("text")))
             train = tokens.per_token(batch.column("train").to_numpy(zero_copy_only=False))
             chunk = batch.column("chunk").to_numpy()
-            if shared.value is None:
-                at, keys = np.arange(len(tokens.token)), None
-            else:
-                at, keys = tokens.followers(shared.value)
+            at, word, keys = tokens.followers() if bigrams else (np.arange(len(tokens.token)), None, None)
             for c in np.unique(chunk):
                 here = tokens.per_token(chunk == c)[at]
                 if keys is None:
                     used = np.bincount(tokens.token[here], minlength=len(tokens.keys)) > 0
                     n = np.bincount(tokens.token[here & train], minlength=len(tokens.keys))
-                    tally.add(int(c), tokens.keys[used], n[used])
+                    tally.add(int(c), tokens.keys[used], tokens.keys[used], n[used])
                 else:
-                    found, place = np.unique(keys[here], return_inverse=True)
-                    tally.add(int(c), found, np.bincount(place, train[at][here], len(found)).astype(np.int64))
+                    found, one, place = np.unique(keys[here], return_index=True, return_inverse=True)
+                    tally.add(int(c), found, tokens.keys[word[here][one]], np.bincount(place, train[at][here], len(found)))
             if tally.size > HELD:
                 tally.merge()
                 if tally.size > HELD // 2:
                     yield from tally.rows()
         yield from tally.rows()
 
-    return chunked.select("text", "train", "chunk").mapInArrow(run, "key long, chunk long, n int")
+    rows = chunked.select("text", "train", "chunk").mapInArrow(run, "key long, state long, chunk long, n int")
+    return rows if bigrams else rows.drop("state")
 
 
 def summed(counts: DataFrame) -> DataFrame:
@@ -170,7 +161,7 @@ def summed(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Automaton:
-    """What is known of the model everywhere: sizes, and the states with their failure weights."""
+    """The part of the model that a chunk of documents can reach."""
 
     tokens: int
     words: int
@@ -183,20 +174,18 @@ class Automaton:
         """Weight of the root's arc for a token seen ``c`` times."""
         return (c + 0.5) / (self.tokens + 0.5 * (self.words + 1))
 
-    def traverse(self, tokens: Tokens, token_counts: np.ndarray, arcs: np.ndarray, arc_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def traverse(self, tokens: Tokens, token_counts: np.ndarray, at: np.ndarray, word: np.ndarray, arc_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 weights of the root's arcs, and of the arcs taken from the states that the texts run through.
 
-        ``token_counts`` belong to ``tokens.keys``; ``arcs`` are sorted bigram keys with their counts.
+        ``token_counts`` belong to ``tokens.keys``; ``arc_counts`` are those of the bigrams at ``at``, which start with ``word``.
         """
         root = self.root(token_counts)[tokens.token]
         taken = root.copy()
-        at, keys = tokens.followers(self.states)
-        if len(at):
-            state = keys >> STATE_SHIFT
-            place = np.minimum(np.searchsorted(arcs, keys), max(len(arcs) - 1, 0))
-            c = np.where(arcs[place] == keys, arc_counts[place], 0) if len(arcs) else np.zeros(len(keys))
-            own = np.where(c >= LEAST, (c - DISCOUNT) / self.counts[state], 0.0)
-            taken[at] = own + self.failure[state] * root[at]
+        if len(self.states):
+            place = np.minimum(np.searchsorted(self.states, tokens.keys), len(self.states) - 1)
+            place = np.where(self.states[place] == tokens.keys, place, -1)[word]
+            at, state, c = at[place >= 0], place[place >= 0], arc_counts[place >= 0]
+            taken[at] = np.where(c >= LEAST, (c - DISCOUNT) / self.counts[state], 0.0) + self.failure[state] * root[at]
         return np.log10(root), np.log10(taken)
 
 
@@ -213,30 +202,25 @@ def chunks(docs: DataFrame, train) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), place.alias("chunk"))
 
 
-def learn(chunked: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The shared part of the model, and what each chunk is told: ``chunk, arc`` (or word), ``key, c``."""
-    words = cut(summed(tallied(chunked, None)).filter("first OR c > n"))
+def learn(chunked: DataFrame) -> tuple[int, int, DataFrame]:
+    """Training tokens, different ones among them, and what each chunk is told: ``chunk, arc`` (or word), ``key, c``,
+    ``followers``."""
+    words = cut(summed(tallied(chunked, bigrams=False)).filter("c > 0 AND (first OR c > n)"))
     # The sum and the number of words come from one row per key.
-    total, different = words.filter("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    common = words.filter(F.col("first") & (F.col("c") >= F.lit(CONTEXT * total)) & (F.col("c") > 0) & (F.col("key") != int(END))).select("key", "c").collect()
-    order = np.argsort(np.array([r[0] for r in common], np.int64))
-    states = np.array([r[0] for r in common], np.int64)[order]
-    counts = np.array([r[1] for r in common], float)[order]
-    bigrams = cut(summed(tallied(chunked, states)).filter((F.col("c") >= LEAST) & (F.col("first") | (F.col("c") > F.col("n")))))
-    state = F.shiftrightunsigned("key", STATE_SHIFT)
-    used = bigrams.filter("first").groupBy(state.alias("state")).agg(F.sum(F.col("c") - DISCOUNT).alias("mass")).collect()
-    mass = np.zeros(len(states))
-    for number, m in used:
-        mass[number] = m
-    failure = 1 - mass / np.maximum(counts, 1)
-    told = words.filter("c > n").select("chunk", F.lit(False).alias("arc"), "key", "c")
-    told = told.unionByName(bigrams.filter("c > n").select("chunk", F.lit(True).alias("arc"), "key", "c"))
-    return Automaton(int(total), int(different), states, counts, failure), told
-
-
-def looked_up(keys: np.ndarray, own: np.ndarray, told: pa.Table) -> np.ndarray:
-    """Counts over all chunks: the own ones, unless another was told."""
-    known, c = told.column("key").to_numpy(), told.column("c").to_numpy()
+    total, different = words.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    bigrams = summed(tallied(chunked, bigrams=True)).filter((F.col("c") >= LEAST) & (F.col("first") | (F.col("c") > F.col("n"))))
+    # A bigram counts once for its state, and is told to the chunks that lack a part of it.
+    asked = [F.when(F.col("c") > F.col("n"), F.col(name)).alias(name) for name in ("chunk", "key", "c")]
+    bigrams = cut(bigrams.select(F.when(F.col("first"), F.col("state")).alias("state"), *asked))
+    followers = bigrams.filter("state IS NOT NULL").groupBy(F.col("state").alias("key")).agg(F.count(F.lit(1)).alias("followers"))
+    told = words.filter("c > n").join(followers, "key", "left").select("chunk", F.lit(False).alias("arc"), "key", "c", F.coalesce("followers", F.lit(0)).alias("followers"))
+    arcs = bigrams.filter("chunk IS NOT NULL").select("chunk", F.lit(True).alias("arc"), "key", "c", F.lit(0).cast("long").alias("followers"))
+    return int(total), int(different), told.unionByName(arcs)
+
+
+def looked_up(keys: np.ndarray, own: np.ndarray, told: pa.Table, column: str = "c") -> np.ndarray:
+    """Numbers over all chunks: the own ones, unless another was told."""
+    known, c = told.column("key").to_numpy(), told.column(column).to_numpy()
     order = np.argsort(known, kind="stable")
     known, c = known[order], c[order]
     if not len(known):
@@ -248,7 +232,7 @@ def looked_up(keys: np.ndarray, own: np.ndarray, told: pa.Table) -> np.ndarray:
 FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_chunk(model: Automaton, docs: pa.Table, told: pa.Table) -> pa.Table:
+def score_chunk(total: int, different: int, docs: pa.Table, told: pa.Table) -> pa.Table:
     names = [f.split()[0] for f in FIELDS.split(", ")]
     docs = docs.combine_chunks()
     texts = texts_of(docs.column("text").combine_chunks()) if docs.num_rows else pa.array([], pa.string())
@@ -257,16 +241,22 @@ def score_chunk(model: Automaton, docs: pa.Table, told: pa.Table) -> pa.Table:
     tokens, arc = Tokens.of(texts), told.column("arc")
     train = tokens.per_token(docs.column("train").to_numpy())
     own = np.bincount(tokens.token[train], minlength=len(tokens.keys))
-    counts = looked_up(tokens.keys, own, told.filter(pc.invert(arc)))
-    at, keys = tokens.followers(model.states)
-    found, place = np.unique(keys, return_inverse=True)
+    words = told.filter(pc.invert(arc))
+    counts = looked_up(tokens.keys, own, words)
+    at, word, keys = tokens.followers()
+    found, one, place = np.unique(keys, return_index=True, return_inverse=True)
     own = np.bincount(place, train[at], len(found)) if len(found) else np.zeros(0)
-    root, taken = model.traverse(tokens, counts, found, looked_up(found, own, told.filter(arc)))
+    # A word that was not told has all its occurrences, and so all its followers, in this chunk.
+    followers = looked_up(tokens.keys, np.bincount(word[one][own >= LEAST], minlength=len(tokens.keys)), words, "followers")
+    states = np.flatnonzero(counts[:-1] > CONTEXT * total)
+    states = states[np.argsort(tokens.keys[states])]
+    model = Automaton(total, different, tokens.keys[states], counts[states], DISCOUNT * followers[states] / counts[states])
+    root, taken = model.traverse(tokens, counts, at, word, looked_up(found, own, told.filter(arc))[place])
     starts = tokens.offsets[:-1]
     known = (counts > 0)[tokens.token]
     columns = [
         docs.column("doc_id").cast(pa.int64()), docs.column("held_out"), pa.array(np.diff(tokens.offsets)), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
-        pa.array(np.full(docs.num_rows, model.tokens)), pa.array(np.add.reduceat(root, starts)), pa.array(np.add.reduceat(taken, starts)),
+        pa.array(np.full(docs.num_rows, total)), pa.array(np.add.reduceat(root, starts)), pa.array(np.add.reduceat(taken, starts)),
     ]
     return pa.table(columns, names)
 
@@ -277,13 +267,12 @@ def score_corpus(docs: DataFrame, train) -> DataFrame:
     ``docs`` (``doc_id``, ``text``) has to be read from files; ``cut`` anything else first.
     """
     chunked = chunks(only(docs, "doc_id", "text"), train)
-    model, told = learn(chunked)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    total, different, told = learn(chunked)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)], [f.split()[0] for f in FIELDS.split(", ")])
-        return score_chunk(shared.value, left, right)
+        return score_chunk(total, different, left, right)
 
     held = chunked.withColumn("held_out", F.coalesce(id_bucket(5) == 1, F.lit(False)))
     return held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, FIELDS)

@@ -277,6 +277,26 @@ def test_arcs_share_out_one():
     assert (np.array([4 - 0.75, 2 - 0.75, 0, 0, 0]) / 8 + model.failure[0] * root).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("size", [1, 60])
+def test_rare_words_keep_their_arcs(spark, tmp_path, monkeypatch, size):
+    """However large the rest of the table, a word seen once has a state and its one follower an arc."""
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 16 << 20)
+    rows = [(k, " ".join(["some common text"] * 300)) for k in range(size)] + [(1000, "rare pair"), (1001, "rare other"), (1002, "once only")]
+    got = by_id(scoring.score_corpus(stored(table(spark, rows).repartition(3), tmp_path / "docs"), F.lit(True)))
+    total, words = size * 901 + 9, 9
+
+    def root(n):
+        return (n + 0.5) / (total + 0.5 * (words + 1))
+
+    def arc(n, state, followers, to):
+        return (n - 0.75) / state + 0.75 * followers / state * root(to)
+
+    end = size + 3
+    assert got[1000]["train_tokens"] == total
+    assert got[1000]["score"] == pytest.approx(math.log10(root(2) * arc(1, 2, 2, 1) * arc(1, 1, 1, end)))
+    assert got[1002]["score"] == pytest.approx(math.log10(root(1) * arc(1, 1, 1, 1) * arc(1, 1, 1, end)))
+
+
 def test_scores_of_nothing(spark, tmp_path):
     empty = stored(table(spark, []), tmp_path / "none")
     assert scoring.score_corpus(empty, F.lit(True)).count() == 0
