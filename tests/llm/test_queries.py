@@ -63,3 +63,12 @@ def test_pipeline(spark, tmp_path):
     assert [x for x in kept[3] if x in clean] == [x for x in clean if not scan(x[1])] and all(not secrets.scanner(secrets.RULES)(t) for _, t in kept[3])
     assert {r["doc_id"] for r in docs.collect()} == {i for i, _ in clean}
     assert decontamination.WINDOW == 10
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    """A copy with a tail appended shares some 0.86 of its five-word shingles."""
+    words = [f"word{k}" for k in range(200)]
+    texts = {1: words, 2: [*words, *[f"tail{k}" for k in range(30)]], 3: [f"other{k}" for k in range(200)]}
+    assert linked_components({i: " ".join(t) for i, t in texts.items()}, 5, 80) == {1: 1, 2: 1, 3: 3}
+    docs = table(spark, [(i, " ".join(t)) for i, t in texts.items()])
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, str(tmp_path)).collect()) == [1, 3]
