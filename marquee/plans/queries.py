@@ -281,16 +281,26 @@ def touch_last_seen(spark, sf):
     return upserts.touch_last_seen(rows, rows.filter("price_from IS NULL").select("url"), sample.now()).select("url", "last_seen_at")
 
 
-@query
-def scheduled_run(spark, sf):
-    """Counters of a run that may fetch twenty pages per category of a site with a page per event row."""
+def site_run(spark: SparkSession, sf: str, limit: int | None, fuzzy: bool) -> scrape.ScrapeResult:
+    """A scheduled run over a site with a page per event row."""
     pages = detail_pages(spark, sf)
     linked = pages.select("category", F.col("page_id").alias("position"), F.col("url").alias("href"))
     known = sample.scraped_from_pages(pages, urls.canonical_url(F.col("url")))
-    run = scrape.scheduled_run(
-        empty_tables(spark, sample.sources(spark, sf)), known, linked, pages, SELLER, "SK", "EUR", sample.now(), limit=20, fuzzy=False
-    )
-    return run.counts
+    return scrape.scheduled_run(empty_tables(spark, sample.sources(spark, sf)), known, linked, pages, SELLER, "SK", "EUR", sample.now(), limit=limit, fuzzy=fuzzy)
+
+
+@query
+def scheduled_run(spark, sf):
+    """Counters of a run with the optional cap, here of twenty pages per category; the whole job is ``scheduled_run_all``."""
+    return site_run(spark, sf, limit=20, fuzzy=False).counts
+
+
+@query
+def scheduled_run_all(spark, sf):
+    """Counters of a run over all pages that are new or due, with fuzzy matching, and its listings per outcome."""
+    run = site_run(spark, sf, limit=None, fuzzy=True)
+    counters = run.counts.unpivot([], run.counts.columns, "counter", "n")
+    return counters.unionByName(run.ingested.stats().select(F.col("outcome").alias("counter"), F.col("listings").alias("n")))
 
 
 @query

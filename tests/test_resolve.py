@@ -1,5 +1,6 @@
 """Set-based resolution equals the one-at-a-time fold on many random batches at once."""
 
+import collections
 import hashlib
 import random
 from datetime import datetime, timedelta
@@ -8,8 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee import schemas
+from marquee.functions.urls import canonical_url
+from marquee.operators import frontier
+from marquee.operators.extract import pages_to_listings
+from marquee.operators.normalize import check_listings, normalized
 from marquee.operators.resolve import resolve_batch
 from marquee.plans.ingest import ingest
+from marquee.plans.queries import QUERIES, SELLER, detail_pages
+from marquee.sources import sample
 from marquee.sources.tables import empty_tables
 from tests.sequential import Catalogue
 
@@ -150,6 +157,27 @@ def test_ingest_runs_match_the_fold(spark, registry):
     }
 
 
+def test_a_scheduled_run_over_all_pages_matches_the_fold(spark):
+    """Every page that is new or due is fetched, and its listings are resolved with similar titles."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.counter: r.n for r in QUERIES["scheduled_run_all"](spark, sf).collect()}
+    pages = detail_pages(spark, sf)
+    known = sample.scraped_from_pages(pages, canonical_url(F.col("url")))
+    wanted = frontier.refetch_plan(pages.withColumn("href", F.col("url")), known, sample.now()).filter("decision <> 'fresh'")
+    decided = collections.Counter(r.decision for r in wanted.select("decision").collect())
+    assert (got["new_pages"], got["due_pages"]) == (decided["new"], decided["due"])
+    assert max(r["count"] for r in wanted.groupBy("category").count().collect()) > 20
+    fetched = pages.join(wanted.select("page_id"), "page_id", "left_semi")
+    checked = check_listings(pages_to_listings(fetched, SELLER, "SK", "EUR"), sample.sources(spark, sf))
+    rows = [r.asDict() for r in normalized(checked).orderBy("seq").collect()]
+    first = {r["url"]: r["seq"] for r in reversed(rows)}
+    cat, want = Catalogue(), collections.Counter({"skipped": checked.count() - len(rows)})
+    for row in sorted(rows, key=lambda r: (first[r["url"]] != r["seq"], r["seq"])):
+        want[cat.add(row)] += 1
+    outcomes = {k: n for k, n in got.items() if k in ("created", "merged", "updated", "skipped")}
+    assert outcomes == {k: n for k, n in want.items() if n} and want["merged"] > 0
+
+
 def fingerprint(title, venue, start):
     def key(text):
         return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
