@@ -1,9 +1,12 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 Two words are compared by the subsequences of three characters that they share. A
-subsequence may skip up to two characters, each skip halves its weight, so inserted
-or replaced characters ("idi-ot", "idxiot") and new endings keep most of the
-likeness. The kernel of a sentence and a landmark word is the sum, over the words
+subsequence may skip up to two characters, each skip halves its weight, so a word with
+an inserted character ("idxiot") or a new ending keeps part of the likeness: cubed, a
+fifth to a third in short words. The machine is therefore shown disguises, too: the
+insults it found in a ``SHARE`` of the toxic documents with a symbol put in at each place,
+next to the clean words that are most like them. Replaced characters are mostly missed.
+Punctuation inside a word is removed before. The kernel of a sentence and a landmark word is the sum, over the words
 of the sentence, of the cubed normalised word kernel. Landmarks are words of the
 training sample: those that speak most for toxic documents, unlike each other, and
 common ones. Kernel values against them, whitened by the landmarks' own kernel, are
@@ -43,6 +46,12 @@ LANDMARKS, COMMON, WORDS = 128, 16, 32
 #: Weight of a toxic sentence against its share in the labels.
 WEIGHT = 2.0
 THRESHOLD = 0.3
+#: Most insults of which the machine is shown disguises, the symbols put in, and clean words shown next to them.
+INSULTS, SYMBOLS, CLEAN = 64, list(string.ascii_lowercase + "1"), 2000
+#: Share of the toxic documents that such an insult is in at least, and the weight of these single words against a sentence.
+SHARE, SINGLE = 0.05, 5.0
+#: Weight of all disguises together in the curve, against that of the toxic documents.
+DISGUISED = 0.2
 DECAY, POWER = 0.5, 3
 #: Word scores that a task remembers; when there are more it starts over.
 REMEMBERED = 300_000
@@ -239,13 +248,28 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = DOCUMENTS, most: int =
     if len({t for _, t, _ in found}) < 2:
         nothing.share = counts[1] / (counts[0] + counts[1])
         return nothing
-    toxic = np.array([t for _, t, _ in found])
     marks = choose_landmarks(found)
     table = landmark_table(marks)
     own = against(marks, table).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
+    # Sampled documents of a label stand for all of it.
+    drawn = [len({d for d, t, _ in found if t == label}) for label in (0, 1)]
+    scarce = counts[0] / drawn[0] / (counts[1] / drawn[1])
+    model = fit(found, table, whiten, scarce)
+    insults = insults_of(found, model)
+    disguised = disguises(insults)
+    if disguised:
+        shown = [(0, 1, [w]) for w in disguised] + [(0, 0, [w]) for w in clean_words(found, insults)]
+        model = fit(found + shown, table, whiten, scarce, len(found))
+    calibrate(model, sample, counts, disguised)
+    return model
+
+
+def fit(found: list[tuple[int, int, list[str]]], table: np.ndarray, whiten: np.ndarray, scarce: float, plain: int | None = None) -> Model:
+    """The machine for these sentences, with its weights on the landmarks; those from ``plain`` on are single words and weigh ``SINGLE`` times as much."""
+    toxic = np.array([t for _, t, _ in found])
     words = list(dict.fromkeys(w for _, _, s in found for w in s))
     place = {w: k for k, w in enumerate(words)}
     kernel = against(words, table)
@@ -254,13 +278,37 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = DOCUMENTS, most: int =
         part = [s for _, _, s in found[first : first + 500]]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in part])])
         rows[first : first + len(part)] = sums(kernel[[place[w] for s in part for w in s]], offsets) @ whiten
-    # Sampled documents of a label stand for all of it.
-    drawn = [len({d for d, t, _ in found if t == label}) for label in (0, 1)]
-    scarce = counts[0] / drawn[0] / (counts[1] / drawn[1])
-    w = svm.train(np.column_stack([rows, np.ones(len(rows))]), np.where(toxic == 1, 1.0, -1.0), np.where(toxic == 1, WEIGHT, scarce), rounds=25)
-    model = Model(table, whiten @ w[:-1], float(w[-1]))
-    calibrate(model, sample, counts)
-    return model
+    cost = np.where(toxic == 1, WEIGHT, scarce)
+    cost[plain if plain is not None else len(found) :] *= SINGLE
+    w = svm.train(np.column_stack([rows, np.ones(len(rows))]), np.where(toxic == 1, 1.0, -1.0), cost, rounds=25)
+    return Model(table, whiten @ w[:-1], float(w[-1]))
+
+
+def insults_of(found: list[tuple[int, int, list[str]]], model: Model) -> list[str]:
+    """Words of a ``SHARE`` of the toxic documents and no clean sentence that the machine takes for toxic by themselves."""
+    clean = {w for _, toxic, words in found if not toxic for w in words}
+    homes: dict[str, set[int]] = {}
+    for doc, toxic, words in found:
+        for w in words if toxic else []:
+            if len(w) > 3 and w not in clean:
+                homes.setdefault(w, set()).add(doc)
+    least = max(2, SHARE * len({doc for doc, toxic, _ in found if toxic}))
+    words = sorted(w for w, docs in homes.items() if len(docs) >= least)
+    value = against(words, model.table) @ model.beta + model.bias
+    return sorted((words[k] for k in np.flatnonzero(value > 0)), key=lambda w: (-len(homes[w]), w))[:INSULTS]
+
+
+def disguises(insults: list[str]) -> list[str]:
+    """The insults with a symbol put in at each place between their own, some different ones each."""
+    rng = np.random.default_rng(13)
+    return [w[:k] + x + w[k:] for w in insults for k in range(1, len(w)) for x in rng.choice(SYMBOLS, 4, replace=False)]
+
+
+def clean_words(found: list[tuple[int, int, list[str]]], insults: list[str]) -> list[str]:
+    """The words of clean sentences that are most like an insult: what disguises have to be told from."""
+    words = sorted({w for _, toxic, words in found if not toxic for w in words})
+    likeness = against(words, landmark_table(insults)).max(axis=1) if words else np.zeros(0)
+    return [words[k] for k in np.argsort(-likeness, kind="stable")[:CLEAN]]
 
 
 def sample_sentences(sample: DataFrame, size: int, most: int) -> list[tuple[int, int, list[str]]]:
@@ -305,8 +353,11 @@ def choose_landmarks(found: list[tuple[int, int, list[str]]]) -> list[str]:
     return [(ranked + common)[k] for k in chosen] or ["\0"]
 
 
-def calibrate(model: Model, sample: DataFrame, counts: dict[int, int]) -> None:
-    """Fit the curve on the sampled documents, weighted to the real share of labels."""
+def calibrate(model: Model, sample: DataFrame, counts: dict[int, int], disguised: list[str]) -> None:
+    """Fit the curve on the sampled documents, weighted to the real share of labels.
+
+    The ``disguised`` insults weigh ``DISGUISED`` times as much as the toxic documents, all together.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(model.worst(texts_of(batch.column("text"))))], ["toxic", "worst"])
@@ -315,7 +366,12 @@ def calibrate(model: Model, sample: DataFrame, counts: dict[int, int]) -> None:
     drawn = np.bincount(rows[:, 0].astype(int), minlength=2)
     weight = np.array([counts[t] / max(drawn[t], 1) for t in (0, 1)])
     weight = weight / weight.max()
-    model.slope, model.offset = svm.platt(rows[:, 1], rows[:, 0], weight[rows[:, 0].astype(int)])
+    weights = weight[rows[:, 0].astype(int)]
+    if disguised:
+        worst = against(disguised, model.table) @ model.beta + model.bias
+        rows = np.concatenate([rows, np.column_stack([np.ones(len(worst)), worst])])
+        weights = np.append(weights, np.full(len(worst), DISGUISED * weight[1] * drawn[1] / len(worst)))
+    model.slope, model.offset = svm.platt(rows[:, 1], rows[:, 0], weights)
     model.memory.clear()
 
 

@@ -453,6 +453,15 @@ def test_toxicity(spark):
     assert toxicity.score_documents(table(spark, []), model).count() == 0
 
 
+def test_toxicity_of_insults_with_a_symbol_put_in(spark):
+    rng = random.Random(6)
+    rows = [(k, talk(rng, rng.choices(["idiot", "stupid", "scum"], k=2) if k % 5 == 0 else None)) for k in range(800)]
+    model = toxicity.learn(table(spark, rows), spark.createDataFrame([(k, int(k % 5 == 0)) for k, _ in rows], "doc_id long, toxic int"))
+    tries = {"idxiot": True, "stu1pid": True, "scxum": True, "iqdiot": True, "stupzid": True, "karvi": False, "senlu": False, "stelum": False}
+    score = model.score(pa.array([talk(rng) + f" {w} karvi" for w in tries]))
+    assert [bool(s >= toxicity.THRESHOLD) for s in score] == list(tries.values()), dict(zip(tries, score, strict=True))
+
+
 def test_toxicity_without_two_classes(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score_documents(table(spark), toxicity.learn(table(spark), none)).collect()} == {0.0}
