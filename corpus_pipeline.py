@@ -15,7 +15,7 @@ from marquee.session import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be recognised go; the others stay as they are."""
+    """Documents without a letter go, as no language can be said of them; the others stay as they are, whatever theirs is."""
     shipped(spark)
     return language.accepted(docs)
 

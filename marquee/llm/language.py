@@ -224,7 +224,11 @@ def identify(docs: DataFrame, model: Model, keep: list[Column] | None = None) ->
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language was recognised, learned from those that name theirs; columns stay as they are."""
+    """The documents whose language was recognised, learned from those that name theirs; columns stay as they are.
+
+    A language is said of every text with a letter, however unlike all of them it is, so only texts without letters go
+    (and all, if nothing was learned).
+    """
     names = docs.columns
     said = identify(docs.withColumn("__own", F.struct(*[F.col(f"`{c}`") for c in names])), learn(training(docs)), [F.col("text"), F.col("__own")])
     return said.filter(F.col("lang_pred") != UNKNOWN).select("__own.*")
