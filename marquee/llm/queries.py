@@ -13,7 +13,8 @@ from marquee.llm.phrases import op9_phrase_fingerprint
 from marquee.llm.scoring import op6_backoff_automaton
 from marquee.llm.secrets import op8_blob_ledger
 from marquee.llm.sharding import op2_permutation_table
+from marquee.llm.token_counts import op11_token_counts
 from marquee.llm.toxicity import op10_string_kernel
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_positional_index, op2_permutation_table, op3_hierarchical_svm, op4_composite_density, op5_parity_sketch, op6_backoff_automaton, op7_best_two_fit, op8_blob_ledger, op9_phrase_fingerprint, op10_string_kernel)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_positional_index, op2_permutation_table, op3_hierarchical_svm, op4_composite_density, op5_parity_sketch, op6_backoff_automaton, op7_best_two_fit, op8_blob_ledger, op9_phrase_fingerprint, op10_string_kernel, op11_token_counts)}
 ORACLES: dict[str, str] = {"op1_positional_index": OP1_SQL, "op5_parity_sketch": OP5_SQL}
