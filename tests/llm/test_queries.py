@@ -16,7 +16,7 @@ COLUMNS = {
     "op1": "doc_id n_words n_hit n_items items_sha256 contaminated", "op3": "doc_id held_out lang_pred score", "op4": "page_id url text n_chars", "op5": "doc_id n_shingles component_id",
     "op6": "doc_id held_out n_tokens n_known train_tokens base_score score", "op7": "doc_id piece start length ids_crc32 sequence_id offset",
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans", "op9": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
-    "op10": "doc_id held_out score predicted", "op11": "doc_id n_bytes n_tokens over_limit", "op12": "item_id rank doc_id score", "op2": "doc_id slot shard shard_without_last",
+    "op10": "doc_id held_out score predicted", "op11": "doc_id n_bytes n_tokens over_limit", "op12": "item_id rank doc_id score", "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op2": "doc_id slot shard shard_without_last",
 }
 
 
