@@ -7,8 +7,7 @@ they meet their event, so an event with very many listings stays cheap.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions import dates
-from marquee.operators.linkage import in_window
+from marquee.operators.drift import starts_in_effect
 from marquee.operators.normalize import derive_sort_fields
 from marquee.session import cut
 
@@ -130,33 +129,13 @@ def of_events(rescrapes: DataFrame, event_sources: DataFrame) -> DataFrame:
 def _drift(events: DataFrame, backed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reschedules of events with several listings, in arrival order.
 
-    A listing moves the start only if it is more than three hours off the start in
-    effect. Each round finds the next such listing per event; the rows before it
-    are settled. Returns the final starts and the rows with ``starts_in_effect``.
+    Returns the final starts and the rows with ``starts_in_effect``.
     """
-    open_rows = backed.select("event_id", "seq", "starts_at", "ends_at", "image_url")
-    starts = events.select(F.col("id").alias("event_id"), F.col("starts_at").alias("in_effect")).join(
-        backed.select("event_id").distinct(), "event_id"
-    )
-    moved, settled = None, None
-    while True:
-        far = ~in_window(dates.epoch_ms(F.col("starts_at")), dates.epoch_ms(F.col("in_effect")))
-        jumps = (
-            open_rows.join(starts, "event_id").filter(far).groupBy("event_id").agg(F.min(F.struct("seq", "starts_at")).alias("jump"))
-        )
-        rows = cut(open_rows.join(starts, "event_id").join(jumps, "event_id", "left"))
-        until = F.col("jump.seq").isNull() | (F.col("seq") <= F.col("jump.seq"))
-        effect = F.when(F.col("seq") == F.col("jump.seq"), F.col("jump.starts_at")).otherwise(F.col("in_effect"))
-        done = rows.filter(until).withColumn("starts_in_effect", effect).drop("in_effect", "jump")
-        settled = done if settled is None else settled.unionByName(done)
-        jumped = rows.filter("jump IS NOT NULL").select("event_id", F.col("jump.seq").alias("jump_seq"), F.col("jump.starts_at"))
-        moves = jumped.distinct()
-        moved = moves if moved is None else moved.unionByName(moves)
-        open_rows = rows.filter(~until).drop("in_effect", "jump")
-        if open_rows.isEmpty():
-            break
-        starts = moves.select("event_id", F.col("starts_at").alias("in_effect"))
-    final = moved.groupBy("event_id").agg(F.max_by("starts_at", "jump_seq").alias("moved_start"))
+    starts = events.select(F.col("id").alias("event_id"), F.col("starts_at").alias("first"))
+    rows = cut(backed.select("event_id", "seq", "starts_at", "ends_at", "image_url").join(starts, "event_id"))
+    scanned = cut(starts_in_effect(rows))
+    settled = rows.drop("first").join(scanned.drop("moved"), ["event_id", "seq"])
+    final = scanned.filter("moved").groupBy("event_id").agg(F.max_by("starts_in_effect", "seq").alias("moved_start"))
     return final, settled
 
 

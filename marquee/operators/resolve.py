@@ -1,4 +1,4 @@
-"""Resolve a batch of new listings into events, in arrival order, as Spark rounds.
+"""Resolve a batch of new listings into events, in arrival order.
 
 A listing joins an earlier compatible event or founds one. Only founders can be
 joined, so founders are the lexicographically first maximal independent set of
@@ -6,21 +6,33 @@ the match graph. The graph is never written out:
 
 * Listings with equal title, city, time and fingerprint behave alike; only the
   earliest matters, so copies collapse in a map-side aggregate.
-* All listings of one (city, title, three-hour block) match each other, as do all
-  of one fingerprint. Per round only the earliest of both groups can be a founder,
-  and it is one unless an earlier undecided listing of a *neighbouring* block lies
-  within three hours.
-* New founders take out everything they match; the next round looks at the rest.
-
-Every round decides at least the earliest undecided listing, and each round's
-result is written to the shared checkpoint folder.
+* ``segments`` cuts the rest into parts that no match crosses: the time line of each
+  family of similar titles in a city is cut where a three-hour block is empty, and parts that
+  share a fingerprint are joined again.
+* Segments of at most ``SEGMENT`` listings are folded in arrival order, many of them
+  in one grouped task (``fold``).
+* Larger segments go by rounds. All listings of one (city, title, three-hour block) match each
+  other, as do all of one fingerprint. Per round only the earliest of both groups can be a
+  founder, and it is one unless an earlier undecided listing of a *neighbouring* block lies
+  within three hours. New founders take out everything they match; the next round looks at the
+  rest. Every round decides at least the earliest undecided listing, and each round's
+  result is written to the shared checkpoint folder.
 """
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marquee.config import FUZZY_WINDOW_MS
+from marquee.operators.components import components
 from marquee.operators.linkage import BLOCK_KEY, closest, in_window, keyed_events, near_blocks, similar_titles, with_block
-from marquee.session import cut
+from marquee.session import cut, shipped
+
+#: Listings (copies counted once) of the largest segment that is folded in a task, and of a task's segments together, about.
+SEGMENT, BUCKET = 20_000, 50_000
 
 
 def event_id(url):
@@ -54,22 +66,94 @@ def _next_founders(undecided: DataFrame, titles: DataFrame) -> DataFrame:
     return leaders.join(blocked, "seq", "left_anti")
 
 
-def _founders(rows: DataFrame, stored: DataFrame, titles: DataFrame) -> DataFrame:
-    founder_columns = ["seq", "id", "fingerprint", *BLOCK_KEY, "starts_ms"]
-    undecided = cut(_drop_matched(rows, stored, titles))
-    founders = undecided.select(founder_columns).limit(0)
+def _rounds(undecided: DataFrame, titles: DataFrame) -> DataFrame:
+    """Founders among rows that no stored event matches, round by round."""
+    founders = undecided.select(FOUNDER).limit(0)
     while not undecided.isEmpty():
-        found = cut(_next_founders(undecided, titles).select(founder_columns))
+        found = cut(_next_founders(undecided, titles).select(FOUNDER))
         founders = founders.unionByName(found)
         undecided = cut(_drop_matched(undecided, found, titles))
     return founders
 
 
-def resolve_batch(listings: DataFrame, events: DataFrame, fuzzy: bool = True) -> DataFrame:
+FOUNDER = ["seq", "id", "fingerprint", *BLOCK_KEY, "starts_ms"]
+
+
+def segments(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """The rows with the ``segment`` they belong to; rows that match are of one segment.
+
+    Titles and segments are told apart by 64-bit hashes: two that agree by chance are one
+    segment, which only makes it larger.
+    """
+    title = F.xxhash64("city", "title_key")
+    near = titles.filter("title_key <> other_key").select(title.alias("a"), F.xxhash64("city", "other_key").alias("b"))
+    families = components(near).select(F.col("node").alias("title"), F.col("component").alias("family"))
+    placed = cut(rows.withColumn("title", title).join(families, "title", "left").withColumn("family", F.coalesce("family", "title")).drop("title"))
+    # Blocks that follow each other without a gap share the difference of number and rank.
+    taken = placed.select("family", "block").distinct()
+    rank = F.row_number().over(W.partitionBy("family").orderBy("block"))
+    islands = cut(taken.select("family", "block", F.xxhash64("family", F.col("block") - rank).alias("segment")))
+    cut_up = cut(placed.join(islands, ["family", "block"]).drop("family"))
+    seen = cut_up.select("fingerprint", "segment").distinct()
+    shared = seen.groupBy("fingerprint").agg(F.min("segment").alias("a"), F.max("segment").alias("last")).filter("a < last")
+    whole = components(seen.join(shared, "fingerprint").select("a", F.col("segment").alias("b")))
+    joined = cut_up.join(whole, F.col("segment") == F.col("node"), "left")
+    return joined.withColumn("segment", F.coalesce("component", "segment")).drop("node", "component")
+
+
+def earliest_first(rows: pd.DataFrame, similar: pd.DataFrame) -> pd.DataFrame:
+    """The rows that match no founder before them; ``similar`` has all ``other_key`` of a ``town, title``."""
+    near: dict[tuple, list[tuple]] = {}
+    for city, title, other in zip(similar["town"], similar["title"], similar["other_key"], strict=True):
+        near.setdefault((city, title), []).append((city, other))
+    rows = rows.sort_values("seq")
+    fingerprints, starts, kept = set(), {}, []
+
+    def close(title: tuple, ms: int) -> bool:
+        at = starts.get(title, ())
+        k = bisect_left(at, ms - FUZZY_WINDOW_MS)
+        return k < len(at) and at[k] <= ms + FUZZY_WINDOW_MS
+
+    for k, (fingerprint, city, title, ms) in enumerate(zip(rows["fingerprint"], rows["city"], rows["title_key"], rows["starts_ms"], strict=True)):
+        if fingerprint in fingerprints or any(close(other, ms) for other in near.get((city, title), ())):
+            continue
+        fingerprints.add(fingerprint)
+        insort(starts.setdefault((city, title), []), ms)
+        kept.append(k)
+    return rows.iloc[kept]
+
+
+def fold(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """Founders among the rows of whole segments, each of which fits into a task."""
+    shipped(rows.sparkSession)
+    buckets = max(1, -(-rows.count() // BUCKET))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("segment"), F.lit(buckets))).select("bucket", *FOUNDER)
+    similar = dealt.select("bucket", "city", "title_key").distinct().join(titles, ["city", "title_key"])
+    similar = similar.select(F.col("bucket").alias("dealt_to"), F.col("city").alias("town"), F.col("title_key").alias("title"), "other_key")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return earliest_first(left, right)[FOUNDER]
+
+    schema = rows.select(FOUNDER).schema
+    return dealt.groupBy("bucket").cogroup(similar.groupBy("dealt_to")).applyInPandas(run, schema)
+
+
+def _founders(rows: DataFrame, stored: DataFrame, titles: DataFrame, most: int = SEGMENT) -> DataFrame:
+    undecided = cut(_drop_matched(rows, stored, titles))
+    parts = cut(segments(undecided, titles))
+    large = cut(parts.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("segment"))
+    if large.isEmpty():
+        return cut(fold(parts, titles))
+    small = cut(fold(parts.join(large, "segment", "left_anti"), titles))
+    return small.unionByName(_rounds(cut(parts.join(large, "segment", "left_semi").drop("segment")), titles))
+
+
+def resolve_batch(listings: DataFrame, events: DataFrame, fuzzy: bool = True, most: int = SEGMENT) -> DataFrame:
     """Target event per listing: ``seq, event_id, matched_by, distance``.
 
     ``listings`` are normalised and carry each new URL once. ``matched_by`` is
-    ``new`` for the founder of an event, else ``fingerprint`` or ``fuzzy``.
+    ``new`` for the founder of an event, else ``fingerprint`` or ``fuzzy``. Segments of
+    more than ``most`` listings are resolved by rounds.
     """
     nodes = listings.select("seq", event_id(F.col("url")).alias("id"), "fingerprint", "city", "title_key", "starts_at")
     if not fuzzy:
@@ -79,14 +163,15 @@ def resolve_batch(listings: DataFrame, events: DataFrame, fuzzy: bool = True) ->
     shape = ["city", "title_key", "starts_ms"]
     titles = cut(similar_titles(nodes.select(shape).unionByName(stored.select(shape))))
     copies = nodes.groupBy("fingerprint", *BLOCK_KEY, "starts_ms").agg(F.min(F.struct("seq", "id")).alias("first"))
-    founders = _founders(copies.select("*", "first.*").drop("first"), stored, titles)
+    founders = _founders(copies.select("*", "first.*").drop("first"), stored, titles, most)
 
     # Stored events come before every listing; among themselves the older first.
     targets = stored.withColumn("seq", F.lit(-1).cast("long")).unionByName(
         founders.withColumn("created_at", F.lit(None).cast("timestamp"))
     )
     order = F.struct(F.col("seq").alias("since"), "created_at", "id")
-    by_fingerprint = targets.groupBy("fingerprint").agg(F.min(order).alias("exact"))
+    # Written first: a join on the partitioning of an aggregate is not split at a hot fingerprint.
+    by_fingerprint = cut(targets.groupBy("fingerprint").agg(F.min(order).alias("exact")))
     by_title = closest(
         nodes.select("seq", *BLOCK_KEY, "starts_ms"),
         near_blocks(targets, titles),

@@ -11,6 +11,7 @@ from marquee.operators.maintenance import cascade
 from marquee.operators.normalize import check_listings, normalized, rejects
 from marquee.operators.resolve import resolve_batch
 from marquee.session import cut
+from marquee.sources.store import KEYS, Changes, difference
 from marquee.sources.tables import Tables
 
 
@@ -19,6 +20,8 @@ class IngestResult:
     tables: Tables
     outcomes: DataFrame
     rejects: DataFrame
+    #: By table, what the batch changed; a commit copies only the files that hold it.
+    changes: dict[str, Changes]
 
     def surviving(self, children: DataFrame) -> DataFrame:
         """Favourites and other rows with an ``event_id``, without those whose event was merged away."""
@@ -65,6 +68,7 @@ def ingest(tables: Tables, raw: DataFrame, now: Column, fuzzy: bool = True) -> I
     in_events = scope.withColumnRenamed("id", "event_id")
     rows = cut(tables.event_sources.join(in_events, "event_id", "left_semi").select(tables.event_sources.columns))
 
+    before = events.select(tables.events.columns), rows
     known_urls = rows.select("url")
     known = listings.join(known_urls, "url", "left_semi")
     fresh, repeats = merge.first_of_url(listings.join(known_urls, "url", "left_anti"))
@@ -82,8 +86,13 @@ def ingest(tables: Tables, raw: DataFrame, now: Column, fuzzy: bool = True) -> I
     outcomes = updated.unionByName(resolved).unionByName(repeated)
     untouched = tables.events.join(scope, "id", "left_anti").select(tables.events.columns)
     kept_rows = tables.event_sources.join(in_events, "event_id", "left_anti").select(tables.event_sources.columns)
-    merged = tables.with_(
-        events=untouched.unionByName(cut(events).select(tables.events.columns)),
-        event_sources=kept_rows.unionByName(cut(rows).select(tables.event_sources.columns)),
-    )
-    return IngestResult(merged, outcomes.join(listings.select("seq", "url"), "seq"), rejects(checked))
+    events, rows = cut(events.select(tables.events.columns)), cut(rows.select(tables.event_sources.columns))
+    merged = tables.with_(events=untouched.unionByName(events), event_sources=kept_rows.unionByName(rows))
+    changes = {"events": difference("events", before[0], events), "event_sources": difference("event_sources", before[1], rows)}
+    if tables.favorites is not None:
+        # Favourites of an event that a collision removed go with it, in the same version.
+        lost = before[0].select("id").join(events, "id", "left_anti").withColumnRenamed("id", "event_id")
+        merged = merged.with_(favorites=tables.favorites.join(lost, "event_id", "left_anti").select(tables.favorites.columns))
+        gone = cut(tables.favorites.join(lost, "event_id", "left_semi").select(*KEYS["favorites"]))
+        changes["favorites"] = Changes(tables.favorites.limit(0), gone)
+    return IngestResult(merged, outcomes.join(listings.select("seq", "url"), "seq"), rejects(checked), changes)

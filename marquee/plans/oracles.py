@@ -104,6 +104,32 @@ ev AS (SELECT f.id, f.title, f.title_key, f.venue, f.city, f.country, f.starts_a
 favorites AS (SELECT 'u' || o_custkey AS user_id, o_orderdate AS created_at,
   sha256('https://tickets' || (o_orderkey % 3) || '.example.com/e/' || o_orderkey || '?a=1&b=2') AS event_id FROM orders),
 users AS (SELECT 'u' || c_custkey AS id, c_mktsegment = 'BUILDING' AS digest_opt_out FROM customer)"""
+# BASE up to the listings with each URL once, and from the prices of listings on.
+LISTINGS, CATALOGUE = BASE[: BASE.index("founders AS (")].rstrip().rstrip(","), BASE[BASE.index("prices AS (") :]
+
+TITLE_DISTANCE = "levenshtein(a.title_key, b.title_key) / greatest(length(a.title_key), length(b.title_key))"
+# The fold in arrival order over ``firsts``: a listing founds an event unless an earlier founder matches it.
+FOLD = rf"""
+title_keys AS (SELECT DISTINCT city, title_key, regexp_extract_all(title_key, '\d+') AS numbers FROM firsts),
+alike AS MATERIALIZED (SELECT a.city, a.title_key AS x, b.title_key AS y, {TITLE_DISTANCE} AS distance FROM title_keys a JOIN title_keys b USING (city)
+  WHERE {TITLE_DISTANCE} < 0.2 AND (a.numbers = b.numbers OR len(a.numbers) = 0 OR len(b.numbers) = 0)),
+nearby AS MATERIALIZED (SELECT i.seq AS later, j.seq AS earlier, s.distance FROM firsts i JOIN alike s ON s.city = i.city AND s.x = i.title_key
+  JOIN firsts j ON j.city = s.city AND j.title_key = s.y AND j.seq < i.seq AND abs(epoch_ms(j.starts_at) - epoch_ms(i.starts_at)) <= 10800000),
+earlier_matches AS MATERIALIZED (SELECT later, earlier FROM nearby UNION SELECT i.seq, j.seq FROM firsts i JOIN firsts j ON j.fingerprint = i.fingerprint AND j.seq < i.seq),
+settled(round, seq, founds) AS (SELECT 0, seq, NULL::BOOLEAN FROM firsts UNION ALL
+  SELECT s.round + 1, s.seq, CASE WHEN s.founds IS NOT NULL THEN s.founds WHEN d.later IS NULL OR d.joined_all THEN true WHEN d.founded_any THEN false END
+  FROM settled s LEFT JOIN (SELECT m.later, bool_or(coalesce(e.founds, false)) AS founded_any, bool_and(coalesce(NOT e.founds, false)) AS joined_all
+    FROM earlier_matches m JOIN settled e ON e.seq = m.earlier GROUP BY m.later) d ON d.later = s.seq
+  WHERE (SELECT count(*) FROM settled WHERE founds IS NULL) > 0),
+roots AS MATERIALIZED (SELECT l.seq, l.fingerprint FROM firsts l JOIN settled s USING (seq) WHERE s.round = (SELECT max(round) FROM settled) AND s.founds),
+nearest AS (SELECT later AS seq, arg_min(earlier, {{'d': distance, 's': earlier}}) AS root, min(distance) AS distance FROM nearby WHERE earlier IN (SELECT seq FROM roots) GROUP BY later),
+target AS (SELECT l.seq, coalesce(o.seq, x.seq, n.root) AS root, CASE WHEN o.seq IS NOT NULL THEN 'new' WHEN x.seq IS NOT NULL THEN 'fingerprint' ELSE 'fuzzy' END AS matched_by,
+  CASE WHEN o.seq IS NULL AND x.seq IS NULL THEN n.distance END AS distance
+  FROM firsts l LEFT JOIN roots o ON o.seq = l.seq LEFT JOIN roots x ON x.fingerprint = l.fingerprint AND x.seq < l.seq LEFT JOIN nearest n ON n.seq = l.seq),
+founded AS (SELECT l.*, sha256(l.url) AS id, {NOW} AS created_at FROM firsts l JOIN roots USING (seq)),
+es AS (SELECT sha256('listing|' || l.url) AS id, f.id AS event_id, l.source_id, l.url, l.price AS price_from, l.price_currency AS currency,
+  {NOW} AS last_seen_at, l.seq, l.image_url, l.ends_at FROM firsts l JOIN target t USING (seq) JOIN founded f ON f.seq = t.root)"""
+
 
 def cards_of(pages: str) -> str:
     """Cards that link the given pages, what is known of them, and the plan."""
@@ -146,10 +172,39 @@ collided AS (SELECT c.id, o.owner_id FROM claims c JOIN (SELECT fingerprint, arg
   USING (fingerprint) WHERE c.rank >= 0 AND c.id <> o.owner_id)"""
 
 
+# Events after the re-scrapes: what they leave blank is filled, and prices follow the listings.
+REFRESHED = f"""
+heard AS (SELECT k.event_id, k.seq, k.ends_at, k.image_url, list_reduce(list(k.starts_at) OVER arrived, lambda x, s:
+    CASE WHEN abs(epoch_ms(s) - epoch_ms(x)) > 10800000 THEN s ELSE x END, e.starts_at) AS effect
+  FROM known k JOIN ev e ON e.id = k.event_id WHERE has_others WINDOW arrived AS (PARTITION BY k.event_id ORDER BY k.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT event_id, seq, NULL, image_url, starts_at FROM known WHERE NOT has_others
+  UNION ALL SELECT c.owner_id, k.seq, k.ends_at, k.image_url, o.starts_at FROM collided c JOIN after_ev a ON a.id = c.id
+  JOIN known k ON k.event_id = c.id AND k.seq = a.fresh_seq JOIN after_ev o ON o.id = c.owner_id),
+filled AS (SELECT event_id, arg_min(image_url, seq) FILTER (image_url <> '') AS image_fill, arg_min(ends_at, seq) FILTER (ends_at > effect) AS ends_fill FROM heard GROUP BY event_id),
+es_after AS (SELECT coalesce(c.owner_id, e.event_id) AS event_id, CASE WHEN r.url IS NULL THEN e.price_from ELSE r.p.price END AS price_from, CASE WHEN r.url IS NULL THEN e.currency ELSE r.p.c END AS currency
+  FROM es e LEFT JOIN (SELECT url, arg_max({{'price': price, 'c': price_currency}}, seq) AS p FROM repeats GROUP BY url) r ON r.url = e.url LEFT JOIN collided c ON c.id = e.event_id),
+lows AS (SELECT event_id, currency, min(price_from) AS low FROM es_after GROUP BY ALL),
+refreshed AS (SELECT a.id, a.title, a.venue, e.city, e.country, a.starts_at, coalesce(a.ends_at, f.ends_fill) AS ends_at,
+  CASE WHEN f.event_id IS NULL THEN e.price_from ELSE l.low END::DOUBLE AS price_from, e.currency, CAST({prague('a.starts_at')} AS DATE) AS start_day, e.genre,
+  CASE WHEN coalesce(e.image_url, '') = '' THEN coalesce(f.image_fill, e.image_url) ELSE e.image_url END AS image_url, a.fingerprint
+  FROM after_ev a JOIN ev e ON e.id = a.id LEFT JOIN filled f ON f.event_id = a.id LEFT JOIN lows l ON l.event_id = a.id AND l.currency = e.currency
+  WHERE a.id NOT IN (SELECT id FROM collided))"""
+
+OUTCOMES = """SELECT * FROM (SELECT 'created' AS {0}, (SELECT count(*) FROM founded) AS {1} UNION ALL
+ SELECT 'merged', (SELECT count(*) FROM firsts) - (SELECT count(*) FROM founded) + (SELECT count(*) FROM collided) UNION ALL
+ SELECT 'updated', (SELECT count(*) FROM repeats) - (SELECT count(*) FROM collided) UNION ALL
+ SELECT 'skipped', (SELECT count(*) FROM checked WHERE reason IS NOT NULL)) WHERE {1} > 0"""
+
+
 def with_base(body: str, *more: str) -> str:
     return "WITH " + ",".join([BASE, *more]) + " " + body
 
 
+def with_fold(body: str, *more: str, listings: str = LISTINGS) -> str:
+    """As ``with_base``, over the catalogue that similar titles leave."""
+    return "WITH RECURSIVE " + ",".join([listings, FOLD, CATALOGUE, *more]) + " " + body
+
+
 def upcoming(*extra: str) -> str:
     return " AND ".join([f"starts_at >= {NOW}", *extra])
 
@@ -162,6 +217,28 @@ GRID = (
 )
 PAGE_FIELDS = """shown AS (SELECT event_id, event_id % 6 AS shape, event_type || ' & Night ' || (user_id % 10) AS name, 'Hall ' || (user_id % 20) AS hall,
  date_trunc('minute', ts) - INTERVAL 1 HOUR AS t0, floor(abs(value)) + 0.5 AS low FROM events)"""
+
+
+def page_listings(rows: str) -> str:
+    """Listings of the event pages that ``rows`` describes, numbered in page order."""
+    return f"""listed AS (SELECT *, ['Koncert','Šport','Show','Divadlo','Festival','Pre deti','Ostatné'][event_id % 7 + 1] AS raw_genre,
+ 'https://tickets.example.com/sk/listky/' || event_id AS page FROM {rows})
+ SELECT row_number() OVER (ORDER BY event_id, i) - 1 AS seq, * EXCLUDE (event_id, i) FROM (
+ SELECT event_id, 0 AS i, page || '/' AS source_url, name AS title, CASE WHEN shape = 3 THEN replace(hall, ' ', chr(160)) ELSE hall END AS venue, CASE WHEN shape = 3 THEN 'Bratislava' ELSE 'Košice' END AS city, t0 AS starts_at,
+ CASE WHEN shape IN (0, 3) THEN low END AS price_from, raw_genre, CASE WHEN shape = 3 THEN 'https://og/' || event_id || '?a=1&b=2' ELSE 'https://img/' || event_id END AS image_url
+ FROM listed WHERE shape IN (0, 1, 3, 5) UNION ALL
+ SELECT event_id, i, page || '-' || (i + 1) || '?x=1&y=2', name || ' ' || (i + 1), replace(hall, ' ', chr(160)), 'Prešov', t0, NULL, raw_genre, 'https://img/' || event_id FROM listed, range(2) r(i) WHERE shape = 2)"""
+
+
+SITE_PAGES = "(SELECT event_id AS page_id, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS url FROM events)"
+# A run over all pages that are new or due, up to the listings with each URL once.
+SITE = (
+    LISTINGS[: LISTINGS.index("numbered AS (")] + cards_of(SITE_PAGES) + f""", {PAGE_FIELDS},
+due AS (SELECT * FROM shown WHERE event_id IN (SELECT position FROM plan WHERE decision <> 'fresh')),
+found AS (WITH {page_listings('due')}),
+raw AS (SELECT seq, 'src3' AS source, source_url, title, venue, city, 'SK' AS country, starts_at, NULL::TIMESTAMP AS ends_at, price_from, 'EUR' AS currency, raw_genre, image_url FROM found),
+""" + LISTINGS[LISTINGS.index("sources AS (SELECT 's'") :]
+)
 WEEKEND_SUNDAY = f"CAST({prague('ts')} AS DATE) + CAST((7 - dayofweek({prague('ts')})) % 7 AS INTEGER)"
 
 ORACLES: dict[str, str] = {
@@ -204,13 +281,7 @@ ORACLES: dict[str, str] = {
     "tour_explode": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CAST(i AS INTEGER) AS stop, name || ' ' || (i + 1) AS title, t0 AS starts_at, replace(hall, ' ', chr(160)) AS venue, 'Prešov' AS city,"
     " 'https://tickets.example.com/sk/listky/' || event_id || '-' || (i + 1) || '?x=1&y=2' AS href FROM shown, range(2) r(i) WHERE shape = 2",
     "min_price_tiers": f"WITH {PAGE_FIELDS} SELECT event_id AS page_id, CASE WHEN shape IN (0, 3) THEN low END AS price FROM shown",
-    "pages_to_listings": f"""WITH {PAGE_FIELDS}, listed AS (SELECT *, ['Koncert','Šport','Show','Divadlo','Festival','Pre deti','Ostatné'][event_id % 7 + 1] AS raw_genre,
- 'https://tickets.example.com/sk/listky/' || event_id AS page FROM shown)
- SELECT row_number() OVER (ORDER BY event_id, i) - 1 AS seq, * EXCLUDE (event_id, i) FROM (
- SELECT event_id, 0 AS i, page || '/' AS source_url, name AS title, CASE WHEN shape = 3 THEN replace(hall, ' ', chr(160)) ELSE hall END AS venue, CASE WHEN shape = 3 THEN 'Bratislava' ELSE 'Košice' END AS city, t0 AS starts_at,
- CASE WHEN shape IN (0, 3) THEN low END AS price_from, raw_genre, CASE WHEN shape = 3 THEN 'https://og/' || event_id || '?a=1&b=2' ELSE 'https://img/' || event_id END AS image_url
- FROM listed WHERE shape IN (0, 1, 3, 5) UNION ALL
- SELECT event_id, i, page || '-' || (i + 1) || '?x=1&y=2', name || ' ' || (i + 1), replace(hall, ' ', chr(160)), 'Prešov', t0, NULL, raw_genre, 'https://img/' || event_id FROM listed, range(2) r(i) WHERE shape = 2)""",
+    "pages_to_listings": f"WITH {PAGE_FIELDS}, {page_listings('shown')}",
     "listing_cards": "SELECT event_id AS page_id, ['koncert','sport','show','divadlo','festival','pre-deti','ostatne'][event_id % 7 + 1] AS category,"
     " event_type || ' & Night' AS title, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS href FROM events",
     "entity_decode": "SELECT page_id, replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''') AS decoded FROM pages",
@@ -225,10 +296,17 @@ ORACLES: dict[str, str] = {
         f"SELECT e.url, CASE WHEN e.price_from IS NULL THEN {NOW} ELSE e.last_seen_at END AS last_seen_at FROM es e"
     ),
     "scheduled_run": "WITH "
-    + cards_of("(SELECT event_id AS page_id, 'https://tickets.example.com/sk/listky/' || event_id || '/' AS url FROM events)")
+    + cards_of(SITE_PAGES)
     + """, fetched AS (SELECT * FROM plan WHERE decision <> 'fresh' QUALIFY row_number() OVER (PARTITION BY category ORDER BY position) <= 20)
  SELECT count(DISTINCT category) AS listing_pages, count(*) FILTER (decision = 'fresh') AS fresh_skips,
  (SELECT count(*) FROM fetched WHERE decision = 'new') AS new_pages, (SELECT count(*) FROM fetched WHERE decision = 'due') AS due_pages FROM plan""",
+    "scheduled_run_all": with_fold(
+        "SELECT 'listing_pages' AS counter, count(DISTINCT category) AS n FROM plan UNION ALL SELECT 'fresh_skips', count(*) FILTER (decision = 'fresh') FROM plan"
+        " UNION ALL SELECT 'new_pages', count(*) FILTER (decision = 'new') FROM plan UNION ALL SELECT 'due_pages', count(*) FILTER (decision = 'due') FROM plan UNION ALL "
+        + OUTCOMES.format("counter", "n"),
+        RESCRAPE,
+        listings=SITE,
+    ),
     "stamp_source": with_base(f"SELECT slug, CASE WHEN slug = 'src3' THEN {NOW} END AS last_scraped_at FROM sources"),
     "refetch_counts": "WITH " + CARDS + """ SELECT count(DISTINCT category) AS listing_pages, count(*) FILTER (decision = 'fresh') AS fresh_skips,
  (SELECT count(*) FROM plan WHERE decision = 'new') AS new_pages, (SELECT count(*) FROM plan WHERE decision = 'due') AS due_pages FROM plan""",
@@ -286,12 +364,15 @@ ORACLES: dict[str, str] = {
     ),
     "event_price": with_base("SELECT id, price_from::DOUBLE AS price_from FROM ev"),
     "refresh_events": with_base("SELECT id, ends_at, image_url, price_from::DOUBLE AS price_from, start_day, price_known FROM ev"),
-    "ingest_stats": with_base(
-        "SELECT * FROM (SELECT 'created' AS outcome, (SELECT count(*) FROM founded) AS listings UNION ALL"
-        " SELECT 'merged', (SELECT count(*) FROM firsts) - (SELECT count(*) FROM founded) + (SELECT count(*) FROM collided) UNION ALL"
-        " SELECT 'updated', (SELECT count(*) FROM repeats) - (SELECT count(*) FROM collided) UNION ALL"
-        " SELECT 'skipped', (SELECT count(*) FROM checked WHERE reason IS NOT NULL)) WHERE listings > 0",
-        RESCRAPE,
+    "ingest_stats": with_base(OUTCOMES.format("outcome", "listings"), RESCRAPE),
+    "resolve_batch_fuzzy": with_fold("SELECT l.seq, sha256(r.url) AS event_id, t.matched_by, t.distance FROM firsts l JOIN target t USING (seq) JOIN firsts r ON r.seq = t.root"),
+    "ingest_run": with_fold(f"SELECT *, price_from IS NOT NULL AS price_known, {NOW} AS created_at, {NOW} AS updated_at FROM refreshed", RESCRAPE, REFRESHED),
+    "cascade_commit": with_base("SELECT user_id, event_id FROM favorites WHERE event_id NOT IN (SELECT id FROM collided)", RESCRAPE),
+    "stream_redeliveries": with_base(
+        "SELECT seq, source_url, price_from FROM (SELECT seq, source_url, price_from, content, lag(content) OVER (PARTITION BY source_url ORDER BY batch, seq) AS before"
+        " FROM (SELECT *, [source, source_url, title, venue, city, country, starts_at::VARCHAR, ends_at::VARCHAR, price_from::VARCHAR, currency, raw_genre, image_url] AS content"
+        " FROM (SELECT r.* REPLACE (CASE WHEN batch = 1 AND seq % 10 = 0 THEN 1.25 ELSE price_from END AS price_from), batch FROM raw r, range(3) t(batch))))"
+        " WHERE before IS NULL OR content IS DISTINCT FROM before"
     ),
     "integrity_checks": with_base(
         "SELECT 'duplicate fingerprint' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'duplicate url', 0 UNION ALL SELECT 'duplicate slug', 0"
@@ -369,6 +450,7 @@ part_a AS (SELECT user_id, id AS event_id FROM mine WHERE starts_at <= {NOW} + I
 part_b AS (SELECT c.user_id, e.id AS event_id FROM (SELECT DISTINCT user_id, city FROM mine) c JOIN (SELECT DISTINCT user_id, genre FROM mine) g USING (user_id)
   JOIN ev e ON e.city = c.city AND e.genre = g.genre WHERE e.created_at BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW} AND e.starts_at >= {NOW})"""
 ORACLES["stream_ingest"] = f"SELECT url, price_from, currency FROM ({ORACLES['rescrape_update']})"
+ORACLES["snapshot_increment"] = ORACLES["stream_ingest"]
 ORACLES["digest_suggestions"] = with_base("SELECT user_id, event_id FROM part_b", DIGEST)
 ORACLES["digest"] = with_base(
     "SELECT user_id, event_id, min(part) AS part FROM (SELECT *, 'a' AS part FROM part_a UNION ALL SELECT *, 'b' FROM part_b) GROUP BY ALL", DIGEST

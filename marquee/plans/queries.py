@@ -17,8 +17,9 @@ from marquee.plans import scrape
 from marquee.plans.ingest import ingest, ingest_stats
 from marquee.session import checkpoint_dir, cut
 from marquee.sources import sample
-from marquee.sources.tables import Tables, empty_tables, read_events, read_snapshot, write_snapshot
-from marquee.streaming.ingest import stream_ingest
+from marquee.sources.store import commit
+from marquee.sources.tables import Tables, empty_tables, read_events, read_snapshot, stream_listings, write_snapshot
+from marquee.streaming.ingest import first_deliveries, stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -497,6 +498,33 @@ def integrity_checks(spark, sf):
     return merge.integrity_checks(tables.events, tables.event_sources, tables.sources, favorites(spark, sf))
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def snapshot_increment(spark, sf):
+    """Seller listings of a store that took the last hundredth of the listings as a second version."""
+    raw, root = sample.raw_listings(spark, sf), own_folder(spark, "store")
+    last = (raw.agg(F.max("seq")).first()[0] or 0) * 99 // 100
+    first = ingest(empty_tables(spark, sample.sources(spark, sf)), raw.filter(F.col("seq") <= last), sample.now(), fuzzy=False)
+    write_snapshot(first.tables, root, 0)
+    second = ingest(read_snapshot(spark, root), raw.filter(F.col("seq") > last), sample.now(), fuzzy=False)
+    commit(spark, root, 1, second.changes, second.tables.events, base=0)
+    return read_snapshot(spark, root).event_sources.select("url", "price_from", "currency")
+
+
+@query
+def cascade_commit(spark, sf):
+    """Favourites after re-scrapes that merge events: those of a vanished event go in the same version."""
+    root = own_folder(spark, "store")
+    write_snapshot(catalogue(spark, sf).with_(favorites=favorites(spark, sf)), root, 0)
+    again = sample.raw_listings(spark, sf).join(repeats(spark, sf).select("seq"), "seq", "left_semi")
+    result = ingest(read_snapshot(spark, root), again, sample.now(), fuzzy=False)
+    commit(spark, root, 1, result.changes, result.tables.events, base=0)
+    return read_snapshot(spark, root).favorites.select("user_id", "event_id")
+
+
 # --- feed ----------------------------------------------------------------------------
 @query
 def resolve_range(spark, sf):
@@ -521,7 +549,7 @@ def feed_grid(spark, sf):
 @query
 def feed_grid_stored(spark, sf):
     """The grid over a written snapshot, of which it opens only the months in range."""
-    root = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex}"
+    root = own_folder(spark, "snapshot")
     write_snapshot(catalogue(spark, sf), root, 0)
     return feed.feed_grid(read_events(spark, root), FILTERS, NOW).select("id", "title", "city", "starts_at", "price_from")
 
@@ -666,7 +694,7 @@ QUERIES["digest"] = QUERIES.pop("digest_merge")
 @query
 def stream_ingest_run(spark, sf):
     """Listings that landed as files, taken in by one triggered run; the seller listings it leaves."""
-    base = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = own_folder(spark, "stream")
     sample.raw_listings(spark, sf).write.parquet(f"{base}/landing")
     run = stream_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/progress", sample.sources(spark, sf), fuzzy=False)
     run.awaitTermination()
@@ -674,3 +702,15 @@ def stream_ingest_run(spark, sf):
 
 
 QUERIES["stream_ingest"] = QUERIES.pop("stream_ingest_run")
+
+
+@query
+def stream_redeliveries(spark, sf):
+    """What passes of three deliveries: all listings, then with a tenth of the prices changed, then as at first."""
+    base, raw = own_folder(spark, "stream"), sample.raw_listings(spark, sf)
+    changed = raw.withColumn("price_from", F.when(F.col("seq") % 10 == 0, 1.25).otherwise(F.col("price_from")))
+    for batch in (raw, changed, raw):
+        batch.write.mode("append").parquet(f"{base}/landing")
+        passed = first_deliveries(stream_listings(spark, f"{base}/landing"))
+        passed.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start(f"{base}/passed").awaitTermination()
+    return spark.read.schema(raw.schema).parquet(f"{base}/passed").select("seq", "source_url", "price_from")

@@ -10,6 +10,7 @@ from marquee.operators import frontier, upserts
 from marquee.operators.extract import page_details, page_rejects, pages_to_listings
 from marquee.plans.ingest import IngestResult, ingest
 from marquee.session import cut
+from marquee.sources.store import Changes, difference
 from marquee.sources.tables import Tables
 
 
@@ -23,6 +24,12 @@ class ScrapeResult:
     unreadable: DataFrame
     ingested: IngestResult
 
+    def changes(self, before: Tables) -> dict[str, Changes]:
+        """What the run changed in the tables ``before`` it, for a commit."""
+        known = {name: rows for name, rows in before.held().items() if name not in self.ingested.changes or name == "event_sources"}
+        after = self.tables.held()
+        return self.ingested.changes | {name: difference(name, rows, after[name]) for name, rows in known.items()}
+
 
 def scheduled_run(
     tables: Tables, scraped_pages: DataFrame, cards: DataFrame, pages: DataFrame, slug: str, country: str, currency: str, now: Column,
@@ -45,9 +52,10 @@ def scheduled_run(
     # A listing that is listed but not due only shows that it is still there.
     rows = upserts.touch_last_seen(after.event_sources, frontier.touched(plan), now)
     fetched = got.select(F.col("canonical").alias("url")).distinct()
+    seen = upserts.scraped_pages_upsert(scraped_pages, fetched, now)
     return ScrapeResult(
-        after.with_(event_sources=rows, sources=upserts.stamp_source(after.sources, slug, now)),
-        upserts.scraped_pages_upsert(scraped_pages, fetched, now),
+        after.with_(event_sources=rows, sources=upserts.stamp_source(after.sources, slug, now), scraped_pages=seen),
+        seen,
         frontier.refetch_counts(plan, wanted.join(fetched, "url", "left_semi").select(wanted.columns)),
         page_rejects(page_details(got.drop("canonical"))),
         ingested,

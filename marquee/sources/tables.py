@@ -2,25 +2,33 @@
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.session import utc
+from marquee.sources.store import KEYS, PLACE, Changes, commit, committed_version, is_committed, manifest, placed_rows
+
+__all__ = ["Tables", "commit", "committed_version", "is_committed"]
 
 
 @dataclass(frozen=True)
 class Tables:
-    """The canonical tables at one point in time."""
+    """The canonical tables at one point in time; favourites and fetched pages, where they are kept with them."""
 
     events: DataFrame
     event_sources: DataFrame
     sources: DataFrame
+    favorites: DataFrame | None = None
+    scraped_pages: DataFrame | None = None
 
     def with_(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)
 
+    def held(self) -> dict[str, DataFrame]:
+        """The tables that are there, by name."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+
 
 def spread(rows: DataFrame) -> DataFrame:
     """Use every core on an input of a few large files; an input with enough splits stays as it is."""
@@ -66,60 +74,21 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def commits(spark: SparkSession, root: str) -> DataFrame | None:
-    """The markers of all versions: ``version, at, run, batch``; None if there are none yet."""
-    try:
-        return spark.read.schema("at timestamp, run string, batch long, version int").parquet(f"{root}/commits")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def committed_version(spark: SparkSession, root: str) -> int | None:
-    """Latest version whose marker was written, or None."""
-    marks = commits(spark, root)
-    return None if marks is None else marks.agg(F.max("version")).first()[0]
-
-
-def is_committed(spark: SparkSession, root: str, run: str, batch: int) -> bool:
-    """Whether a batch of a streaming run is part of some version already."""
-    marks = commits(spark, root)
-    return marks is not None and not marks.filter((F.col("run") == run) & (F.col("batch") == batch)).isEmpty()
-
-
 def write_snapshot(tables: Tables, root: str, version: int, run: str | None = None, batch: int | None = None) -> None:
-    """Write all tables of a version, then its marker; readers only see marked versions.
+    """Write all tables as a version that shares nothing with others.
 
-    ``run`` and ``batch`` name the streaming batch that made the version, if one did.
-
-    A rerun of the same version replaces a half-written one. Events are laid out
-    by month of their day and sorted by city and time, so feed filters prune.
+    Events are laid out by month of their day and sorted by city and time, so feed
+    filters prune. ``commit`` writes a version that differs little from another one.
     """
     spark = tables.events.sparkSession
-    month = F.date_format("start_day", "yyyy-MM")
-    (
-        tables.events.withColumn("month", month)
-        .repartition("month", "city")
-        .sortWithinPartitions("month", "city", "starts_at")
-        .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(f"{root}/events/{version}")
-    )
-    tables.event_sources.write.mode("overwrite").parquet(f"{root}/event_sources/{version}")
-    tables.sources.write.mode("overwrite").parquet(f"{root}/sources/{version}")
-    mark = [F.current_timestamp().alias("at"), F.lit(run).cast("string").alias("run"), F.lit(batch).cast("long").alias("batch")]
-    spark.range(1).select(*mark).coalesce(1).write.mode("overwrite").parquet(
-        f"{root}/commits/version={version}"
-    )
+    changes = {name: Changes(rows, rows.select(*KEYS[name]).limit(0)) for name, rows in tables.held().items()}
+    commit(spark, root, version, changes, tables.events, None, run, batch)
 
 
 def read_events(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
     """The events of a version with their ``month``, by which the files are laid out; the feed prunes by it."""
     version = committed_version(utc(spark), root) if version is None else version
-    if version is None:
-        return None
-    return spark.read.schema(f"{schemas.EVENTS.toDDL()}, month string").parquet(f"{root}/events/{version}")
+    return None if version is None else placed_rows(spark, root, "events", manifest(spark, root, version)).drop("bucket")
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Tables | None:
@@ -127,8 +96,5 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     version = committed_version(utc(spark), root) if version is None else version
     if version is None:
         return None
-    read = {}
-    for field in fields(Tables):
-        schema = getattr(schemas, field.name.upper())
-        read[field.name] = spark.read.schema(schema).parquet(f"{root}/{field.name}/{version}").select(schema.names)
-    return Tables(**read)
+    entries = manifest(spark, root, version)
+    return Tables(**{f.name: placed_rows(spark, root, f.name, entries).drop(*PLACE) for f in fields(Tables)})

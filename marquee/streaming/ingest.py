@@ -1,13 +1,19 @@
 """Listings that land in a folder, ingested in micro-batches."""
 
 import threading
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marquee import schemas
 from marquee.plans.ingest import ingest
-from marquee.sources.tables import committed_version, empty_tables, is_committed, read_snapshot, stream_listings, write_snapshot
+from marquee.session import shipped
+from marquee.sources.store import commit, committed_version, is_committed
+from marquee.sources.tables import empty_tables, read_snapshot, stream_listings, write_snapshot
 
 
 def ingest_batch(
@@ -19,17 +25,56 @@ def ingest_batch(
     committed = committed_version(spark, root)
     tables = read_snapshot(spark, root, committed) if committed is not None else empty_tables(spark, sources)
     result = ingest(tables, batch, F.current_timestamp(), fuzzy)
-    write_snapshot(result.tables, root, 0 if committed is None else committed + 1, run, number)
+    if committed is None:
+        write_snapshot(result.tables, root, 0, run, number)
+    else:
+        commit(spark, root, committed + 1, result.changes, result.tables.events, committed, run, number)
+
+
+#: What makes a delivery of a listing new.
+CONTENT = [n for n in schemas.RAW_LISTINGS.names if n != "seq"]
+#: Days without a delivery after which a URL is forgotten.
+KEPT_DAYS = 30
+
+
+def first_deliveries(stream: DataFrame, days: int = KEPT_DAYS) -> DataFrame:
+    """The listings of a stream whose content differs from the one last delivered for their URL.
+
+    The state of the stream holds, for each URL, a hash of its last content, so a listing that changes
+    and changes back passes both times. Inside a micro-batch deliveries count in order of ``seq``;
+    between batches in order of the batches, whatever their ``seq``: a late row that
+    differs from the last one passes. A URL that was not delivered for ``days`` is forgotten, and
+    its next delivery passes. A batch that is replayed after a failure meets the state
+    before it, so it passes the same rows again; ``ingest_batch`` then applies them once.
+    """
+    shipped(stream.sparkSession)
+    kept, names = days * 86_400_000, schemas.RAW_LISTINGS.names
+
+    def pass_new(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        last = rows["content"].shift(1)
+        last.iloc[0] = state.get[0] if state.exists else None
+        state.update((rows["content"].iloc[-1],))
+        state.setTimeoutTimestamp(int(rows["delivered_at"].max().timestamp() * 1000) + kept)
+        yield rows.loc[rows["content"] != last, names]
+
+    # The time of the micro-batch; a processing-time timeout would keep a run from ever ending.
+    timed = stream.select(*names, F.sha2(F.to_json(F.struct(*CONTENT)), 256).alias("content"), F.current_timestamp().alias("delivered_at"))
+    return timed.withWatermark("delivered_at", "1 hour").groupBy("source_url").applyInPandasWithState(pass_new, schemas.RAW_LISTINGS, "content string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ingest(
-    spark: SparkSession, landing: str, root: str, checkpoint: str, sources: DataFrame, fmt: str = "parquet", fuzzy: bool = True
+    spark: SparkSession, landing: str, root: str, checkpoint: str, sources: DataFrame, fmt: str = "parquet", fuzzy: bool = True, redeliveries: bool = True
 ) -> StreamingQuery:
     """Start a run that takes all listings there are now, then stops.
 
     One trigger equals one scheduled run. A batch is known by its number and the id
     of its query, which lives in the progress folder: replayed after a failure it is
-    applied once, and a run with a new progress folder is a new run.
+    applied once, and a run with a new progress folder is a new run. Without
+    ``redeliveries``, listings whose content was the last one delivered for their URL are left out.
     """
     named, query = threading.Event(), []
 
@@ -37,8 +82,9 @@ def stream_ingest(
         named.wait()
         ingest_batch(batch.sparkSession, batch, root, str(query[0].id), number, sources, fuzzy)
 
+    listings = stream_listings(spark, landing, fmt)
     started = (
-        stream_listings(spark, landing, fmt)
+        (listings if redeliveries else first_deliveries(listings))
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -13,7 +13,9 @@ from marquee.functions.urls import canonical_url
 from marquee.operators import frontier
 from marquee.operators.extract import pages_to_listings
 from marquee.operators.normalize import check_listings, normalized
-from marquee.operators.resolve import resolve_batch
+from marquee.operators.components import components
+from marquee.operators.linkage import similar_titles, with_block
+from marquee.operators.resolve import SEGMENT, resolve_batch, segments
 from marquee.plans.ingest import ingest
 from marquee.plans.queries import QUERIES, SELLER, detail_pages
 from marquee.sources import sample
@@ -45,7 +47,9 @@ def listings(rng, group, count, first_seq):
         }
 
 
-def test_founders_and_targets_match_the_fold(spark):
+@pytest.mark.parametrize("most", [SEGMENT, 6])
+def test_founders_and_targets_match_the_fold(spark, most):
+    """All segments folded in tasks, and the larger ones by rounds."""
     rng, rows, expected, stored = random.Random(7), [], {}, []
     for group in range(120):
         batch = list(listings(rng, group, rng.randrange(2, 26), group * 1000))
@@ -64,12 +68,34 @@ def test_founders_and_targets_match_the_fold(spark):
     new = spark.createDataFrame([tuple(r[f.split()[0]] for f in fields.split(", ")) for r in rows], fields)
     events = spark.createDataFrame(stored, "id string, title string, city string, starts_at timestamp, fingerprint string, created_at timestamp")
     got = {
-        r.seq: (r.event_id, "created" if r.matched_by == "new" else "merged") for r in resolve_batch(new, events).collect()
+        r.seq: (r.event_id, "created" if r.matched_by == "new" else "merged") for r in resolve_batch(new, events, most=most).collect()
     }
     assert got == expected
     assert {o for _, o in expected.values()} == {"created", "merged"}
 
 
+def test_segments_are_cut_at_gaps_and_joined_by_fingerprints(spark):
+    rows = [
+        (0, "jazz night", "T", T0, "a"), (1, "jazz nights", "T", T0 + timedelta(hours=4), "b"), (2, "jazz night", "T", T0 + timedelta(hours=20), "c"),
+        (3, "rock", "T", T0, "d"), (4, "opera", "U", T0 + timedelta(hours=20), "d"), (5, "jazz night", "U", T0, "e"), (6, "opera", "U", T0 + timedelta(hours=60), "f"),
+    ]
+    frame = with_block(spark.createDataFrame(rows, "seq long, title_key string, city string, starts_at timestamp, fingerprint string"))
+    got = {r["seq"]: r["segment"] for r in segments(frame, similar_titles(frame)).collect()}
+    assert got[0] == got[1] and got[3] == got[4] and len(set(got.values())) == 5
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(200)] + [(500, 600), (600, 700), (900, 900)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(25)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: k for e in edges for k in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == {k: c for k, c in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_chain_is_not_a_component(spark):
     rows = [(i, f"https://x.example.com/{i}", "jazz night", "T", T0 + timedelta(hours=2 * i), f"f{i}") for i in range(3)]
     new = spark.createDataFrame(rows, "seq long, url string, title_key string, city string, starts_at timestamp, fingerprint string")
