@@ -10,7 +10,7 @@ the match graph. The graph is never written out:
   family of similar titles in a city is cut where a three-hour block is empty, and parts that
   share a fingerprint are joined again.
 * Segments of at most ``SEGMENT`` listings are folded in arrival order, many of them
-  in one grouped task (``fold``).
+  in one grouped task (``fold``); a batch that is no larger is one segment.
 * Larger segments go by rounds. All listings of one (city, title, three-hour block) match each
   other, as do all of one fingerprint. Per round only the earliest of both groups can be a
   founder, and it is one unless an earlier undecided listing of a *neighbouring* block lies
@@ -140,6 +140,8 @@ def fold(rows: DataFrame, titles: DataFrame) -> DataFrame:
 
 def _founders(rows: DataFrame, stored: DataFrame, titles: DataFrame, most: int = SEGMENT) -> DataFrame:
     undecided = cut(_drop_matched(rows, stored, titles))
+    if undecided.count() <= most:
+        return cut(fold(undecided.withColumn("segment", F.lit(0)), titles))
     parts = cut(segments(undecided, titles))
     large = cut(parts.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("segment"))
     if large.isEmpty():
