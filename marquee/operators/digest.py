@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.dates import effective_end
+from marquee.session import cut
+
 
 def _week() -> Column:
     return F.expr("INTERVAL '168' HOUR")
@@ -21,13 +23,22 @@ def digest_favorites(favorites: DataFrame, users: DataFrame, events: DataFrame,
     return _subscribers(favorites, users).join(week, "event_id", "left_semi").select("user_id", "event_id")
 
 
-def digest_suggestions(favorites: DataFrame, users: DataFrame, events: DataFrame, now: Column) -> DataFrame:
-    """``user_id, event_id`` of new upcoming events in a favourite city and a favourite genre."""
-    liked = _subscribers(favorites, users).join(events.select(F.col("id").alias("event_id"), "city", "genre"), "event_id")
-    # A user's few cities times at most seven genres, so events are met by one equi-join.
-    taste = liked.select("user_id", "city").distinct().join(liked.select("user_id", "genre").distinct(), "user_id")
+def suggestion_members(favorites: DataFrame, users: DataFrame, events: DataFrame) -> DataFrame:
+    """``user_id, city, genre``: the taste groups of a user, each favourite city with each favourite genre."""
+    liked = cut(_subscribers(favorites, users).join(events.select(F.col("id").alias("event_id"), "city", "genre"), "event_id").select("user_id", "city", "genre").distinct())
+    # A user has few cities and at most seven genres.
+    return liked.select("user_id", "city").distinct().join(liked.select("user_id", "genre").distinct(), "user_id")
+
+
+def suggestion_groups(events: DataFrame, now: Column) -> DataFrame:
+    """``city, genre, event_id``: the new upcoming events of a taste group, once for all its members."""
     fresh = events.filter((F.col("created_at") >= now - _week()) & (F.col("created_at") <= now) & (F.col("starts_at") >= now))
-    return taste.join(fresh.select(F.col("id").alias("event_id"), "city", "genre"), ["city", "genre"]).select("user_id", "event_id")
+    return fresh.select("city", "genre", F.col("id").alias("event_id"))
+
+
+def digest_suggestions(favorites: DataFrame, users: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """``user_id, event_id`` of new upcoming events in a favourite city and a favourite genre: the members' groups, written out."""
+    return suggestion_members(favorites, users, events).join(suggestion_groups(events, now), ["city", "genre"]).select("user_id", "event_id")
 
 
 def digest(favorites: DataFrame, users: DataFrame, events: DataFrame, now: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marquee.config import (
     CZK_PER_EUR,
+    DAY_MS,
     GENRES,
     HAPPENING_NOW_LIMIT,
     MAX_FILTER_CITIES,
@@ -21,8 +22,9 @@ from marquee.config import (
     SINGLE_EVENT_HOURS,
     WHEN_VALUES,
 )
-from marquee.functions.dates import effective_end, range_of, resolve_range
+from marquee.functions.dates import effective_end, epoch_ms, range_of, resolve_range
 from marquee.functions.prices import within_max_price
+from marquee.session import cut
 
 # --- fixed value: the only accepted spelling of a price limit --------------
 PLAIN_DECIMAL = r"^[0-9]+(\.[0-9]+)?$"
@@ -234,13 +236,22 @@ def home_feed(events: DataFrame, filters: Filters, now: datetime) -> DataFrame:
 ANY = "*"
 
 
+def day_slab(at: Column) -> Column:
+    """The number of the (UTC) day."""
+    return F.floor(epoch_ms(at) / DAY_MS)
+
+
 def saved_search_match(events: DataFrame, searches: DataFrame, now: Column) -> DataFrame:
     """``search_id, id`` of every upcoming event a stored search finds.
 
     ``searches`` has ``search_id, cities, genres, when, max_price``. A search is
-    filed under each of its (city, genre) pairs, an empty list under a wildcard; an
-    event is looked up under its four possible keys, so the match is an equi-join.
+    filed under each of its (city, genre) pairs, an empty list under a wildcard, on every day of its
+    range between the first and the last upcoming event; an event is looked up under its four possible
+    keys of its day. So the match is an equi-join, and no key holds more than the events of a day.
     """
+    upcoming = events.filter(F.col("starts_at") >= now).withColumn("slab", day_slab(F.col("starts_at")))
+    first, last = upcoming.agg(F.min("slab"), F.max("slab")).first()
+    first, last = F.lit(0 if first is None else first), F.lit(-1 if last is None else last)
     anything = F.array(F.lit(ANY))
 
     def key(values: str) -> Column:
@@ -251,16 +262,19 @@ def saved_search_match(events: DataFrame, searches: DataFrame, now: Column) -> D
         searches.withColumn("span", ranges)
         .select("search_id", "max_price", "genres", "span", key("cities").alias("city_key"))
         .withColumn("genre_key", key("genres"))
-        .drop("genres")
+        .withColumn("low", F.greatest(first, day_slab(F.col("span.start"))))
+        .withColumn("high", F.least(last, F.coalesce(day_slab(F.col("span.end")), last)))
+        .filter("low <= high")
+        .withColumn("slab", F.explode(F.sequence("low", "high")))
+        .drop("genres", "low", "high")
     )
     found = (
-        events.filter(F.col("starts_at") >= now)
-        .select("id", "starts_at", "price_from", "currency", F.col("genre"), F.explode(F.array("city", F.lit(ANY))).alias("city_key"))
+        upcoming.select("id", "starts_at", "price_from", "currency", "slab", F.col("genre"), F.explode(F.array("city", F.lit(ANY))).alias("city_key"))
         .withColumn("genre_key", F.explode(F.array("genre", F.lit(ANY))))
     )
     in_range = (F.col("starts_at") >= F.col("span.start")) & (F.col("span.end").isNull() | (F.col("starts_at") <= F.col("span.end")))
     affordable = F.col("max_price").isNull() | within_max_price(F.col("price_from"), F.col("currency"), F.col("max_price"))
-    return found.join(filed, ["city_key", "genre_key"]).filter(in_range & affordable).select("search_id", "id", "starts_at")
+    return found.join(filed, ["slab", "city_key", "genre_key"]).filter(in_range & affordable).select("search_id", "id", "starts_at")
 
 
 def saved_search_counts(events: DataFrame, searches: DataFrame, now: Column) -> DataFrame:
@@ -268,10 +282,17 @@ def saved_search_counts(events: DataFrame, searches: DataFrame, now: Column) ->
 
     Equal searches are matched once, however many users stored them.
     """
+    named, distinct = same_searches(searches)
+    found = saved_search_match(events, distinct, now).groupBy("search_id")
+    counts = found.agg(F.count(F.lit(1)).alias("matches"), F.min("starts_at").alias("first_start"))
+    return named.join(counts.withColumnRenamed("search_id", "same"), "same").drop("same")
+
+
+def same_searches(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``search_id, same`` with the smallest id of an equal search, and the searches of those ids."""
     terms = ["cities", "genres", "when", "max_price"]
     sets = [F.array_sort(F.array_distinct(c)).alias(c) for c in terms[:2]]
-    named = searches.select("search_id", *sets, *terms[2:]).withColumn("same", F.sha2(F.to_json(F.struct(*terms)), 256))
-    distinct = named.groupBy("same").agg(*[F.first(c).alias(c) for c in terms]).withColumnRenamed("same", "search_id")
-    found = saved_search_match(events, distinct, now).groupBy(F.col("search_id").alias("same"))
-    counts = found.agg(F.count(F.lit(1)).alias("matches"), F.min("starts_at").alias("first_start"))
-    return named.select("search_id", "same").join(counts, "same").drop("same")
+    keyed = searches.select("search_id", *sets, *terms[2:]).withColumn("terms", F.sha2(F.to_json(F.struct(*terms)), 256))
+    distinct = cut(keyed.groupBy("terms").agg(F.min("search_id").alias("same"), *[F.first(c).alias(c) for c in terms]))
+    named = keyed.select("search_id", "terms").join(distinct.select("terms", "same"), "terms").select("search_id", "same")
+    return named, distinct.withColumnRenamed("same", "search_id").drop("terms")

@@ -8,6 +8,11 @@ from marquee.config import JITTER_WINDOW_MS, REFETCH_INTERVAL_MS
 from marquee.functions.dates import epoch_ms
 from marquee.functions.markup import url_hash
 from marquee.functions.urls import canonical_url, url_path
+from marquee.operators.ranking import ranked
+from marquee.session import cut
+
+#: Up to here Spark limits each task to so many rows of a group before it ranks them.
+GROUP_LIMIT = 1_000
 
 
 def refetch_jitter(canonical: Column) -> Column:
@@ -27,13 +32,33 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(pattern, r"([.+^${}()|\[\]\\])", r"\\$1"), r"\*", ".*"))
 
 
+def rule_sets(patterns: DataFrame) -> DataFrame:
+    """``host, lengths, rules``: the patterns of a host, compiled into one lookup.
+
+    ``rules`` maps the text that a path has to begin with to one expression for all patterns
+    that begin so; it is empty if that text alone forbids the path. ``lengths`` are those of the texts, so a
+    path meets one expression for each of its forbidden beginnings, however many rules there are.
+    """
+    # A "?" makes the character before it optional, so the fixed text ends before that one.
+    head = F.regexp_extract("pattern", r"^((?:[^*?](?![?]))*)", 1)
+    regex = F.when(F.regexp_like("pattern", F.lit("[*?]")), pattern_regex(F.col("pattern"))).otherwise("")
+    rows = patterns.select(F.lower("host").alias("host"), head.alias("head"), regex.alias("regex"))
+    whole = F.when(F.min("regex") == "", "").otherwise(F.array_join(F.array_sort(F.collect_set("regex")), "|"))
+    heads = rows.groupBy("host", "head").agg(whole.alias("regex"))
+    return heads.groupBy("host").agg(
+        F.array_sort(F.collect_set(F.length("head"))).alias("lengths"), F.map_from_entries(F.collect_list(F.struct("head", "regex"))).alias("rules")
+    )
+
+
 def disallow_anti_join(cards: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
     """Cards whose path no pattern of their host forbids."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    rules = patterns.select(F.lower("host").alias("rule_host"), pattern_regex(F.col("pattern")).alias("rule"))
-    keyed = cards.withColumn("card_host", host).withColumn("card_path", url_path(F.col(url)))
-    hit = (F.col("card_host") == F.col("rule_host")) & F.expr("card_path RLIKE rule")
-    return keyed.join(rules, hit, "left_anti").drop("card_host", "card_path")
+    host = F.lower(F.regexp_extract(cards[url], r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    # Written first: a join on the partitioning of an aggregate is not split at a host with many cards.
+    sets = cut(rule_sets(patterns))
+    path = url_path(cards[url])
+    hit = F.exists(sets["lengths"], lambda n: F.regexp_like(path, F.try_element_at(sets["rules"], F.substring(path, F.lit(1), n))))
+    ruled = cards.join(sets, host == sets["host"], "left").filter(~F.coalesce(hit, F.lit(False)))
+    return ruled.select(*[cards[f"`{c}`"] for c in cards.columns])
 
 
 def refetch_plan(cards: DataFrame, scraped_pages: DataFrame, now: Column) -> DataFrame:
@@ -60,8 +85,12 @@ def refetch_cap(plan: DataFrame, limit: int | None) -> DataFrame:
     wanted = plan.filter("decision IN ('new', 'due')")
     if limit is None:
         return wanted
-    place = F.row_number().over(W.partitionBy("category").orderBy("position"))
-    return wanted.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    if limit > GROUP_LIMIT:
+        # Positions are counted over slices of a category, so that none is in one task.
+        placed = ranked(wanted, ["category"], ["position", "url"], "place")
+    else:
+        placed = wanted.withColumn("place", F.row_number().over(W.partitionBy("category").orderBy("position", "url")))
+    return placed.filter(F.col("place") <= limit).select(*wanted.columns)
 
 
 def touched(plan: DataFrame) -> DataFrame:

@@ -155,6 +155,13 @@ searches AS (SELECT k AS search_id, CASE WHEN k % 3 <> 0 THEN [cs[k % 5 + 1], cs
   nullif(ws[k % 5 + 1], 'never') AS "when", CASE ps[k % 10 + 1] WHEN '30' THEN 30.0 WHEN '12.5' THEN 12.5 WHEN '0' THEN 0.0 WHEN '120' THEN 120.0 END::DOUBLE AS max_price,
   CASE qs[k % 7 + 1] WHEN '2.7' THEN 2 WHEN '999' THEN 50 WHEN '3' THEN 3 ELSE 1 END AS page FROM picked)"""
 
+MATCHED = f"""
+matched AS (SELECT search_id, e.id, e.starts_at FROM (SELECT *, CASE "when" WHEN 'weekend' THEN TIMESTAMP '2024-01-19 17:00:00' ELSE {NOW} END AS lo,
+ CASE "when" WHEN 'today' THEN TIMESTAMP '2024-01-15 22:59:59.999' WHEN 'week' THEN {NOW} + INTERVAL 168 HOUR WHEN 'month' THEN {NOW} + INTERVAL 720 HOUR
+ WHEN 'weekend' THEN TIMESTAMP '2024-01-21 22:59:59.999' END AS hi FROM searches) s JOIN ev e ON e.starts_at >= lo AND (hi IS NULL OR e.starts_at <= hi)
+ AND (len(cities) = 0 OR list_contains(cities, city)) AND (len(genres) = 0 OR list_contains(genres, genre))
+ AND (max_price IS NULL OR price_from IS NULL OR price_from <= max_price * CASE currency WHEN 'CZK' THEN 25 ELSE 1 END))"""
+
 RESCRAPE = """
 known AS (SELECT r.*, e.event_id, n.listings > 1 AS has_others FROM repeats r JOIN es e ON e.url = r.url
   JOIN (SELECT event_id, count(*) AS listings FROM es GROUP BY event_id) n ON n.event_id = e.event_id),
@@ -297,9 +304,8 @@ ORACLES: dict[str, str] = {
     ),
     "scheduled_run": "WITH "
     + cards_of(SITE_PAGES)
-    + """, fetched AS (SELECT * FROM plan WHERE decision <> 'fresh' QUALIFY row_number() OVER (PARTITION BY category ORDER BY position) <= 20)
- SELECT count(DISTINCT category) AS listing_pages, count(*) FILTER (decision = 'fresh') AS fresh_skips,
- (SELECT count(*) FROM fetched WHERE decision = 'new') AS new_pages, (SELECT count(*) FROM fetched WHERE decision = 'due') AS due_pages FROM plan""",
+    + """ SELECT count(DISTINCT category) AS listing_pages, count(*) FILTER (decision = 'fresh') AS fresh_skips,
+ count(*) FILTER (decision = 'new') AS new_pages, count(*) FILTER (decision = 'due') AS due_pages FROM plan""",
     "scheduled_run_all": with_fold(
         "SELECT 'listing_pages' AS counter, count(DISTINCT category) AS n FROM plan UNION ALL SELECT 'fresh_skips', count(*) FILTER (decision = 'fresh') FROM plan"
         " UNION ALL SELECT 'new_pages', count(*) FILTER (decision = 'new') FROM plan UNION ALL SELECT 'due_pages', count(*) FILTER (decision = 'due') FROM plan UNION ALL "
@@ -367,6 +373,7 @@ ORACLES: dict[str, str] = {
     "ingest_stats": with_base(OUTCOMES.format("outcome", "listings"), RESCRAPE),
     "resolve_batch_fuzzy": with_fold("SELECT l.seq, sha256(r.url) AS event_id, t.matched_by, t.distance FROM firsts l JOIN target t USING (seq) JOIN firsts r ON r.seq = t.root"),
     "ingest_run": with_fold(f"SELECT *, price_from IS NOT NULL AS price_known, {NOW} AS created_at, {NOW} AS updated_at FROM refreshed", RESCRAPE, REFRESHED),
+    "snapshot_reload": with_base("SELECT id, title, starts_at, price_from::DOUBLE AS price_from FROM ev"),
     "cascade_commit": with_base("SELECT user_id, event_id FROM favorites WHERE event_id NOT IN (SELECT id FROM collided)", RESCRAPE),
     "stream_redeliveries": with_base(
         "SELECT seq, source_url, price_from FROM (SELECT seq, source_url, price_from, content, lag(content) OVER (PARTITION BY source_url ORDER BY batch, seq) AS before"
@@ -416,13 +423,11 @@ ORACLES: dict[str, str] = {
         f" {key('s.name')}, s.name, e.id) AS position FROM ev v LEFT JOIN es e ON e.event_id = v.id LEFT JOIN sources s ON s.id = e.source_id"
     ),
     "price_label_kind": with_base("SELECT id, CASE WHEN price_from IS NULL THEN 'tba' WHEN price_from = 0 THEN 'free' ELSE 'from' END AS label FROM ev"),
-    "saved_search_match": with_base(
-        f"""SELECT search_id, count(*) AS matches, min(starts_at) AS first_start FROM (SELECT *, CASE "when" WHEN 'weekend' THEN TIMESTAMP '2024-01-19 17:00:00' ELSE {NOW} END AS lo,
- CASE "when" WHEN 'today' THEN TIMESTAMP '2024-01-15 22:59:59.999' WHEN 'week' THEN {NOW} + INTERVAL 168 HOUR WHEN 'month' THEN {NOW} + INTERVAL 720 HOUR
- WHEN 'weekend' THEN TIMESTAMP '2024-01-21 22:59:59.999' END AS hi FROM searches) s JOIN ev e ON e.starts_at >= lo AND (hi IS NULL OR e.starts_at <= hi)
- AND (len(cities) = 0 OR list_contains(cities, city)) AND (len(genres) = 0 OR list_contains(genres, genre))
- AND (max_price IS NULL OR price_from IS NULL OR price_from <= max_price * CASE currency WHEN 'CZK' THEN 25 ELSE 1 END) GROUP BY search_id""",
+    "saved_search_match": with_base("SELECT search_id, count(*) AS matches, min(starts_at) AS first_start FROM matched GROUP BY search_id", SEARCHES, MATCHED),
+    "saved_search_events": with_base(
+        "SELECT search_id, id FROM matched WHERE search_id IN (SELECT min(search_id) FROM searches GROUP BY list_sort(list_distinct(cities)), list_sort(list_distinct(genres)), \"when\", max_price)",
         SEARCHES,
+        MATCHED,
     ),
     "drop_source": with_base("SELECT url, event_id FROM es WHERE source_id <> 's3'"),
     "orphan_events": with_base("SELECT id, title FROM ev WHERE id NOT IN (SELECT event_id FROM es WHERE source_id <> 's3')"),
@@ -447,10 +452,13 @@ ORACLES: dict[str, str] = {
 DIGEST = f"""
 mine AS (SELECT f.user_id, ev.* FROM favorites f JOIN users u ON u.id = f.user_id AND NOT u.digest_opt_out JOIN ev ON ev.id = f.event_id),
 part_a AS (SELECT user_id, id AS event_id FROM mine WHERE starts_at <= {NOW} + INTERVAL 168 HOUR AND {END} >= {NOW}),
-part_b AS (SELECT c.user_id, e.id AS event_id FROM (SELECT DISTINCT user_id, city FROM mine) c JOIN (SELECT DISTINCT user_id, genre FROM mine) g USING (user_id)
-  JOIN ev e ON e.city = c.city AND e.genre = g.genre WHERE e.created_at BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW} AND e.starts_at >= {NOW})"""
+tastes AS (SELECT c.user_id, c.city, g.genre FROM (SELECT DISTINCT user_id, city FROM mine) c JOIN (SELECT DISTINCT user_id, genre FROM mine) g USING (user_id)),
+recent AS (SELECT city, genre, id AS event_id FROM ev WHERE created_at BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW} AND starts_at >= {NOW}),
+part_b AS (SELECT user_id, event_id FROM tastes JOIN recent USING (city, genre))"""
 ORACLES["stream_ingest"] = f"SELECT url, price_from, currency FROM ({ORACLES['rescrape_update']})"
 ORACLES["snapshot_increment"] = ORACLES["stream_ingest"]
+ORACLES["digest_groups"] = with_base("SELECT * FROM recent", DIGEST)
+ORACLES["digest_group_members"] = with_base("SELECT * FROM tastes", DIGEST)
 ORACLES["digest_suggestions"] = with_base("SELECT user_id, event_id FROM part_b", DIGEST)
 ORACLES["digest"] = with_base(
     "SELECT user_id, event_id, min(part) AS part FROM (SELECT *, 'a' AS part FROM part_a UNION ALL SELECT *, 'b' FROM part_b) GROUP BY ALL", DIGEST

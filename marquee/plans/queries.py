@@ -5,13 +5,13 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.config import WHEN_VALUES
 from marquee.functions import dates, markup, places, prices, text, urls
 from marquee.operators import cards, digest, extract, feed, frontier, linkage, maintenance, merge, normalize, upserts
+from marquee.operators.ranking import ranked
 from marquee.operators.resolve import resolve_batch
 from marquee.plans import scrape
 from marquee.plans.ingest import ingest, ingest_stats
@@ -292,8 +292,8 @@ def site_run(spark: SparkSession, sf: str, limit: int | None, fuzzy: bool) -> sc
 
 @query
 def scheduled_run(spark, sf):
-    """Counters of a run with the optional cap, here of twenty pages per category; the whole job is ``scheduled_run_all``."""
-    return site_run(spark, sf, limit=20, fuzzy=False).counts
+    """Counters of a run over all pages that are new or due, matched by URL and fingerprint."""
+    return site_run(spark, sf, limit=None, fuzzy=False).counts
 
 
 @query
@@ -388,8 +388,9 @@ def fingerprint_match(spark, sf):
 @query
 def title_distance(spark, sf):
     """Each title of a city with the next one in the alphabet: near variants, and different titles."""
-    titles = valid(spark, sf).select("city", F.col("title_key").alias("a")).distinct()
-    pairs = titles.withColumn("b", F.lead("a").over(W.partitionBy("city").orderBy("a"))).filter("b IS NOT NULL")
+    titles = ranked(valid(spark, sf).select("city", F.col("title_key").alias("a")).distinct(), ["city"], ["a"])
+    following = titles.select("city", F.col("a").alias("b"), (F.col("position") - 1).alias("position"))
+    pairs = titles.join(following, ["city", "position"])
     return pairs.select("city", "a", "b", text.title_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
@@ -498,6 +499,15 @@ def integrity_checks(spark, sf):
     return merge.integrity_checks(tables.events, tables.event_sources, tables.sources, favorites(spark, sf))
 
 
+@query
+def snapshot_reload(spark, sf):
+    """Events after a wipe and a reload over a store that held others."""
+    tables, root = catalogue(spark, sf), own_folder(spark, "store")
+    write_snapshot(tables.with_(events=tables.events.filter("price_from IS NULL").withColumn("title", F.lit("old"))), root, 0)
+    write_snapshot(tables, root, 1)
+    return read_snapshot(spark, root).events.select("id", "title", "starts_at", "price_from")
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -628,6 +638,13 @@ def saved_search_match(spark, sf):
     return feed.saved_search_counts(catalogue(spark, sf).events, searches, sample.now())
 
 
+@query
+def saved_search_events(spark, sf):
+    """Every event that a search finds, once for all equal searches."""
+    searches = feed.parse_filter_rows(sample.requests_from_customer(sample.table(spark, sf, "customer")))
+    return feed.saved_search_match(catalogue(spark, sf).events, feed.same_searches(searches)[1], sample.now()).select("search_id", "id")
+
+
 # --- maintenance -----------------------------------------------------------------------
 @query
 def drop_source(spark, sf):
@@ -682,6 +699,17 @@ def digest_suggestions(spark, sf):
     return _digest(digest.digest_suggestions, spark, sf)
 
 
+@query
+def digest_groups(spark, sf):
+    """New events by taste group, one row each however many users share the group."""
+    return digest.suggestion_groups(catalogue(spark, sf).events, sample.now())
+
+
+@query
+def digest_group_members(spark, sf):
+    return digest.suggestion_members(favorites(spark, sf), users(spark, sf), catalogue(spark, sf).events)
+
+
 @query
 def digest_merge(spark, sf):
     return _digest(digest.digest, spark, sf)

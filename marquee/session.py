@@ -1,5 +1,6 @@
 """Session set-up shared by tests, benchmark and queries."""
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Hand this package to the session's Python workers, which may not have it on their path."""
     context = spark.sparkContext

@@ -303,6 +303,29 @@ def test_disallowed_paths(spark):
     assert {r.url for r in left.collect()} == {urls[1], urls[3], urls[4]}
 
 
+def test_rules_of_a_host_are_one_lookup(spark):
+    """Many rules, of which a path meets only those whose fixed text it begins with."""
+    body = "\n".join(["Disallow: /sk", "Disallow: /skip*now", "Disallow: /ab?c", "Disallow: *.pdf", *[f"Disallow: /p{k}/*/x" for k in range(50)], "Disallow: /p7/q/*z"])
+    rules = frontier.robots_patterns(spark.createDataFrame([("h.example.com", body), ("i.example.com", "Disallow: /")], "host string, body string"))
+    sets = {r["host"]: r for r in frontier.rule_sets(rules).collect()}
+    assert sets["h.example.com"]["rules"]["/sk"] == "" and len(sets["h.example.com"]["rules"]) == 55 and len(sets["h.example.com"]["lengths"]) == 6
+    paths = ["/sk", "/skip", "/ski", "/s", "/ac", "/abc", "/abbc", "/a/b.pdf", "/p7/q/x", "/p7/q/y/z", "/p7/q", "/p9/q/x/more", "/p99/q/x", ""]
+    urls = [f"https://{h}.example.com{p}" for h in "hij" for p in paths]
+    frame = spark.createDataFrame([(u, "z") for u in [*urls, None, "no url"]], "url string, rules string")
+    left = frontier.disallow_anti_join(frame, rules)
+    plain = frame.join(rules.withColumn("regex", frontier.pattern_regex(F.col("pattern"))), F.expr("url LIKE concat('%://', host, '%') AND rlike(substring(url, 22), regex)"), "left_anti")
+    assert left.columns == frame.columns
+    assert sorted(str(r["url"]) for r in left.collect()) == sorted(str(r["url"]) for r in plain.collect() if not str(r["url"]).startswith("https://i"))
+
+
+@pytest.mark.parametrize("limit", [2, 1001])
+def test_cap_counts_positions_over_slices(spark, monkeypatch, limit):
+    monkeypatch.setattr(frontier, "GROUP_LIMIT", 1 if limit == 2 else 1000)
+    plan = spark.range(3000).select(F.lit("c").alias("category"), (F.col("id") * 7 % 3000).alias("position"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 2 == 0, "new").otherwise("fresh").alias("decision"))
+    got = sorted(r["position"] for r in frontier.refetch_cap(plan, limit).collect())
+    assert got == sorted(k * 7 % 3000 for k in range(0, 3000, 2))[:limit]
+
+
 def test_page_shapes(spark):
     script = '<script type="application/ld+json">{}</script>'
     single = '{"name":"A &amp; B","startDate":"2026-12-05 17:00","location":{"name":"Hall, X","address":"Poprad"},"image":"","description":"%s"}'
