@@ -1,9 +1,6 @@
 """Helpers shared by the text operators."""
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,30 +8,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import marquee
+from marquee.session import shipped
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at once inside a task, in bytes; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
 
-def shipped(spark: SparkSession) -> SparkSession:
-    """Hand this package to the session's Python workers, which may not have it on their path."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        _SHIPPED.add(context.applicationId)
-        root = Path(marquee.__file__).parent
-        archive = Path(tempfile.mkdtemp(prefix="marquee-package-")) / "marquee.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(root.rglob("*.py")):
-                out.write(source, source.relative_to(root.parent))
-        context.addPyFile(str(archive))  # Spark's own file service takes it to the executors
-    return spark
-
-
-_SHIPPED: set[str] = set()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -46,10 +26,19 @@ def id_bucket(modulus: int, column: str = "doc_id") -> Column:
 
 
 def only(rows: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns, whatever else the input carries."""
+    """Just the named columns, whatever else the input carries; workers of the session get this package."""
+    shipped(rows.sparkSession)
     return rows.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name like this one that the rows do not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A text column with nulls as empty strings."""
     return pc.fill_null(column.cast(pa.string()), "")

@@ -39,11 +39,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import LOWER, UPPER, documents, only, ranges, slices, texts_of, word_lists
+from marquee.llm.common import LOWER, UPPER, documents, only, ranges, slices, texts_of, unused, word_lists
 from marquee.llm.phrases import mix
 from marquee.llm.scoring import word_keys
-from marquee.session import cut
-
+from marquee.session import cut, release
 
 
 @dataclass(frozen=True)
@@ -78,8 +77,8 @@ EXACT, NEAR = Likeness(), Likeness(words=5, percent=80)
 STEP_BITS = 6
 #: Size of the bitmap of shared keys, as a power of two of bits; it bounds what is sent to the driver and to each task.
 MAP_BITS = 26
-#: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast, some 20 MB in memory; more are joined by a shuffle.
+BROADCAST_IDS = 250_000
 
 
 def blocks_for(size: np.ndarray | int, like: Likeness):
@@ -172,15 +171,20 @@ def classes_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``doc_id, n, class`` of every document; the empty set has no class."""
+    """``doc_id, key, n, class`` of every document, with a hash of its text as ``key``; the empty set has no class."""
 
     def run(batches):
         for batch in slices(batches):
             h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
             n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(classes_of(h, offsets), mask=n == 0)], ["doc_id", "n", "class"])
+            name = pa.array(classes_of(h, offsets), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("key"), pa.array(n), name], ["doc_id", "key", "n", "class"])
+
+    return only(docs, "doc_id", "text").withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, n long, class long")
+
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, class long")
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def sketch_blocks(docs: DataFrame, like: Likeness, marked: np.ndarray | None = None) -> DataFrame:
@@ -239,7 +243,9 @@ def groups(docs: DataFrame, like: Likeness) -> DataFrame:
     """
     keys = sketch_blocks(docs, like)
     shared = cut(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"))
+    release(docs.sparkSession)
     members = cut(sketch_blocks(docs, like, bitmap_of(shared)).join(few(shared), "key", "left_semi").distinct())
+    release(docs.sparkSession)
     largest = members.agg(F.max("n")).first()[0] or 1
     steps = scale(int(blocks_for(like.partner(largest), like)))
     blocks, sizes = (F.array(*[F.lit(int(x)) for x in values])[F.col("step")] for values in (steps, largest_sizes(steps, like)))
@@ -288,7 +294,7 @@ def compared(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFr
 
     def side(name: str) -> DataFrame:
         """The sets that are asked for on one side; no other is moved."""
-        return sets.join(few(pairs.select(F.col(name).alias("class")).distinct()), "class", "left_semi")
+        return sets.join(few(cut(pairs.select(F.col(name).alias("class")).distinct())), "class", "left_semi")
 
     one = side(left).select(F.col("class").alias(left), "n", F.col("shingles").alias("a"))
     two = side(right).select(F.col("class").alias(right), F.col("n").alias("m"), F.col("shingles").alias("b"))
@@ -341,10 +347,13 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
     """Linked pairs of classes (``one, two``), enough of them to connect every linked pair."""
     members = cut(groups(docs, like))
+    release(docs.sparkSession)
     pairs = cut(led(members, like))
+    release(docs.sparkSession)
     wanted = pairs.select("leader").unionByName(pairs.select(F.col("class").alias("leader"))).select(F.col("leader").alias("class"))
     sets = shingles_of(docs, sketches, wanted.distinct(), like)
     diffs = cut(differences(pairs, sets, like))
+    release(docs.sparkSession)
     more = compared(cut(members_apart(diffs, like)), sets, "one", "two")
     more = more.filter(like.links(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))))
     return diffs.filter("linked").select(F.col("leader").alias("one"), F.col("class").alias("two")).unionByName(more.select("one", "two"))
@@ -360,25 +369,40 @@ def near_duplicates(docs: DataFrame, like: Likeness = EXACT) -> DataFrame:
     lowest = least.groupBy("component").agg(F.min("least").alias("lowest"))
     # Only classes with copies or links have another component than the document's own id.
     other = named.join(lowest, "component", "left").select("class", F.coalesce("lowest", "least").alias("lowest"), "copies", F.col("lowest").isNotNull().alias("linked"))
-    other = other.filter("copies > 1 OR linked").select("class", "lowest")
+    # Written first: a join on the partitioning of an aggregate is not split at a class with many copies.
+    other = cut(other.filter("copies > 1 OR linked").select("class", "lowest"))
     rows = sketches.select("doc_id", "n", "class").join(other, "class", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, like: Likeness = EXACT) -> DataFrame:
-    """One document of each component: that with the smallest id; columns stay as they are.
+    """One row of each component: that with the smallest id; columns stay as they are.
 
-    Rows with equal ids stay together, but equal ids with equal texts are one row.
+    Each row is decided by its own text, so one of a repeated id goes if its text links with that of a
+    smaller id, and rows without an id go if they link with any other row. Equal ids with equal
+    texts are one row. Texts without words link with nothing: only those of one id are one row.
     """
-    found = near_duplicates(docs, like).filter("doc_id IS NOT NULL").withColumn("stays", F.col("doc_id") == F.col("component_id"))
-    gone = cut(found.groupBy("doc_id").agg(F.max("stays").alias("stays")).filter("NOT stays").select("doc_id"))
-    rows = docs.join(few(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rows
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = rows.join(repeated, "doc_id", "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(*rows.columns)
-    return rows.join(repeated, "doc_id", "left_anti").select(*rows.columns).unionByName(several)
+    sketches = cut(sketched(docs, like))
+    joined = components(jaccard_links(docs, sketches, like))
+    members = cut(sketches.filter("class IS NOT NULL").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")).drop("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "class")).alias("first")
+    kept = cut(members.groupBy("component").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    leaves = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class")))
+    gone = cut(members.join(kept, "component").filter(leaves).select(F.col("doc_id").alias("named_id"), F.col("key").alias("named_key")).distinct())
+    key = unused(docs, "text_key")
+    keyed = docs.withColumn(key, text_key())
+
+    def row_of(named: DataFrame) -> Column:
+        return keyed["doc_id"].eqNullSafe(named["named_id"]) & (keyed[key] == named["named_key"])
+
+    rows = keyed.join(few(gone), row_of(gone), "left_anti")
+    # The row of a component may be there several times.
+    again = sketches.filter("doc_id IS NOT NULL OR class IS NOT NULL").groupBy(F.col("doc_id").alias("named_id"), F.col("key").alias("named_key")).count().filter("count > 1").drop("count")
+    again = cut(again)
+    if again.isEmpty():
+        return rows.drop(key)
+    several = rows.join(few(again), row_of(again), "left_semi").dropDuplicates(["doc_id", key])
+    return rows.join(few(again), row_of(again), "left_anti").unionByName(several).drop(key)
 
 
 def op5_parity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

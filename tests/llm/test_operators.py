@@ -216,6 +216,13 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert sorted(str((r["doc_id"], r["component_id"])) for r in got) == ["(5, 5)", "(6, 6)", "(None, 5)", "(None, None)"]
 
 
+def test_each_row_is_deduplicated_by_its_own_text(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "A b c d"), (5, "other words of five"), (5, "a b c d"), (None, "alone here at last"), (None, "alone here at last"), (6, ""), (6, ""), (None, ""), (None, None), (7, "two texts one"), (7, "of this id")]
+    kept = near_duplicates.deduplicated(table(spark, rows).withColumn("text_key", F.lit("x")).withColumn("named_id", F.lit("y")))
+    want = [(1, "a b c d"), (5, "other words of five"), (None, "alone here at last"), (6, ""), (None, ""), (None, None), (7, "two texts one"), (7, "of this id")]
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("like", [near_duplicates.EXACT, near_duplicates.NEAR])
 def test_sketch_bounds_the_difference(like):
     """Sets that differ in d shingles differ in at most d blocks, and linked sizes share a scale."""

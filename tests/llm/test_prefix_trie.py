@@ -59,7 +59,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("most", [prefix_trie.COMPONENT, 4])
+@pytest.mark.parametrize("most", [4])
 def test_odd_rows(spark, most):
     assert found(spark, ODD, most=most) == plain_trie(ODD)
 
