@@ -248,13 +248,18 @@ def page_rejects(details: DataFrame) -> DataFrame:
 
 
 def pages_to_listings(pages: DataFrame, source: str, country: str, currency: str, prefix: str = EVENT_PATH) -> DataFrame:
-    """Raw listings of detail pages with ``page_id, category, url, html``.
+    """Raw listings of detail pages with ``page_id, category, url, html``."""
+    return details_to_listings(page_details(pages, prefix), source, country, currency)
+
+
+def details_to_listings(details: DataFrame, source: str, country: str, currency: str) -> DataFrame:
+    """Raw listings of pages that were read by ``page_details``.
 
     ``seq`` counts the listings from 0, in page order, then stop order inside a tour,
     so page ids may be any numbers.
     """
     # Written first, as dealing rows out by range reads them twice.
-    rows = ranked(cut(listed(page_details(pages, prefix))), [], ["page_id", "stop"])
+    rows = ranked(cut(listed(details)), [], ["page_id", "stop"])
     label = F.coalesce(*[F.when(F.col("category") == slug, name) for slug, name in CATEGORY_LABELS.items()])
     return rows.select(
         (F.col("position") - 1).alias("seq"),

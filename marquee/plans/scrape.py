@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.urls import canonical_url
 from marquee.operators import frontier, upserts
-from marquee.operators.extract import page_details, page_rejects, pages_to_listings
+from marquee.operators.extract import details_to_listings, page_details, page_rejects
 from marquee.plans.ingest import IngestResult, ingest
 from marquee.session import cut
 from marquee.sources.store import Changes, difference
@@ -46,7 +46,9 @@ def scheduled_run(
     got = cut(
         pages.withColumn("canonical", canonical_url(F.col("url"))).join(wanted.select(F.col("url").alias("canonical")).distinct(), "canonical", "left_semi")
     )
-    listings = pages_to_listings(got.drop("canonical"), slug, country, currency)
+    # Read once, for the listings and for the pages that yield none.
+    details = cut(page_details(got.drop("canonical")))
+    listings = details_to_listings(details, slug, country, currency)
     ingested = ingest(tables, listings, now, fuzzy)
     after = ingested.tables
     # A listing that is listed but not due only shows that it is still there.
@@ -57,6 +59,6 @@ def scheduled_run(
         after.with_(event_sources=rows, sources=upserts.stamp_source(after.sources, slug, now), scraped_pages=seen),
         seen,
         frontier.refetch_counts(plan, wanted.join(fetched, "url", "left_semi").select(wanted.columns)),
-        page_rejects(page_details(got.drop("canonical"))),
+        page_rejects(details),
         ingested,
     )
