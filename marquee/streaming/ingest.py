@@ -1,11 +1,13 @@
 """Listings that land in a folder, ingested in micro-batches."""
 
+import struct
 import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,6 +37,23 @@ def ingest_batch(
 CONTENT = [n for n in schemas.RAW_LISTINGS.names if n != "seq"]
 #: Days without a delivery after which a URL is forgotten.
 KEPT_DAYS = 30
+#: URLs share a state by a hash, as a state for each URL costs a call for each. The number is part of a run's progress folder.
+STATE_BUCKETS = 512
+#: What is known of a URL: hashes (128 bits) of itself and of its last content, and when (ms) it was delivered.
+KNOWN = "<16s16sq"
+
+
+def new_deliveries(known: dict[bytes, tuple[bytes, int]], rows: pd.DataFrame) -> list[int]:
+    """Positions of the rows that differ from the last content of their URL; ``known`` then has their contents."""
+    order = sorted(zip(rows["unnumbered"].tolist(), rows["seq"].tolist(), range(len(rows)), strict=True))
+    urls, contents, times = (rows[c].tolist() for c in ("url_key", "content", "delivered_at"))
+    passed = []
+    for _, _, k in order:
+        content, at = known.get(urls[k], (None, 0))
+        if contents[k] != content:
+            passed.append(k)
+        known[urls[k]] = (contents[k], max(at, times[k]))
+    return passed
 
 
 def first_deliveries(stream: DataFrame, days: int = KEPT_DAYS) -> DataFrame:
@@ -51,19 +70,39 @@ def first_deliveries(stream: DataFrame, days: int = KEPT_DAYS) -> DataFrame:
     kept, names = days * 86_400_000, schemas.RAW_LISTINGS.names
 
     def pass_new(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = {url: (content, at) for url, content, at in struct.iter_unpack(KNOWN, state.get[0])} if state.exists else {}
+        out, delivered, watermark = None, set(), state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            out = rows[["unnumbered", *names]].iloc[new_deliveries(known, rows)]
+            delivered = set(rows["url_key"])
+        known = {url: last for url, last in known.items() if url in delivered or last[1] + kept >= watermark}
+        if known:
+            state.update((b"".join(struct.pack(KNOWN, url, *last) for url, last in known.items()),))
+            state.setTimeoutTimestamp(max(min(at for _, at in known.values()) + kept, watermark))
+        else:
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        last = rows["content"].shift(1)
-        last.iloc[0] = state.get[0] if state.exists else None
-        state.update((rows["content"].iloc[-1],))
-        state.setTimeoutTimestamp(int(rows["delivered_at"].max().timestamp() * 1000) + kept)
-        yield rows.loc[rows["content"] != last, names]
+        if out is not None:
+            yield out
 
+    def digest(value: Column) -> Column:
+        return F.unhex(F.left(F.sha2(value, 256), F.lit(32)))
+
+    url_key = digest(F.to_json(F.struct("source_url")))
     # The time of the micro-batch; a processing-time timeout would keep a run from ever ending.
-    timed = stream.select(*names, F.sha2(F.to_json(F.struct(*CONTENT)), 256).alias("content"), F.current_timestamp().alias("delivered_at"))
-    return timed.withWatermark("delivered_at", "1 hour").groupBy("source_url").applyInPandasWithState(pass_new, schemas.RAW_LISTINGS, "content string", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.select(*names, digest(F.to_json(F.struct(*CONTENT))).alias("content"), url_key.alias("url_key"), F.current_timestamp().alias("delivered")).withWatermark("delivered", "1 hour")
+    dealt = timed.withColumns(
+        {
+            # Numbers stay whole next to rows without one.
+            "unnumbered": F.col("seq").isNull(),
+            "seq": F.coalesce("seq", F.lit(0)),
+            "delivered_at": F.unix_millis("delivered"),
+            "bucket": F.pmod(F.xxhash64("url_key"), F.lit(STATE_BUCKETS)),
+        }
+    )
+    schema = T.StructType([T.StructField("unnumbered", T.BooleanType()), *schemas.RAW_LISTINGS.fields])
+    new = dealt.groupBy("bucket").applyInPandasWithState(pass_new, schema, "known binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return new.withColumn("seq", F.when(~F.col("unnumbered"), F.col("seq"))).drop("unnumbered")
 
 
 def stream_ingest(

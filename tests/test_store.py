@@ -10,7 +10,7 @@ from marquee.plans.ingest import ingest
 from marquee.sources import store
 from marquee.sources.store import Changes, commit, committed_version, difference, manifest
 from marquee.sources.tables import Tables, empty_tables, read_snapshot, stream_listings, write_snapshot
-from marquee.streaming.ingest import first_deliveries, stream_ingest
+from marquee.streaming.ingest import STATE_BUCKETS, first_deliveries, stream_ingest
 
 NOW = dt.datetime(2024, 1, 1)
 
@@ -134,6 +134,23 @@ def test_only_changed_deliveries_pass(spark, tmp_path):
     assert deliver(one | {"seq": 20, "price_from": None}) == [0, 1, 3, 4, 20]
 
 
+def test_the_state_of_the_stream_is_shared_by_many_urls(spark, tmp_path):
+    """A call for each URL took milliseconds each; now the number of states is bounded, and the URLs of one stay apart."""
+    rows = [listing(k) for k in range(2000)]
+    raw(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for again in (rows, [r | {"price_from": 3.0} if r["seq"] % 100 == 0 else r for r in rows]):
+        passed = first_deliveries(stream_listings(spark, f"{tmp_path}/in"))
+        run = passed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start(f"{tmp_path}/out")
+        run.awaitTermination()
+        raw(spark, again).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    passed = first_deliveries(stream_listings(spark, f"{tmp_path}/in"))
+    run = passed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start(f"{tmp_path}/out")
+    run.awaitTermination()
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= STATE_BUCKETS
+    seqs = [r["seq"] for r in spark.read.schema(schemas.RAW_LISTINGS).parquet(f"{tmp_path}/out").select("seq").collect()]
+    assert sorted(seqs) == sorted([*range(2000), *range(0, 2000, 100)])
+
+
 def test_a_stream_without_redeliveries(spark, sellers, tmp_path):
     def run(rows):
         raw(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
