@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.plans.ingest import ingest
+from marquee.session import utc
 from marquee.sources import store
+from marquee.sources import tables as tables_module
 from marquee.sources.store import Changes, commit, committed_version, difference, manifest
 from marquee.sources.tables import Tables, empty_tables, read_snapshot, stream_listings, write_snapshot
 from marquee.streaming.ingest import STATE_BUCKETS, first_deliveries, stream_ingest
@@ -119,6 +121,23 @@ def test_empty_tables_and_no_changes(spark, sellers, tmp_path):
     assert isinstance(read_snapshot(spark, f"{tmp_path}/t"), Tables) and committed_version(spark, f"{tmp_path}/t") == 1
 
 
+def test_an_input_is_spread_by_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables_module, "TASK_ROWS", 100)
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/in")
+    dealt = tables_module.spread(spark.read.parquet(f"{tmp_path}/in"))
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.distinct().count() == 5000
+    assert tables_module.spread(dealt).rdd.getNumPartitions() == 50
+
+
+def test_stored_rows_are_not_taken_for_their_compressed_size(spark, tmp_path):
+    """A million numbers lie in a small file; Spark took its size for that of the rows and sent them all through the driver."""
+    rows = spark.range(1_000_000).selectExpr("id", "sha2(cast(id % 5 as string), 256) AS a", "'x' AS b")
+    rows.write.parquet(f"{tmp_path}/in")
+    stored = utc(spark).read.parquet(f"{tmp_path}/in")
+    limit = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
+    assert stored.select("id")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > limit
+
+
 # --- re-deliveries ----------------------------------------------------------------
 def test_only_changed_deliveries_pass(spark, tmp_path):
     def deliver(*rows):
