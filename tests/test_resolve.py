@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.functions.urls import canonical_url
-from marquee.operators import frontier
+from marquee.operators import frontier, resolve
 from marquee.operators.extract import pages_to_listings
 from marquee.operators.normalize import check_listings, normalized
 from marquee.operators.components import components
@@ -103,6 +103,17 @@ def test_chain_is_not_a_component(spark):
     assert got == {0: "new", 1: "fuzzy", 2: "new"}
 
 
+def test_a_long_chain_takes_no_step_per_founder(spark, monkeypatch):
+    """Listings that arrive in order of their starts, each in reach of the one before it."""
+    written, cut = [], resolve.cut
+    monkeypatch.setattr(resolve, "cut", lambda df: written.append(1) or cut(df))
+    rows = [(i, f"https://x.example.com/{i}", "jazz night", "T", T0 + timedelta(hours=2 * i), f"f{i}") for i in range(90)]
+    new = spark.createDataFrame(rows, "seq long, url string, title_key string, city string, starts_at timestamp, fingerprint string")
+    got = {r.seq: r.matched_by for r in resolve_batch(new, empty_tables(spark).events, most=40).collect()}
+    assert got == {i: "fuzzy" if i % 2 else "new" for i in range(90)}
+    assert len(written) < 30
+
+
 def test_a_merged_listing_does_not_lend_its_fingerprint(spark):
     rows = [
         (0, "https://x.example.com/0", "jazz night", "T", T0, "a"),
