@@ -71,10 +71,11 @@ def ingest(tables: Tables, raw: DataFrame, now: Column, fuzzy: bool = True) -> I
     before = events.select(tables.events.columns), rows
     known_urls = rows.select("url")
     known = listings.join(known_urls, "url", "left_semi")
-    fresh, repeats = merge.first_of_url(listings.join(known_urls, "url", "left_anti"))
+    fresh, repeats = merge.split_by_url(listings.join(known_urls, "url", "left_anti"))
 
+    # Listing rows come back written.
     events, rows, updated = merge.apply_rescrapes(events, rows, known, now)
-    events, rows = cut(events), cut(rows)
+    events = cut(events)
     assignments = cut(resolve_batch(fresh, events, fuzzy))
     events, rows = merge.attach_new(events, rows, fresh, assignments, now)
     events, rows = cut(events), cut(rows)
@@ -86,7 +87,7 @@ def ingest(tables: Tables, raw: DataFrame, now: Column, fuzzy: bool = True) -> I
     outcomes = updated.unionByName(resolved).unionByName(repeated)
     untouched = tables.events.join(scope, "id", "left_anti").select(tables.events.columns)
     kept_rows = tables.event_sources.join(in_events, "event_id", "left_anti").select(tables.event_sources.columns)
-    events, rows = cut(events.select(tables.events.columns)), cut(rows.select(tables.event_sources.columns))
+    events, rows = cut(events.select(tables.events.columns)), rows.select(tables.event_sources.columns)
     merged = tables.with_(events=untouched.unionByName(events), event_sources=kept_rows.unionByName(rows))
     changes = {"events": difference("events", before[0], events), "event_sources": difference("event_sources", before[1], rows)}
     if tables.favorites is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.functions.urls import canonical_url
-from marquee.operators import frontier, resolve
+from marquee.operators import frontier, merge, resolve
 from marquee.operators.extract import pages_to_listings
 from marquee.operators.normalize import check_listings, normalized
 from marquee.operators.components import components
@@ -114,6 +114,18 @@ def test_a_long_chain_takes_no_step_per_founder(spark, monkeypatch):
     assert len(written) < 30
 
 
+def test_listings_are_split_by_url_in_one_pass(spark, monkeypatch):
+    """The same rows as by two joins, numbers that come twice or are missing included; read often, computed once."""
+    rows = [(4, "a"), (2, "a"), (2, "b"), (2, "a"), (7, "c"), (None, "c"), (None, "d"), (3, None), (1, "b")]
+    new = spark.createDataFrame(rows, "seq long, url string")
+    written, cut = [], merge.cut
+    monkeypatch.setattr(merge, "cut", lambda df: written.append(1) or cut(df))
+    parts = merge.split_by_url(new)
+    assert len(written) == 1 and all("Join" not in p._jdf.queryExecution().toString() for p in parts)
+    for got, want in zip(parts, merge.first_of_url(new), strict=True):
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, want.collect()))
+
+
 def test_a_merged_listing_does_not_lend_its_fingerprint(spark):
     rows = [
         (0, "https://x.example.com/0", "jazz night", "T", T0, "a"),
