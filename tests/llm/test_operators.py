@@ -304,6 +304,23 @@ def test_rare_words_keep_their_arcs(spark, tmp_path, monkeypatch, size):
     assert got[1002]["score"] == pytest.approx(math.log10(root(1) * arc(1, 1, 1, 1) * arc(1, 1, 1, end)))
 
 
+def test_counts_are_passed_on_in_buckets(spark, tmp_path, monkeypatch):
+    """A chunk sends one row per bucket, not one per key, and any number of buckets and hot words gives the same scores."""
+    rows = ODD + [(100 + k, " ".join(f"the w{k * j % 37}" for j in range(k % 9))) for k in range(60)]
+    docs, train = stored(table(spark, rows), tmp_path / "docs"), F.col("doc_id") % 5 != 1
+    whole = by_id(scoring.score_corpus(docs, train))
+    monkeypatch.setattr(scoring, "BUCKET_BYTES", 256)
+    monkeypatch.setattr(scoring, "HOT", 20)
+    chunked = scoring.chunks(docs, train)
+    buckets = scoring.bucket_count(chunked)
+    assert buckets > 5 and [len(r["hot"]) for r in scoring.word_totals(scoring.tallied(chunked, buckets)).collect()].count(0) < buckets
+    for hot in (None, np.zeros(0, np.int64)):
+        sent = scoring.tallied(chunked, buckets, hot).collect()
+        assert len({(r["chunk"], r["bucket"]) for r in sent}) == len(sent) < sum(len(r["key"]) for r in sent)
+    dealt = by_id(scoring.score_corpus(docs, train))
+    assert dealt.keys() == whole.keys() and all(tuple(dealt[i]) == tuple(whole[i]) for i in whole)
+
+
 def test_scores_of_nothing(spark, tmp_path):
     empty = stored(table(spark, []), tmp_path / "none")
     assert scoring.score_corpus(empty, F.lit(True)).count() == 0
