@@ -31,7 +31,9 @@ equal ids are one document each and count as linked only by their texts; rows wi
 an id get their class's component; an empty table gives no rows.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,8 @@ STEP_BITS = 6
 MAP_BITS = 26
 #: Ids that may be broadcast, some 20 MB in memory; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
+#: Parts in which pairs of classes are compared at most, and how many pairs make one more; the sets of one part are on disk at a time.
+PARTS, PART_PAIRS = 4, 10_000
 
 
 def blocks_for(size: np.ndarray | int, like: Likeness):
@@ -208,8 +212,7 @@ def sketch_blocks(docs: DataFrame, like: Likeness, marked: np.ndarray | None = N
             keys, ends = block_keys(h[ranges(offsets[rows], n[rows])], np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int64), like)
             owner = np.repeat(rows, np.diff(ends))
             if bitmap.value is not None:
-                bit = keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)
-                kept = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                kept = marked_in(bitmap.value, keys)
                 keys, owner = keys[kept], owner[kept]
             for k in range(0, len(keys), 100_000):
                 part = owner[k : k + 100_000]
@@ -218,16 +221,22 @@ def sketch_blocks(docs: DataFrame, like: Likeness, marked: np.ndarray | None = N
     return only(docs, "doc_id", "text").mapInArrow(run, "key long, class long, n long")
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """One bit for each value of the keys' upper bits that occurs; the size does not depend on their number."""
-    bit = keys.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("bit"))
+def bitmap_of(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """One mark for each value of the keys' upper ``bits`` that occurs; the size does not depend on their number."""
+    bit = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = bit.groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def marked_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bitmap marks each key's upper bits."""
+    bit = keys.view(np.uint64) >> np.uint64(65 - 6 - len(bitmap).bit_length())
+    return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def few(ids: DataFrame) -> DataFrame:
     """The ids, with the hint to broadcast them if their number allows it."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
@@ -269,41 +278,72 @@ def led(members: DataFrame, like: Likeness) -> DataFrame:
     return pairs.select(F.col("top.class").alias("leader"), "class").distinct()
 
 
-def shingles_of(docs: DataFrame, sketches: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
-    """``class, n, shingles`` of the classes in ``wanted`` (column ``class``)."""
-    rows = sketches.filter("doc_id IS NOT NULL").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ids = few(cut(rows.select("doc_id").distinct()))
+def standing(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, place, rows``: for each class in ``wanted`` (column ``class``) the document that its set is derived from.
+
+    ``place`` is the class and that document's id. Rows of equal ids and texts (``rows``) are one document, as are those without an id.
+    """
+    found = sketches.join(wanted, "class", "left_semi").groupBy("class", named_id().alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    first = found.groupBy("class").agg(F.min(F.struct("id", "rows")).alias("first"))
+    return first.select("class", F.struct("class", "first.id").alias("place"), "first.rows")
+
+
+def named_id() -> Column:
+    """The id of a document, or the last one that there can be."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1))
+
+
+def shingles_of(docs: DataFrame, stand: DataFrame, like: Likeness) -> DataFrame:
+    """``place, n, shingles`` of the places in ``stand`` and of a few others, derived from the texts.
+
+    A bitmap of the ids, with 64 bits for each while they fit, leaves out almost all other documents before their sets are derived.
+    """
+    ids = stand.select(F.xxhash64("place.id").alias("key"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, min(MAP_BITS, 6 + max(4, ids.count().bit_length()))))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batch.filter(pa.array(marked_in(bitmap.value, batch.column("key").to_numpy()))) for batch in batches):
             h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
             n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(classes_of(h, offsets), mask=n == 0), pa.array(n), lists], ["class", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes_of(h, offsets), mask=n == 0), batch.column("id"), pa.array(n), lists], ["class", "id", "n", "shingles"])
 
-    sets = only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "class long, n long, shingles array<long>")
-    sets = cut(sets.filter("class IS NOT NULL"))
-    # Only rows with equal ids can bring a class twice.
-    if sets.groupBy("class").count().filter("count > 1").isEmpty():
+    rows = only(docs, "doc_id", "text").select(named_id().cast("long").alias("id"), "text").withColumn("key", F.xxhash64("id"))
+    sets = rows.mapInArrow(run, "class long, id long, n long, shingles array<long>")
+    sets = sets.filter("class IS NOT NULL").select(F.struct("class", "id").alias("place"), "n", "shingles")
+    if stand.filter("rows > 1").isEmpty():
         return sets
-    return cut(sets.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    return sets.groupBy("place").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+
 
+def parts_of(pairs: DataFrame, most: int) -> int:
+    return min(most, 1 + pairs.count() // PART_PAIRS)
 
-def compared(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs with ``n, a`` (size and set of the left class) and ``m, b`` (of the right)."""
 
-    def side(name: str) -> DataFrame:
-        """The sets that are asked for on one side; no other is moved."""
-        return sets.join(few(cut(pairs.select(F.col(name).alias("class")).distinct())), "class", "left_semi")
+def parted(rows: DataFrame, parts: int, *by: str) -> list[DataFrame]:
+    """The rows cut into so many parts by a hash of some columns."""
+    return [rows.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) == part) for part in range(parts)]
 
-    one = side(left).select(F.col("class").alias(left), "n", F.col("shingles").alias("a"))
-    two = side(right).select(F.col("class").alias(right), F.col("n").alias("m"), F.col("shingles").alias("b"))
-    return pairs.join(one, left).join(two, right)
 
+def compared(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, like: Likeness, left: str, right: str, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``result`` makes of the pairs with ``n, a`` (size and set of the left class) and ``m, b`` (of the right).
 
-def differences(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    Sets take more room than their texts, so the pairs are compared in parts, one after the other, and no set is stored.
+    """
+    done = []
+    for rows in parted(pairs, parts_of(pairs, PARTS), left, right):
+        sides = []
+        for name, size, shingles in ((left, "n", "a"), (right, "m", "b")):
+            stand = cut(standing(sketches, rows.select(F.col(name).alias("class")).distinct()))
+            rows = rows.join(stand.select(F.col("class").alias(name), F.col("place").alias(f"{name}_place")), name)
+            sides.append(shingles_of(docs, stand, like).select(F.col("place").alias(f"{name}_place"), F.col("n").alias(size), F.col("shingles").alias(shingles)))
+        done.append(cut(result(rows.join(sides[0], f"{left}_place").join(sides[1], f"{right}_place"))))
+        release(docs.sparkSession)
+    return reduce(DataFrame.unionByName, done)
+
+
+def differences(rows: DataFrame, like: Likeness) -> DataFrame:
     """(leader, class) with ``n`` (size), ``linked``, the ``first`` differences and how many there are (``apart``)."""
-    rows = compared(pairs, sets, "leader", "class")
     rows = rows.withColumn("extra", F.array_except("b", "a")).withColumn("missing", F.array_except("a", "b"))
     linked = like.links(F.col("n"), F.col("m"), F.col("m") - F.size("extra"))
     # Of the differences only a prefix is needed: what is added first, then what is missing.
@@ -312,11 +352,19 @@ def differences(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
 
 
 def members_apart(diffs: DataFrame, like: Likeness) -> DataFrame:
-    """Candidate pairs of members that share a leader, one of them not linked to it."""
+    """Candidate pairs of members that share a leader, one of them not linked to it.
+
+    The differences are joined in parts, one after the other, by leader and element.
+    """
     # Leaders with a member that is not linked and at least one more.
     open_ = diffs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("all")).filter("members > 1 AND NOT all")
-    rows = diffs.join(open_.select("leader"), "leader", "left_semi")
+    rows = diffs.join(few(cut(open_.select("leader"))), "leader", "left_semi")
     rows = rows.select("leader", "class", "n", "linked", "apart", F.posexplode("first").alias("at", "element"))
+    return reduce(DataFrame.unionByName, [cut(sharing(part, like)) for part in parted(rows, parts_of(diffs, 2 * PARTS), "leader", "element")]).distinct()
+
+
+def sharing(rows: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs of ``members_apart`` that have one of these elements in common."""
     a, b = rows.filter("NOT linked").alias("a"), rows.alias("b")
     both = like.most_apart(F.col("a.n") + F.col("b.n"))
     rest = F.least(F.col("a.apart") - F.col("a.at"), F.col("b.apart") - F.col("b.at"))
@@ -350,13 +398,13 @@ def jaccard_links(docs: DataFrame, sketches: DataFrame, like: Likeness) -> DataF
     release(docs.sparkSession)
     pairs = cut(led(members, like))
     release(docs.sparkSession)
-    wanted = pairs.select("leader").unionByName(pairs.select(F.col("class").alias("leader"))).select(F.col("leader").alias("class"))
-    sets = shingles_of(docs, sketches, wanted.distinct(), like)
-    diffs = cut(differences(pairs, sets, like))
-    release(docs.sparkSession)
-    more = compared(cut(members_apart(diffs, like)), sets, "one", "two")
-    more = more.filter(like.links(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b"))))
-    return diffs.filter("linked").select(F.col("leader").alias("one"), F.col("class").alias("two")).unionByName(more.select("one", "two"))
+    diffs = compared(pairs, docs, sketches, like, "leader", "class", lambda rows: differences(rows, like))
+    links = diffs.filter("linked").select(F.col("leader").alias("one"), F.col("class").alias("two"))
+    apart = cut(members_apart(diffs, like))
+    if apart.isEmpty():
+        return links
+    linked = like.links(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b")))
+    return links.unionByName(compared(apart, docs, sketches, like, "one", "two", lambda rows: rows.filter(linked).select("one", "two")))
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = EXACT) -> DataFrame:

@@ -223,6 +223,21 @@ def test_each_row_is_deduplicated_by_its_own_text(spark):
     assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, want))
 
 
+def test_near_duplicates_store_no_sets(spark, monkeypatch):
+    """Pairs are compared in parts; of the shingle sets, that are larger than the texts, none is written."""
+    written, cut = [], near_duplicates.cut
+    monkeypatch.setattr(near_duplicates, "cut", lambda frame: written.append(cut(frame)) or written[-1])
+    monkeypatch.setattr(near_duplicates, "PART_PAIRS", 10)
+    base = [" ".join(f"w{(j * 37 + k) % 211}" for k in range(60)) for j in range(30)]
+    rows = [(10 * j + k, f"{text} end {k}") for j, text in enumerate(base) for k in range(3)]
+    rows += [(7, "x y z"), rows[4], (None, base[0])]
+    got = near_duplicates.near_duplicates(table(spark, rows), near_duplicates.NEAR).collect()
+    expected = linked_components(dict(rows[:-2]), near_duplicates.NEAR.words, near_duplicates.NEAR.percent)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
+    assert sum(f.columns[:2] == ["leader", "class"] and "first" in f.columns for f in written) == near_duplicates.PARTS
+    assert not any("shingles" in frame.columns for frame in written)
+
+
 @pytest.mark.parametrize("like", [near_duplicates.EXACT, near_duplicates.NEAR])
 def test_sketch_bounds_the_difference(like):
     """Sets that differ in d shingles differ in at most d blocks, and linked sizes share a scale."""
