@@ -1,5 +1,6 @@
 """Helpers shared by the text operators."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +55,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, lengths, ends
+        trimmed()
+
+
+def trimmed() -> None:
+    """Give memory that is free to the system; workers wait for their next task beside the JVM's own memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
 
 
 def in_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES):

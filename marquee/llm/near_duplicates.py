@@ -4,21 +4,26 @@ A document's set are its different shingles of some words. Sets that are equal a
 class. For a pair of classes of sizes a and b, a Jaccard of 0.9 or more means that at
 most (a + b) / 19 shingles are in only one of the two; for 0.8 it is (a + b) / 9.
 
+*What can link.* A linked set shares all but 10 % (20 % for 0.8) of its shingles with one other
+class, so a class of which more shingles occur in no other class at all links with nothing. Some
+shingles, those with the lowest hashes, show that of most classes; the other shingles of the classes that
+remain are then looked at in the same way. Only the texts of the classes left are read from here on.
+
 *Sketch.* Every shingle flips one bit of a wide bit sketch, so the Hamming distance
 of two sketches is at most the number of shingles in only one set. The sketch is cut
 into more blocks than that bound allows differences, so two linked classes agree on
 all blocks but so many (pigeonhole). The number of blocks follows from the size; it is
 taken from a coarse scale, and a class near a step of the scale is sketched for both
 sides, so all sizes that can link meet in one size band. A block is compared by the
-XOR of a 64-bit code of each set bit. Classes that share too few blocks with others to
-link are left out at once.
+XOR of a 64-bit code of each set bit. Of its blocks a class only needs one more than it may
+differ in, and takes the fullest ones and those as full: blocks of few shingles or none agree by chance.
 
 *Join without pairing a group with itself.* The classes that agree on a block form a
 group. Its most popular member leads, and only (leader, member) is verified, exactly,
 on the shingle sets. Members linked to their leader are in one component already. For
 two members of which one is not linked to the leader, the triangle inequality says
 that they link only if their differences to the leader overlap, and then one of the
-first differences of one (in a fixed order: added shingles, then missing ones; one more
+first differences of one (in the order of how many members of the leader have them; one more
 than the pair may not share) is among those of the other. These prefixes are joined,
 with bounds from the positions, and what remains is verified exactly. So no link is lost, and groups of
 near copies cost in proportion to their size and their differences.
@@ -69,6 +74,15 @@ class Likeness:
         """``apart`` as a column expression."""
         return F.floor(sizes * (100 - self.percent) / (100 + self.percent))
 
+    def most_alone(self, n: Column) -> Column:
+        """The most shingles of a linked set of this size that no other set has."""
+        return F.floor(n * (100 - self.percent) / 100)
+
+    @property
+    def lowest(self) -> np.uint64:
+        """The end of the hashes that are looked at first: two thirds more of all than a linked set may have alone."""
+        return np.uint64((1 << 64) // 300 * 5 * (100 - self.percent))
+
     def prefix(self, n: Column) -> Column:
         """Differences of which a linked partner must share one: one more than they may not share."""
         return (self.most_apart(n + F.floor(100 * n / self.percent)) + 1).cast("int")
@@ -77,12 +91,12 @@ class Likeness:
 EXACT, NEAR = Likeness(), Likeness(words=5, percent=80)
 #: Lowest bits of a key, for the step of the scale of block counts.
 STEP_BITS = 6
-#: Size of the bitmap of shared keys, as a power of two of bits; it bounds what is sent to the driver and to each task.
+#: Size of the bitmap of ids, as a power of two of bits; it bounds what is sent to the driver and to each task.
 MAP_BITS = 26
 #: Ids that may be broadcast, some 20 MB in memory; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 #: Parts in which pairs of classes are compared at most, and how many pairs make one more; the sets of one part are on disk at a time.
-PARTS, PART_PAIRS = 4, 10_000
+PARTS, PART_PAIRS = 4, 50_000
 
 
 def blocks_for(size: np.ndarray | int, like: Likeness):
@@ -133,8 +147,8 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
 
 
-def block_keys(h: np.ndarray, offsets: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketch blocks of each set, in the order of the sets; and the sets' offsets into them.
+def block_keys(h: np.ndarray, offsets: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the sketch blocks of each set, in the order of the sets; the sets' offsets into them; and the shingles in each block.
 
     The lowest bits of a key tell the step of the scale.
     """
@@ -143,7 +157,7 @@ def block_keys(h: np.ndarray, offsets: np.ndarray, like: Likeness) -> tuple[np.n
     steps = scale(int(highest.max()) if len(n) else 1)
     first, last = np.searchsorted(steps, lowest), np.searchsorted(steps, highest)
     code, spread = mix(h ^ np.uint64(0xA5A5A5A5)), h >> np.uint64(32)
-    owners, keys = [], []
+    owners, keys, filled = [], [], []
     for s in range(1, len(steps)):  # one block is the whole set, and equal sets are one class
         blocks = int(steps[s])
         rows = np.flatnonzero((first <= s) & (s <= last) & (n > 0))
@@ -159,11 +173,28 @@ def block_keys(h: np.ndarray, offsets: np.ndarray, like: Likeness) -> tuple[np.n
         number = np.tile(np.arange(blocks, dtype=np.uint64), len(rows))
         keys.append(mix(pattern + mix(number + np.uint64(blocks << 32))) >> np.uint64(STEP_BITS) << np.uint64(STEP_BITS) | np.uint64(s))
         owners.append(np.repeat(rows, blocks))
+        filled.append(np.bincount(place, minlength=len(rows) * blocks))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64), np.zeros(0, np.int64)
     owner, key = np.concatenate(owners), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
-    return key[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int64)
+    return key[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int64), np.concatenate(filled)[order]
+
+
+def fullest(keys: np.ndarray, ends: np.ndarray, filled: np.ndarray, n: np.ndarray, like: Likeness) -> np.ndarray:
+    """Which of the blocks of ``block_keys`` are compared: in each step of the scale one more than a set of that size may differ in, and all that are as full as the last of them.
+
+    A pair agrees on one of the blocks taken by the set that asks for fuller ones, and the other set takes that block, too.
+    """
+    step = keys & ((1 << STEP_BITS) - 1)
+    owner = np.repeat(np.arange(len(n)), np.diff(ends))
+    begin = np.flatnonzero(np.concatenate([[True], (step[1:] != step[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(keys))))
+    order = np.lexsort((-filled, run))
+    largest = np.array(largest_sizes(scale(int(blocks_for(like.partner(n.max()), like)) if len(n) else 1), like))
+    size = n[owner[begin]]
+    least = filled[order[begin + like.apart(size + np.minimum(like.partner(size), largest[step[begin]]))]]
+    return filled >= least[run]
 
 
 def classes_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -191,34 +222,84 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def sketch_blocks(docs: DataFrame, like: Likeness, marked: np.ndarray | None = None) -> DataFrame:
-    """``key, class, n`` of every block of a class's sketch, once in each task that meets the class.
-
-    With a bitmap of keys, only those that it marks.
-    """
-    bitmap = docs.sparkSession.sparkContext.broadcast(marked)
+def shingle_keys(docs: DataFrame, like: Likeness, lowest: bool) -> DataFrame:
+    """``key, class`` of the shingles with the lowest hashes, or of all others, once in each task that meets the class."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches):
             h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
-            name, n = classes_of(h, offsets), np.diff(offsets)
-            rows = []
-            for i in np.flatnonzero(n).tolist():
+            name = classes_of(h, offsets)
+            new = np.zeros(len(name), bool)
+            for i in np.flatnonzero(np.diff(offsets)).tolist():
                 if (c := int(name[i])) not in seen:
                     seen.add(c)
-                    rows.append(i)
-            rows = np.array(rows, np.int64)
-            keys, ends = block_keys(h[ranges(offsets[rows], n[rows])], np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int64), like)
-            owner = np.repeat(rows, np.diff(ends))
-            if bitmap.value is not None:
-                kept = marked_in(bitmap.value, keys)
-                keys, owner = keys[kept], owner[kept]
+                    new[i] = True
+            owner = np.repeat(np.arange(len(name)), np.diff(offsets))
+            kept = new[owner] & ((h < like.lowest) == lowest)
+            keys, owner = h[kept].view(np.int64), owner[kept]
+            for k in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(name[owner[k : k + 100_000]])], ["key", "class"])
+
+    return only(docs, "text").mapInArrow(run, "key long, class long")
+
+
+def linkable(classes: DataFrame, keys: DataFrame, like: Likeness) -> DataFrame:
+    """The ``classes`` (``class, n, alone``) without those of which more shingles occur in no other class than a link allows.
+
+    ``alone`` counts such shingles; those among ``keys`` are added.
+    """
+    alone = keys.groupBy("key").agg(F.min("class").alias("class"), F.max("class").alias("high")).filter("class = high").groupBy("class").agg(F.count(F.lit(1)).alias("more"))
+    found = classes.join(alone, "class", "left").withColumn("alone", F.col("alone") + F.coalesce("more", F.lit(0))).drop("more")
+    return cut(found.filter(F.col("alone") <= like.most_alone(F.col("n"))))
+
+
+def linkable_texts(docs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """``class, text`` of the classes that can link with another one at all, one row each."""
+    place = F.min(F.struct(named_id().alias("id"), "key")).alias("place")
+    classes = sketches.filter("class IS NOT NULL").groupBy("class").agg(F.max("n").alias("n"), place).select("class", "n", "place.*", F.lit(0).cast("long").alias("alone"))
+    classes = linkable(classes, shingle_keys(docs, like, True), like)
+    release(docs.sparkSession)
+    texts = cut(standing(docs, classes))
+    if texts.count() > classes.count():
+        texts = cut(texts.dropDuplicates(["class"]))
+    classes = linkable(classes, shingle_keys(texts, like, False), like)
+    release(docs.sparkSession)
+    return texts.join(few(classes.select("class")), "class", "left_semi")
+
+
+def standing(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, text`` of the rows at the places (``id, key``) of the classes.
+
+    A bitmap of the ids, with 64 bits for each while they fit, leaves out almost all other documents before the join.
+    """
+    ids = classes.select(F.xxhash64("id").alias("key"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, min(MAP_BITS, 6 + max(4, ids.count().bit_length()))))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked_in(bitmap.value, batch.column("hash").to_numpy())))
+
+    rows = only(docs, "doc_id", "text").select(named_id().cast("long").alias("id"), "text").withColumn("key", text_key()).withColumn("hash", F.xxhash64("id"))
+    found = rows.mapInArrow(run, "id long, text string, key long, hash long")
+    return found.join(few(classes.select("id", "key", "class")), ["id", "key"]).select("class", "text")
+
+
+def sketch_blocks(texts: DataFrame, like: Likeness) -> DataFrame:
+    """``key, class, n`` of the fullest blocks of each class's sketch."""
+
+    def run(batches):
+        for batch in slices(batches):
+            h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
+            n, name = np.diff(offsets), batch.column("class").to_numpy()
+            keys, ends, filled = block_keys(h, offsets, like)
+            kept = fullest(keys, ends, filled, n, like)
+            keys, owner = keys[kept], np.repeat(np.arange(len(n)), np.diff(ends))[kept]
             for k in range(0, len(keys), 100_000):
                 part = owner[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(name[part]), pa.array(n[part])], ["key", "class", "n"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "key long, class long, n long")
+    return texts.select("class", "text").mapInArrow(run, "key long, class long, n long")
 
 
 def bitmap_of(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
@@ -242,27 +323,11 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def groups(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``key, class, n`` for the blocks on which at least two classes agree.
-
-    Two linked classes agree on all blocks but those they differ in, so a class that
-    shares fewer blocks of a step of the scale than that links with nothing there.
-    The blocks are derived twice instead of being stored, as most agree with no other; the
-    second time a bitmap of the shared keys leaves out almost all of the rest.
-    """
-    keys = sketch_blocks(docs, like)
-    shared = cut(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"))
-    release(docs.sparkSession)
-    members = cut(sketch_blocks(docs, like, bitmap_of(shared)).join(few(shared), "key", "left_semi").distinct())
-    release(docs.sparkSession)
-    largest = members.agg(F.max("n")).first()[0] or 1
-    steps = scale(int(blocks_for(like.partner(largest), like)))
-    blocks, sizes = (F.array(*[F.lit(int(x)) for x in values])[F.col("step")] for values in (steps, largest_sizes(steps, like)))
-    members = members.withColumn("step", F.col("key").bitwiseAND((1 << STEP_BITS) - 1).cast("int"))
-    partner = F.least(F.floor(100 * F.col("n") / like.percent), sizes)
-    need = blocks - like.most_apart(F.col("n") + partner)
-    enough = members.groupBy("class", "n", "step").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= need).select("class", "step")
-    return members.join(enough, ["class", "step"], "left_semi").select("key", "class", "n")
+def groups(texts: DataFrame, like: Likeness) -> DataFrame:
+    """``key, class, n`` for the blocks on which at least two classes agree."""
+    blocks = cut(sketch_blocks(texts, like))
+    shared = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key")
+    return blocks.join(shared, "key", "left_semi")
 
 
 def led(members: DataFrame, like: Likeness) -> DataFrame:
@@ -278,42 +343,21 @@ def led(members: DataFrame, like: Likeness) -> DataFrame:
     return pairs.select(F.col("top.class").alias("leader"), "class").distinct()
 
 
-def standing(sketches: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, place, rows``: for each class in ``wanted`` (column ``class``) the document that its set is derived from.
-
-    ``place`` is the class and that document's id. Rows of equal ids and texts (``rows``) are one document, as are those without an id.
-    """
-    found = sketches.join(wanted, "class", "left_semi").groupBy("class", named_id().alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    first = found.groupBy("class").agg(F.min(F.struct("id", "rows")).alias("first"))
-    return first.select("class", F.struct("class", "first.id").alias("place"), "first.rows")
-
-
 def named_id() -> Column:
     """The id of a document, or the last one that there can be."""
     return F.coalesce("doc_id", F.lit((1 << 63) - 1))
 
 
-def shingles_of(docs: DataFrame, stand: DataFrame, like: Likeness) -> DataFrame:
-    """``place, n, shingles`` of the places in ``stand`` and of a few others, derived from the texts.
-
-    A bitmap of the ids, with 64 bits for each while they fit, leaves out almost all other documents before their sets are derived.
-    """
-    ids = stand.select(F.xxhash64("place.id").alias("key"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, min(MAP_BITS, 6 + max(4, ids.count().bit_length()))))
+def shingles_of(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
+    """``class, n, shingles`` of the classes in ``wanted`` (column ``class``), derived from the texts."""
 
     def run(batches):
-        for batch in slices(batch.filter(pa.array(marked_in(bitmap.value, batch.column("key").to_numpy()))) for batch in batches):
+        for batch in slices(batches):
             h, offsets = shingle_sets(texts_of(batch.column("text")), like.words)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
-            n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(classes_of(h, offsets), mask=n == 0), batch.column("id"), pa.array(n), lists], ["class", "id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(np.diff(offsets)), lists], ["class", "n", "shingles"])
 
-    rows = only(docs, "doc_id", "text").select(named_id().cast("long").alias("id"), "text").withColumn("key", F.xxhash64("id"))
-    sets = rows.mapInArrow(run, "class long, id long, n long, shingles array<long>")
-    sets = sets.filter("class IS NOT NULL").select(F.struct("class", "id").alias("place"), "n", "shingles")
-    if stand.filter("rows > 1").isEmpty():
-        return sets
-    return sets.groupBy("place").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    return texts.join(few(cut(wanted.distinct())), "class", "left_semi").select("class", "text").mapInArrow(run, "class long, n long, shingles array<long>")
 
 
 def parts_of(pairs: DataFrame, most: int) -> int:
@@ -325,7 +369,7 @@ def parted(rows: DataFrame, parts: int, *by: str) -> list[DataFrame]:
     return [rows.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) == part) for part in range(parts)]
 
 
-def compared(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, like: Likeness, left: str, right: str, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, like: Likeness, left: str, right: str, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``result`` makes of the pairs with ``n, a`` (size and set of the left class) and ``m, b`` (of the right).
 
     Sets take more room than their texts, so the pairs are compared in parts, one after the other, and no set is stored.
@@ -334,37 +378,47 @@ def compared(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, like: Liken
     for rows in parted(pairs, parts_of(pairs, PARTS), left, right):
         sides = []
         for name, size, shingles in ((left, "n", "a"), (right, "m", "b")):
-            stand = cut(standing(sketches, rows.select(F.col(name).alias("class")).distinct()))
-            rows = rows.join(stand.select(F.col("class").alias(name), F.col("place").alias(f"{name}_place")), name)
-            sides.append(shingles_of(docs, stand, like).select(F.col("place").alias(f"{name}_place"), F.col("n").alias(size), F.col("shingles").alias(shingles)))
-        done.append(cut(result(rows.join(sides[0], f"{left}_place").join(sides[1], f"{right}_place"))))
-        release(docs.sparkSession)
+            sets = shingles_of(texts, rows.select(F.col(name).alias("class")), like)
+            sides.append(sets.select(F.col("class").alias(name), F.col("n").alias(size), F.col("shingles").alias(shingles)))
+        done.append(cut(result(rows.join(sides[0], left).join(sides[1], right))))
+        release(texts.sparkSession)
     return reduce(DataFrame.unionByName, done)
 
 
 def differences(rows: DataFrame, like: Likeness) -> DataFrame:
-    """(leader, class) with ``n`` (size), ``linked``, the ``first`` differences and how many there are (``apart``)."""
+    """(leader, class) with ``n`` (size), ``linked``, the differences (``first``; none for the only member of a leader) and how many there are (``apart``)."""
     rows = rows.withColumn("extra", F.array_except("b", "a")).withColumn("missing", F.array_except("a", "b"))
     linked = like.links(F.col("n"), F.col("m"), F.col("m") - F.size("extra"))
-    # Of the differences only a prefix is needed: what is added first, then what is missing.
-    first = F.slice(F.concat("extra", "missing"), 1, like.prefix(F.col("m")))
+    first = F.when(F.col("members") > 1, F.concat("extra", "missing")).otherwise(F.array().cast("array<long>"))
     return rows.select("leader", "class", F.col("m").alias("n"), linked.alias("linked"), first.alias("first"), (F.size("extra") + F.size("missing")).alias("apart"))
 
 
 def members_apart(diffs: DataFrame, like: Likeness) -> DataFrame:
     """Candidate pairs of members that share a leader, one of them not linked to it.
 
-    The differences are joined in parts, one after the other, by leader and element.
+    The differences are joined in parts, one after the other, by leader.
     """
     # Leaders with a member that is not linked and at least one more.
     open_ = diffs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("all")).filter("members > 1 AND NOT all")
     rows = diffs.join(few(cut(open_.select("leader"))), "leader", "left_semi")
-    rows = rows.select("leader", "class", "n", "linked", "apart", F.posexplode("first").alias("at", "element"))
-    return reduce(DataFrame.unionByName, [cut(sharing(part, like)) for part in parted(rows, parts_of(diffs, 2 * PARTS), "leader", "element")]).distinct()
+    return reduce(DataFrame.unionByName, [cut(sharing(prefixes(part, like), like)) for part in parted(rows, parts_of(diffs, 2 * PARTS), "leader")]).distinct()
+
+
+def prefixes(rows: DataFrame, like: Likeness) -> DataFrame:
+    """``leader, class, n, linked, apart, at, element`` of the first differences of each member, without those that no candidate pair has in common.
+
+    Their order is that of how many members have them; those that only one has, or only linked ones, come before all others.
+    """
+    each = rows.select("leader", "class", "n", "linked", "apart", F.explode("first").alias("element"))
+    met = each.groupBy("leader", "element").agg(F.count(F.lit(1)).alias("met"), F.min("linked").alias("all")).filter("met > 1 AND NOT all").drop("all")
+    common = each.join(met, ["leader", "element"]).groupBy("leader", "class", "n", "linked", "apart").agg(F.sort_array(F.collect_list(F.struct("met", "element"))).alias("common"))
+    before = F.col("apart") - F.size("common")
+    first = F.slice("common", 1, F.greatest(like.prefix(F.col("n")) - before, F.lit(0)))
+    return common.select("leader", "class", "n", "linked", "apart", before.alias("before"), F.posexplode(first).alias("at", "one")).withColumn("at", F.col("before") + F.col("at")).select("*", "one.element").drop("before", "one")
 
 
 def sharing(rows: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs of ``members_apart`` that have one of these elements in common."""
+    """The pairs of ``members_apart`` whose first differences have an element in common."""
     a, b = rows.filter("NOT linked").alias("a"), rows.alias("b")
     both = like.most_apart(F.col("a.n") + F.col("b.n"))
     rest = F.least(F.col("a.apart") - F.col("a.at"), F.col("b.apart") - F.col("b.at"))
@@ -394,17 +448,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
     """Linked pairs of classes (``one, two``), enough of them to connect every linked pair."""
-    members = cut(groups(docs, like))
+    texts = cut(linkable_texts(docs, sketches, like))
+    members = cut(groups(texts, like))
     release(docs.sparkSession)
     pairs = cut(led(members, like))
     release(docs.sparkSession)
-    diffs = compared(pairs, docs, sketches, like, "leader", "class", lambda rows: differences(rows, like))
+    counted = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members")), "leader")
+    diffs = compared(counted, texts, like, "leader", "class", lambda rows: differences(rows, like))
     links = diffs.filter("linked").select(F.col("leader").alias("one"), F.col("class").alias("two"))
     apart = cut(members_apart(diffs, like))
     if apart.isEmpty():
         return links
     linked = like.links(F.col("n"), F.col("m"), F.size(F.array_intersect("a", "b")))
-    return links.unionByName(compared(apart, docs, sketches, like, "one", "two", lambda rows: rows.filter(linked).select("one", "two")))
+    return links.unionByName(compared(apart, texts, like, "one", "two", lambda rows: rows.filter(linked).select("one", "two")))
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = EXACT) -> DataFrame:

@@ -238,6 +238,70 @@ def test_near_duplicates_store_no_sets(spark, monkeypatch):
     assert not any("shingles" in frame.columns for frame in written)
 
 
+def counts_of(monkeypatch, name):
+    """The rows that a step returns, each time it is called."""
+    step, counts = getattr(near_duplicates, name), []
+
+    def counted(*given):
+        rows = near_duplicates.cut(step(*given))
+        counts.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_duplicates, name, counted)
+    return counts
+
+
+def test_unlike_texts_are_not_compared(spark, monkeypatch):
+    """Texts of their own words with a common passage agree on blocks of few shingles or none; only copies meet."""
+    pairs = counts_of(monkeypatch, "led")
+    rng = random.Random(5)
+    passage = "all rights to this text are kept by those who wrote it"
+    rows = [(k, " ".join([f"w{rng.randrange(10_000)}" for _ in range(rng.choice([40, 60, 90]))] + [passage])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(5)]
+    got = near_duplicates.near_duplicates(table(spark, rows), near_duplicates.NEAR).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k in range(300)} | {1000 + k: k for k in range(5)}
+    assert pairs == [5]
+
+
+def test_members_far_from_a_leader_are_not_paired_with_all(spark, monkeypatch):
+    """Copies with edits of their own, too far apart to link, lack the same shingles of their leader; that alone makes no pair."""
+    apart = counts_of(monkeypatch, "members_apart")
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 80):
+        words = list(base)
+        for at in rng.sample(range(0, 196, 4), 5 if k < 40 else 3):
+            words[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(words)))
+    want = linked_components(dict(rows), near_duplicates.NEAR.words, near_duplicates.NEAR.percent)
+    got = near_duplicates.near_duplicates(table(spark, rows), near_duplicates.NEAR).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(apart) == 1 and apart[0] < 300
+
+
+@pytest.mark.parametrize("like", [near_duplicates.EXACT, near_duplicates.NEAR])
+def test_linked_sets_meet_in_their_fullest_blocks(like):
+    rng = np.random.default_rng(2)
+
+    def kept(x):
+        n = np.array([len(x)])
+        keys, ends, filled = near_duplicates.block_keys(x, np.array([0, len(x)]), like)
+        return keys[near_duplicates.fullest(keys, ends, filled, n, like)], len(keys)
+
+    met = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, int(rng.choice([8, 12, 30, 100, 400])), dtype=np.uint64) * np.uint64(2))
+        gone, new = (int(x) for x in rng.integers(0, len(a) // 8 + 2, 2))
+        b = np.unique(np.append(rng.permutation(a)[gone:], rng.integers(0, 2**63, new, dtype=np.uint64) * np.uint64(2)))
+        both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * both >= like.percent * union and both < union:
+            (x, all_x), (y, all_y) = kept(a), kept(b)
+            assert len(np.intersect1d(x, y)) and len(x) <= all_x and len(y) <= all_y
+            met += 1
+    assert met > 30
+
+
 @pytest.mark.parametrize("like", [near_duplicates.EXACT, near_duplicates.NEAR])
 def test_sketch_bounds_the_difference(like):
     """Sets that differ in d shingles differ in at most d blocks, and linked sizes share a scale."""
